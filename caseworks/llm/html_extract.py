@@ -266,7 +266,8 @@ def extract_main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataF
     At most `train_pages` pages (those of smallest hashed id) are collected to fit the chain; every page is decoded
     whole, page by page, without a shuffle.
     """
-    sample = pages.orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(train_pages).collect()
+    ids = [r.page_id for r in pages.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()]
+    sample = pages.where(F.col("page_id").isin(ids)).select("page_id", "html").orderBy("page_id", "html").limit(train_pages).collect()
     chain = fit([r.html for r in sample])
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

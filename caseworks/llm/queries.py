@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from caseworks.llm import html_extract, warc
+from caseworks.llm import audio, decontaminate, html_extract, langid, warc
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
     "op2_warc_transactions": warc.op2_warc_transactions,
+    "op3_language_id": langid.op3_language_id,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_telephony_audio": audio.op8_telephony_audio,
 }
 
 SQL = {
     "op2_warc_transactions": warc.OP2_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
 }
