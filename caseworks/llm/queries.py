@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from caseworks.llm import audio, decontaminate, html_extract, langid, packing, warc
+from caseworks.llm import audio, decontaminate, html_extract, langid, packing, repeats, warc
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
     "op2_warc_transactions": warc.op2_warc_transactions,
     "op3_language_id": langid.op3_language_id,
     "op4_retrieval_packing": packing.op4_retrieval_packing,
+    "op5_suffix_dedup": repeats.op5_suffix_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_telephony_audio": audio.op8_telephony_audio,
 }
