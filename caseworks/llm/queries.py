@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseworks.llm import audio, decontaminate, html_extract, langid, packing, repeats, warc
+from caseworks.llm import audio, decontaminate, html_extract, langid, minhash, packing, repeats, warc
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_retrieval_packing": packing.op4_retrieval_packing,
     "op5_suffix_dedup": repeats.op5_suffix_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_weighted_minhash": minhash.op7_weighted_minhash,
     "op8_telephony_audio": audio.op8_telephony_audio,
 }
 

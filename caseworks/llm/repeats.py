@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from caseworks.llm.common import BLOCK_DOCS, n_blocks, table, with_block
+from caseworks.llm.exchange import PARCEL, parcels
 from caseworks.llm.suffix_order import suffix_order
 
 LENGTH = 50
@@ -76,18 +77,6 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _parcels(block: int, buckets: int, keys: np.ndarray, content) -> pd.DataFrame:
-    """One row per bucket that gets any of the (sorted) keys: bucket, block, data of content(slice of key numbers)."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.diff(bucket[order])) + 1
-    parts = [p for p in np.split(order, cut) if len(p)]
-    return pd.DataFrame({"bucket": [int(bucket[p[0]]) for p in parts], "block": [block] * len(parts), "data": [pickle.dumps(content(p), 5) for p in parts]}).astype({"bucket": "int32", "block": "int32"})
-
-
-PARCEL = "bucket int, block int, data binary"
-
-
 def _send_keys(buckets: int):
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         per_doc: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -96,7 +85,7 @@ def _send_keys(buckets: int):
         held = [np.unique(np.concatenate(k)) for k in per_doc.values()]
         keys, docs = np.unique(np.concatenate(held), return_counts=True)
         several = docs > 1
-        return _parcels(int(pdf["block"].iloc[0]), buckets, keys, lambda p: (keys[p][several[p]], keys[p][~several[p]]))
+        return parcels(int(pdf["block"].iloc[0]), buckets, keys, lambda p: (keys[p][several[p]], keys[p][~several[p]]))
 
     return send
 
@@ -129,7 +118,7 @@ def _send_segments(buckets: int):
                 if least.get(own, doc_id) >= doc_id:
                     least[own] = doc_id
         rows = list(least.items())
-        return _parcels(int(docs["block"].iloc[0]), buckets, np.array([k for (k, _), _ in rows], np.uint64), lambda p: [(*rows[i][0], rows[i][1]) for i in p])
+        return parcels(int(docs["block"].iloc[0]), buckets, np.array([k for (k, _), _ in rows], np.uint64), lambda p: [(*rows[i][0], rows[i][1]) for i in p])
 
     return send
 
