@@ -24,6 +24,26 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
+def token_hashes(data: bytes) -> np.ndarray:
+    """64-bit hash of each run of bytes between ASCII white space, in order."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = ~_SPACES[raw]
+    start = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])) if len(raw) else np.zeros(0, np.int64)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    raw, inside = raw[start[0] :], inside[start[0] :]
+    start = start - start[0]
+    size = np.add.reduceat(inside.astype(np.int64), start)
+    at = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
+    with np.errstate(over="ignore"):
+        parts = np.where(inside, raw, 0).astype(np.uint64) * _powers(int(at.max()) + 1)[at]
+        return mix(np.add.reduceat(parts, start) ^ size.astype(np.uint64))
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     """64-bit hash of each word (of its UTF-8 bytes). Words hold no space."""
     if not words:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseworks.llm import audio, decontaminate, html_extract, langid, lines, minhash, packing, repeats, warc
+from caseworks.llm import audio, decontaminate, html_extract, langid, lines, lm_score, minhash, packing, repeats, warc
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_weighted_minhash": minhash.op7_weighted_minhash,
     "op8_telephony_audio": audio.op8_telephony_audio,
+    "op9_gru_scores": lm_score.op9_gru_scores,
     "op10_fuzzy_lines": lines.op10_fuzzy_lines,
 }
 
