@@ -59,3 +59,10 @@ def look_up(keys: np.ndarray, table: np.ndarray, values: np.ndarray, default: in
         return np.full(len(keys), default, values.dtype)
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
     return np.where(table[at] == keys, values[at], default)
+
+
+def among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each key is in a sorted table."""
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys

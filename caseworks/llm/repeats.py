@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from caseworks.llm.common import BLOCK_DOCS, n_blocks, table, with_block
-from caseworks.llm.exchange import PARCEL, parcels
+from caseworks.llm.exchange import PARCEL, among, parcels
 from caseworks.llm.suffix_order import suffix_order
 
 LENGTH = 50
@@ -97,7 +97,7 @@ def _repeated_keys(pdf: pd.DataFrame) -> pd.DataFrame:
     keys = keys[n > 1]
     out = []
     for block, (many, once) in zip(pdf["block"].tolist(), got, strict=True):
-        again = once[np.isin(once, keys, assume_unique=True)]
+        again = once[among(once, keys)]
         if len(many) + len(again):
             out.append((block, pickle.dumps(np.concatenate([many, again]), 5)))
     return pd.DataFrame(out, columns=["block", "data"]).astype({"block": "int32"})
@@ -112,7 +112,7 @@ def _send_segments(buckets: int):
         for doc_id, text in zip(docs["doc_id"].tolist(), docs["text"].tolist(), strict=True):
             data = _raw(text)
             k, start, end = segments(data)
-            hit = np.flatnonzero(np.isin(k, keys))
+            hit = np.flatnonzero(among(k, keys))
             for key, a, b in zip(k[hit].tolist(), start[hit].tolist(), (end[hit] + LENGTH - 1).tolist(), strict=True):
                 own = (key, data[a:b])
                 if least.get(own, doc_id) >= doc_id:
@@ -194,7 +194,7 @@ def _remove(keep_text: bool):
             edge = np.zeros(len(data) + 1, np.int64)
             if len(keys):
                 k, start, end = segments(data)
-                hit = np.flatnonzero(np.isin(k, keys))
+                hit = np.flatnonzero(among(k, keys))
                 for key, a, b in zip(k[hit].tolist(), start[hit].tolist(), end[hit].tolist(), strict=True):
                     least, runs = known.get((key, xxhash.xxh3_64_intdigest(data[a : b + LENGTH - 1])), (doc_id, ()))
                     for x, y in ((0, b - a),) if least < doc_id else runs:
