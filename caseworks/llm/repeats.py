@@ -1,5 +1,6 @@
 """Exact substring dedup: bytes covered by a 50-byte string that also starts in an earlier document.
 
+0. Equal texts fall together first; the smallest doc_id's stands for them.
 1. Every 50-byte window has a key: the least hash among its k-grams. Equal windows have equal keys, and consecutive
    windows with one key form a segment, so a text is about as many segments as a fourteenth of its bytes.
 2. Blocks of documents send the distinct keys to key buckets; keys of one document only can't repeat and end there.
@@ -20,14 +21,16 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from caseworks.llm.common import BLOCK_DOCS, n_blocks, table, with_block
-from caseworks.llm.exchange import PARCEL, among, parcels
+from caseworks.llm.common import BLOCK_DOCS, materialize, n_blocks, table, with_block
+from caseworks.llm.exchange import ANSWER, PARCEL, among, answers, pack48, parcels, unpack48
 from caseworks.llm.suffix_order import suffix_order
 
 LENGTH = 50
@@ -77,48 +80,56 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _firsts(docs: pd.DataFrame, side: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
+    """(doc_id, bytes) of the block's documents that are the first of their text, each once."""
+    left = set(side.loc[side["kind"] == "first", "a"].tolist())
+    for doc_id, text in zip(docs["doc_id"].tolist(), docs["text"].tolist(), strict=True):
+        if doc_id in left:
+            left.discard(doc_id)
+            yield doc_id, _raw(text)
+
+
 def _send_keys(buckets: int):
-    def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        per_doc: dict[int, list[np.ndarray]] = defaultdict(list)
-        for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-            per_doc[doc_id].append(segments(_raw(text))[0])
-        held = [np.unique(np.concatenate(k)) for k in per_doc.values()]
-        keys, docs = np.unique(np.concatenate(held), return_counts=True)
-        several = docs > 1
-        return parcels(int(pdf["block"].iloc[0]), buckets, keys, lambda p: (keys[p][several[p]], keys[p][~several[p]]))
+    def send(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        held = [np.unique(segments(data)[0]) >> np.uint64(16) for _, data in _firsts(docs, side)]
+        if not held:
+            return parcels(0, buckets, np.zeros(0, np.uint64), lambda p: None)
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        several = n > 1
+        return parcels(int(side["block"].iloc[0]), buckets, keys, lambda p: (pack48(keys[p[several[p]]] << np.uint64(16)), pack48(keys[p[~several[p]]] << np.uint64(16))))
 
     return send
 
 
 def _repeated_keys(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each block of a bucket, its keys that more than one document holds."""
-    got = [pickle.loads(x) for x in pdf["data"]]
+    """For each block of a bucket, its keys (their upper 48 bits) that more than one document holds."""
+    got = [tuple(map(unpack48, pickle.loads(x))) for x in pdf["data"]]
     keys, n = np.unique(np.concatenate([np.concatenate([many, many, once]) for many, once in got]), return_counts=True)
     keys = keys[n > 1]
     out = []
     for block, (many, once) in zip(pdf["block"].tolist(), got, strict=True):
         again = once[among(once, keys)]
         if len(many) + len(again):
-            out.append((block, pickle.dumps(np.concatenate([many, again]), 5)))
-    return pd.DataFrame(out, columns=["block", "data"]).astype({"block": "int32"})
+            out.append((block, "keys", 0, 0, pack48(np.concatenate([many, again]))))
+    return answers(out)
 
 
 def _send_segments(buckets: int):
-    def send(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs) or not len(answers):
-            return pd.DataFrame({"bucket": pd.Series([], dtype="int32"), "block": pd.Series([], dtype="int32"), "data": pd.Series([], dtype=object)})
-        keys = np.sort(np.concatenate([pickle.loads(x) for x in answers["data"]]))
+    def send(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        packed = side.loc[side["kind"] == "keys", "data"]
+        keys = np.sort(unpack48(b"".join(packed))) if len(packed) else np.zeros(0, np.uint64)
         least: dict[tuple[int, bytes], int] = {}
-        for doc_id, text in zip(docs["doc_id"].tolist(), docs["text"].tolist(), strict=True):
-            data = _raw(text)
+        for doc_id, data in _firsts(docs, side):
             k, start, end = segments(data)
-            hit = np.flatnonzero(among(k, keys))
+            hit = np.flatnonzero(among(k >> np.uint64(16) << np.uint64(16), keys))
             for key, a, b in zip(k[hit].tolist(), start[hit].tolist(), (end[hit] + LENGTH - 1).tolist(), strict=True):
                 own = (key, data[a:b])
                 if least.get(own, doc_id) >= doc_id:
                     least[own] = doc_id
-        rows = list(least.items())
-        return parcels(int(docs["block"].iloc[0]), buckets, np.array([k for (k, _), _ in rows], np.uint64), lambda p: [(*rows[i][0], rows[i][1]) for i in p])
+        texts = [t for _, t in least]
+        keys, firsts, size = np.array([k for k, _ in least], np.uint64), np.array(list(least.values()), np.int64), np.array([len(t) for t in texts], np.int32)
+        block = int(side["block"].iloc[0]) if len(side) else 0
+        return parcels(block, buckets, keys, lambda p: (keys[p], firsts[p], size[p], b"".join([texts[i] for i in p.tolist()])))
 
     return send
 
@@ -166,31 +177,40 @@ def earlier_windows(texts: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]
 
 
 def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each block of a bucket: key, segment hash, least document and, for that one, the windows held earlier."""
-    got = [(block, pickle.loads(x)) for block, x in zip(pdf["block"].tolist(), pdf["data"], strict=True)]
+    """For each block of a bucket: keys, segment hashes, least documents and, for these, the windows held earlier."""
+    got = []
     by_key: dict[int, dict[bytes, int]] = defaultdict(dict)
-    for _, rows in got:
-        for key, text, doc in rows:
+    for block, x in zip(pdf["block"].tolist(), pdf["data"], strict=True):
+        keys, firsts, size, joined = pickle.loads(x)
+        ends = np.cumsum(size).tolist()
+        texts = [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        got.append((block, keys.tolist(), texts))
+        for key, text, doc in zip(got[-1][1], texts, firsts.tolist(), strict=True):
             of = by_key[key]
             of[text] = min(doc, of.get(text, doc))
-    runs = {k: earlier_windows(t) if len(t) > 1 else {} for k, t in by_key.items()}
+    runs = {k: earlier_windows(t) for k, t in by_key.items() if len(t) > 1}
     out = []
-    for block, rows in got:
-        answer = [(key, xxhash.xxh3_64_intdigest(text), by_key[key][text], runs[key].get(text, ())) for key, text, _ in rows]
-        out.append((block, pickle.dumps(answer, 5)))
-    return pd.DataFrame(out, columns=["block", "data"]).astype({"block": "int32"})
+    for block, keys, texts in got:
+        hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
+        least = np.array([by_key[k][t] for k, t in zip(keys, texts, strict=True)], np.int64)
+        early = {i: runs[k][t] for i, (k, t) in enumerate(zip(keys, texts, strict=True)) if k in runs and t in runs[k]}
+        out.append((block, "judged", 0, 0, pickle.dumps((np.array(keys, np.uint64), hashes, least, early), 5)))
+    return answers(out)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _remove(keep_text: bool):
-    def remove(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        known = {(k, h): (doc, runs) for x in answers["data"] for k, h, doc, runs in pickle.loads(x)}
+    def remove(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        known: dict[tuple[int, int], tuple[int, tuple]] = {}
+        for x in side.loc[side["kind"] == "judged", "data"]:
+            keys, hashes, least, early = pickle.loads(x)
+            for i, (k, h, doc) in enumerate(zip(keys.tolist(), hashes.tolist(), least.tolist(), strict=True)):
+                known[k, h] = (doc, early.get(i, ()))
         keys = np.unique(np.array([k for k, _ in known], np.uint64))
         out = []
-        for doc_id, text in zip(docs["doc_id"].tolist(), docs["text"].tolist(), strict=True):
-            data = _raw(text)
+        for doc_id, data in _firsts(docs, side):
             edge = np.zeros(len(data) + 1, np.int64)
             if len(keys):
                 k, start, end = segments(data)
@@ -205,22 +225,39 @@ def _remove(keep_text: bool):
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if gone.any() else data
             row = (doc_id, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
             out.append((*row, kept) if keep_text else row)
-        return pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")] + ["kept"] * keep_text)
+        return pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")] + ["kept"] * keep_text).astype({"doc_id": "int64", "n_bytes": "int64", "n_removed": "int64", "n_spans": "int64"})
 
     return remove
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """One row per document (doc_id, text): sizes and digest after removal, and (keep_text) the kept bytes."""
+    """One row per row of docs (doc_id, text): sizes and digest after removal, and (keep_text) the kept bytes.
+
+    Of equal texts only the smallest doc_id's goes through the blocks. The others lose everything from 50 bytes on:
+    the first one holds all their strings.
+    """
     blocks = n_blocks(docs, block_docs)
     buckets = max(16, blocks // 4)
-    dealt = with_block(docs.select("doc_id", "text"), "doc_id", blocks)
-    by_block = dealt.groupBy("block")
-    keys = by_block.applyInPandas(_send_keys(buckets), PARCEL)
-    repeated = keys.groupBy("bucket").applyInPandas(_repeated_keys, "block int, data binary")
-    parts = by_block.cogroup(repeated.groupBy("block")).applyInPandas(_send_segments(buckets), PARCEL)
-    judged = parts.groupBy("bucket").applyInPandas(_judge, "block int, data binary")
-    return by_block.cogroup(judged.groupBy("block")).applyInPandas(_remove(keep_text), RESULT + (", kept binary" if keep_text else ""))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hashed = texts.select("doc_id", F.sha2("text", 256).alias("h"), F.octet_length("text").cast("long").alias("n_bytes"))
+    firsts = hashed.groupBy("h").agg(F.min("doc_id").alias("first"))
+    members = materialize(hashed.join(firsts, "h").select("doc_id", "n_bytes", "first", "h"), "texts")
+    is_first = F.col("doc_id") == F.col("first")
+    side = with_block(members.where(is_first).select("doc_id").distinct(), "doc_id", blocks).select("block", F.lit("first").alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(None).cast("binary").alias("data"))
+    by_block = with_block(texts, "doc_id", blocks).groupBy("block")
+    repeated = by_block.cogroup(side.groupBy("block")).applyInPandas(_send_keys(buckets), PARCEL).groupBy("bucket").applyInPandas(_repeated_keys, ANSWER)
+    parts = by_block.cogroup(side.unionByName(repeated).groupBy("block")).applyInPandas(_send_segments(buckets), PARCEL)
+    judged = parts.groupBy("bucket").applyInPandas(_judge, ANSWER)
+    done = by_block.cogroup(side.unionByName(judged).groupBy("block")).applyInPandas(_remove(keep_text), RESULT + (", kept binary" if keep_text else ""))
+    # every row of a first document gets its one result; the copies' results follow from their size
+    own = members.where(is_first).groupBy("doc_id").agg(F.count("*").alias("_n"))
+    done = done.join(own, "doc_id").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n", "_i")
+    lost = F.col("n_bytes") >= LENGTH
+    copies = members.where(~is_first).select("doc_id", "n_bytes", F.when(lost, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(lost, 1).otherwise(0).cast("long").alias("n_spans"), F.when(lost, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("h")).alias("kept_sha256"))
+    if keep_text:
+        short = texts.where(F.octet_length("text") < LENGTH).select("doc_id", F.col("text").cast("binary").alias("kept")).dropDuplicates(["doc_id"])
+        copies = copies.join(short, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit("").cast("binary")))
+    return done.unionByName(copies)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
