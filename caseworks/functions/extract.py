@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Word edges by ASCII letters, digits and underscore, alike in every Java release.
+EDGE_LEFT, EDGE_RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 # Tags by the pattern that gives them.
-TAGS = {"code": "```", "programming": r"(?i)\b(python|javascript|typescript|java|rust|go)\b", "api": r"(?i)\b(api|endpoint|request|response)\b"}
+TAGS = {
+    "code": "```",
+    "programming": f"(?i){EDGE_LEFT}(python|javascript|typescript|java|rust|go){EDGE_RIGHT}",
+    "api": f"(?i){EDGE_LEFT}(api|endpoint|request|response){EDGE_RIGHT}",
+}
 
 
 def entities(text: Column | str, n: int = 5) -> Column:
     """Distinct capitalised words or phrases, the first n."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1))), 1, n)
+    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{EDGE_LEFT}([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*){EDGE_RIGHT}"), F.lit(1))), 1, n)
 
 
 def text_metadata(df: DataFrame, id: str, text: str, n: int = 5, common: list[str] = ()) -> DataFrame:
     """id, entities, keywords (most frequent words of four letters or more, ties by alphabet), tags."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\b([a-z]{4,})\b"), F.lit(1)), lambda w: ~w.isin(list(common) or [""]))
+    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"{EDGE_LEFT}([a-z]{{4,}}){EDGE_RIGHT}"), F.lit(1)), lambda w: ~w.isin(list(common) or [""]))
     counted = df.select(id, F.explode(words).alias("w")).groupBy(id, "w").agg(F.count("*").alias("c"))
     top = counted.groupBy(id).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "w"))), 1, n).alias("k")).select(id, F.col("k.w").alias("keywords"))
     tags = F.filter(F.array(*[F.when(F.col(text).rlike(p), t) for t, p in TAGS.items()]), lambda x: x.isNotNull())

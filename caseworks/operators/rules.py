@@ -69,7 +69,7 @@ def review(docs: DataFrame, checks: DataFrame) -> DataFrame:
     """doc_id, check_id, severity, matched (50 characters at most) where a check's pattern matches and its negative
     pattern doesn't. checks: check_id, pattern, negative_pattern (nullable), severity; broadcast if small."""
     j = docs.select("doc_id", "text").join(small(checks), F.rlike(F.col("text"), F.col("pattern")) & ~F.coalesce(F.rlike(F.col("text"), F.col("negative_pattern")), F.lit(False)))
-    return j.select("doc_id", "check_id", "severity", F.substring(F.regexp_extract(F.col("text"), F.col("pattern"), F.lit(0)), 1, 50).alias("matched"))
+    return j.select("doc_id", "check_id", "severity", F.substring(F.regexp_substr(F.col("text"), F.col("pattern")), 1, 50).alias("matched"))
 
 
 def missing_required(docs: DataFrame, required: DataFrame) -> DataFrame:
