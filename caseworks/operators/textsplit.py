@@ -32,7 +32,7 @@ def split_clauses(df: DataFrame, id: str, text: str, start_patterns: list[str])
 def extract_items(df: DataFrame, id: str, text: str, opens: str, fields: dict[str, str]) -> DataFrame:
     """Line items: a line matching `opens` starts one (its group 1 is the name); of each field's pattern the last match
     among the item's lines wins."""
-    section = df.select(id, F.posexplode(_sections(F.col(text), opens)).alias("item_no", "_s")).where(F.col("_s").rlike(f"^(?:{opens})"))
+    section = df.select(id, F.posexplode(_sections(F.col(text), f"^(?:{opens})")).alias("item_no", "_s")).where(F.col("_s").rlike(f"^(?:{opens})"))
     last = {k: F.try_element_at(F.regexp_extract_all("_s", F.lit(p), F.lit(1)), F.lit(-1)) for k, p in fields.items()}
     return section.select(id, "item_no", F.regexp_extract("_s", opens, 1).alias("name"), *[v.alias(k) for k, v in last.items()])
 
