@@ -36,7 +36,9 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 def normalise(text: str | None) -> str:
     """Words in lower case with one space before and after each; a lone space if there are none."""
-    text = _GAP.sub(" ", (text or "").translate(_LOWER) if not (text or "").isascii() else text.lower())
+    if not text:
+        return " "
+    text = _GAP.sub(" ", text.lower() if text.isascii() else text.translate(_LOWER))
     return (text if text.startswith(" ") else " " + text) + ("" if text.endswith(" ") else " ")
 
 
