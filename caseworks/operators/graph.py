@@ -3,19 +3,12 @@ lineage is cut by a checkpoint into spark.checkpoint.dir."""
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-        spark.conf.set("spark.checkpoint.dir", "set")
-    return df.checkpoint()
+from caseworks.plans.shared import cut_lineage
 
 
 def replay(oplog: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +35,7 @@ def hierarchy(items: DataFrame, id: str, parent: str, title: str, max_depth: int
     found = [level]
     for depth in range(1, max_depth + 1):
         up = level.select(F.col("id").alias("parent_id"), F.col("title").alias("parent_title"), "path")
-        level = _cut(base.join(up, "parent_id").where(~F.array_contains("path", F.col("id"))).select("id", F.lit(depth).alias("level"), "parent_id", "parent_title", "title", F.concat("path", F.array("id")).alias("path")))
+        level = cut_lineage(base.join(up, "parent_id").where(~F.array_contains("path", F.col("id"))).select("id", F.lit(depth).alias("level"), "parent_id", "parent_title", "title", F.concat("path", F.array("id")).alias("path")))
         if level.isEmpty():
             break
         found.append(level)
@@ -58,7 +51,7 @@ def neighbors(edges: DataFrame, start: DataFrame, depth: int, rel: str | None =
     for hop in range(1, depth + 1):
         step = frontier.join(e, frontier["at"] == e["src"]).select("start", F.col("dst").alias("id")).distinct()
         step = step if seen is None else step.join(seen.select("start", "id"), ["start", "id"], "left_anti")
-        step = _cut(step.withColumn("hops", F.lit(hop)))
+        step = cut_lineage(step.withColumn("hops", F.lit(hop)))
         if step.isEmpty():
             break
         seen = step if seen is None else seen.unionByName(step)
@@ -76,7 +69,7 @@ def shortest_path(edges: DataFrame, start: int | str, end: int | str, max_depth:
     for hop in range(1, max_depth + 1):
         step = frontier.join(e, frontier["at"] == e["src"]).groupBy(F.col("dst").alias("to")).agg(F.min("path").alias("path"))
         step = step.select(F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path")).join(seen, "at", "left_anti")
-        frontier = _cut(step)
+        frontier = cut_lineage(step)
         hit = frontier.where(F.col("at") == F.lit(end).cast(kind))
         if not hit.isEmpty():
             return hit.select(F.lit(hop).alias("hops"), "path")
@@ -104,11 +97,11 @@ def domain_rollup(nodes: DataFrame, edges: DataFrame, rel: str = "contains", dom
 def cyclic_nodes(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """id of the nodes that lie on a cycle or between cycles: what is left when nodes without an edge in or out are taken
     away again and again."""
-    e = _cut(edges.select("src", "dst").distinct())
+    e = cut_lineage(edges.select("src", "dst").distinct())
     n = e.count()
     for _ in range(max_rounds):
         both = e.select(F.col("src").alias("x")).intersect(e.select(F.col("dst").alias("x")))
-        e = _cut(e.join(both.withColumnRenamed("x", "src"), "src", "left_semi").join(both.withColumnRenamed("x", "dst"), "dst", "left_semi"))
+        e = cut_lineage(e.join(both.withColumnRenamed("x", "src"), "src", "left_semi").join(both.withColumnRenamed("x", "dst"), "dst", "left_semi"))
         left = e.count()
         if left in (0, n):
             break

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from caseworks.plans.registry import query, table
+from caseworks.plans.shared import shared_dir
 from caseworks.plans.relational_queries import USAGE_SQL, prices, usage
 from caseworks.sources import io
 from caseworks.streaming import alerts
@@ -105,8 +105,7 @@ def st11(spark, d):
 
 
 def _folder(spark) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{at.rstrip('/')}/io-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/io-{uuid.uuid4().hex}"
 
 
 @query("io1_read_delimited", "SELECT s_suppkey::VARCHAR AS s_suppkey, s_name, CASE WHEN s_suppkey % 5 <> 0 THEN s_nationkey::VARCHAR END AS nation FROM supplier")
