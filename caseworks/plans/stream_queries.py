@@ -132,11 +132,11 @@ def io3(spark, d):
     return io.read_oplog(spark, path).select("seq", "op", "id", "type", F.col("properties")["k"].alias("k"))
 
 
-@query("io4_read_documents", "SELECT md5(p_name) AS content_hash, octet_length(encode(p_name))::BIGINT AS size FROM part WHERE p_partkey < 20")
+@query("io4_read_documents", "SELECT md5(n_name) AS content_hash, octet_length(encode(n_name))::BIGINT AS size FROM nation")
 def io4(spark, d):
     path = _folder(spark)
-    p = table(spark, d, "part").where("p_partkey < 20").select("p_partkey", F.col("p_name").alias("value"))
-    p.repartition("p_partkey").write.partitionBy("p_partkey").text(path)
+    p = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("value"))
+    p.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
     return io.read_documents(spark, path).select("content_hash", "size")
 
 
