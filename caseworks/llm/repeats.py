@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +34,9 @@ from caseworks.llm.exchange import ANSWER, PARCEL, among, answers, pack48, parce
 from caseworks.llm.suffix_order import suffix_order
 
 LENGTH = 50
-GRAM = 24
+GRAM = 30
+#: Of an equal window, so many bytes at least lie left or right of its least k-gram.
+SIDE = (LENGTH - GRAM + 1) // 2
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: A symbol between segments, below every byte.
@@ -46,10 +48,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def window_keys(data: bytes) -> np.ndarray:
-    """Key of each 50-byte window."""
-    n = len(data) - LENGTH + 1
-    if n < 1:
+def gram_hashes(data: bytes) -> np.ndarray:
+    """Hash of each k-gram; none for texts without a window."""
+    if len(data) < LENGTH:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         one = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
@@ -58,7 +59,14 @@ def window_keys(data: bytes) -> np.ndarray:
             gram, size, power = gram[: len(gram) - size] * power + gram[size:], size * 2, power * power
             if bit == "1":
                 gram, size, power = gram[:-1] * _MULTIPLIER + one[size : size + len(gram) - 1], size + 1, power * _MULTIPLIER
-        low = _mix(gram)
+        return _mix(gram)
+
+
+def window_keys(low: np.ndarray) -> np.ndarray:
+    """Key of each 50-byte window, from the hashes of its k-grams."""
+    if not len(low):
+        return low
+    with np.errstate(over="ignore"):
         width, size = LENGTH - GRAM + 1, 1
         while size * 2 <= width:
             low, size = np.minimum(low[: len(low) - size], low[size:]), size * 2
@@ -69,13 +77,21 @@ def window_keys(data: bytes) -> np.ndarray:
 
 def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, first windows and ends of the runs of consecutive windows with one key."""
-    keys = window_keys(data)
+    keys = window_keys(gram_hashes(data))
     if not len(keys):
         return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[start], start, np.append(start[1:], len(keys))
 
 
+def anchors(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where the least k-gram of each segment (first window, end) lies in it; -1 if it occurs more than once there."""
+    low, width = gram_hashes(data), np.arange(LENGTH - GRAM + 1)
+    first = start + low[start[:, None] + width].argmin(1)
+    last = end - 1 + len(width) - 1 - low[(end - 1)[:, None] + width][:, ::-1].argmin(1)
+    return np.where(first == last, first - start, -1).astype(np.int32)
+
+
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -118,53 +134,74 @@ def _send_segments(buckets: int):
     def send(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         packed = side.loc[side["kind"] == "keys", "data"]
         keys = np.sort(unpack48(b"".join(packed))) if len(packed) else np.zeros(0, np.uint64)
-        least: dict[tuple[int, bytes], int] = {}
+        least: dict[tuple[int, bytes], tuple[int, int]] = {}
         for doc_id, data in _firsts(docs, side):
             k, start, end = segments(data)
             hit = np.flatnonzero(among(k >> np.uint64(16) << np.uint64(16), keys))
-            for key, a, b in zip(k[hit].tolist(), start[hit].tolist(), (end[hit] + LENGTH - 1).tolist(), strict=True):
+            if not len(hit):
+                continue
+            at = anchors(data, start[hit], end[hit])
+            for key, a, b, anchor in zip(k[hit].tolist(), start[hit].tolist(), (end[hit] + LENGTH - 1).tolist(), at.tolist(), strict=True):
                 own = (key, data[a:b])
-                if least.get(own, doc_id) >= doc_id:
-                    least[own] = doc_id
+                if own not in least or least[own][0] > doc_id:
+                    least[own] = (doc_id, anchor)
         texts = [t for _, t in least]
-        keys, firsts, size = np.array([k for k, _ in least], np.uint64), np.array(list(least.values()), np.int64), np.array([len(t) for t in texts], np.int32)
+        keys, size = np.array([k for k, _ in least], np.uint64), np.array([len(t) for t in texts], np.int32)
+        firsts, at = np.array([d for d, _ in least.values()], np.int64), np.array([x for _, x in least.values()], np.int32)
         block = int(side["block"].iloc[0]) if len(side) else 0
-        return parcels(block, buckets, keys, lambda p: (keys[p], firsts[p], size[p], b"".join([texts[i] for i in p.tolist()])))
+        return parcels(block, buckets, keys, lambda p: (keys[p], firsts[p], at[p], size[p], b"".join([texts[i] for i in p.tolist()])))
 
     return send
 
 
+def may_share(texts: dict[bytes, int], at: dict[bytes, int]) -> dict[bytes, int]:
+    """The segments that may share a window with another: equal windows lie alike around the least k-gram, so they agree
+    on SIDE bytes left or right of it. Where a segment holds it twice, all of them may."""
+    if min(at[t] for t in texts) < 0:
+        return texts
+    left = {t: t[at[t] - SIDE : at[t]] if at[t] >= SIDE else None for t in texts}
+    right = {t: t[at[t] + GRAM : at[t] + GRAM + SIDE] if len(t) >= at[t] + GRAM + SIDE else None for t in texts}
+    n_left, n_right = Counter(left.values()), Counter(right.values())
+    return {t: d for t, d in texts.items() if (left[t] is not None and n_left[left[t]] > 1) or (right[t] is not None and n_right[right[t]] > 1)}
+
+
 def earlier_windows(texts: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
     """Of distinct segments with their least documents: the runs of windows that a smaller document than that holds.
 
     The suffixes of all segments are sorted together; equal windows are neighbours there.
     """
     symbols: list[int] = []
-    place: list[tuple[bytes, int]] = []
-    for text in texts:
-        place += [(text, i) for i in range(len(text))] + [(b"", 0)]
+    owner: list[int] = []
+    starts: list[int] = []
+    opens = bytearray()  # whether a window starts at a symbol
+    names = list(texts)
+    for k, text in enumerate(names):
+        starts.append(len(symbols))
         symbols += text
         symbols.append(_BREAK)
+        owner += [k] * (len(text) + 1)
+        opens += bytes([1]) * (len(text) - LENGTH + 1) + bytes(LENGTH)
     found: dict[bytes, list[int]] = defaultdict(list)
 
-    def close(same: list[tuple[bytes, int]]) -> None:
-        least = min(texts[t] for t, _ in same)
-        for t, i in same:
-            if texts[t] > least:
-                found[t].append(i)
+    def close(same: list[int]) -> None:
+        docs = [texts[names[owner[at]]] for at in same]
+        least = min(docs)
+        for at, doc in zip(same, docs, strict=True):
+            if doc > least:
+                found[names[owner[at]]].append(at - starts[owner[at]])
 
-    same: list[tuple[bytes, int]] = []
+    same: list[int] = []
     window = None
     for at in suffix_order(symbols):
-        text, i = place[at]
-        if i + LENGTH > len(text):
+        if not opens[at]:
             continue
-        own = text[i : i + LENGTH]
+        i = at - starts[owner[at]]
+        own = names[owner[at]][i : i + LENGTH]
         if own != window:
             if len(same) > 1:
                 close(same)
             same, window = [], own
-        same.append((text, i))
+        same.append(at)
     if len(same) > 1:
         close(same)
     runs = {}
@@ -180,15 +217,18 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each block of a bucket: keys, segment hashes, least documents and, for these, the windows held earlier."""
     got = []
     by_key: dict[int, dict[bytes, int]] = defaultdict(dict)
+    place: dict[int, dict[bytes, int]] = defaultdict(dict)
     for block, x in zip(pdf["block"].tolist(), pdf["data"], strict=True):
-        keys, firsts, size, joined = pickle.loads(x)
+        keys, firsts, at, size, joined = pickle.loads(x)
         ends = np.cumsum(size).tolist()
         texts = [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         got.append((block, keys.tolist(), texts))
-        for key, text, doc in zip(got[-1][1], texts, firsts.tolist(), strict=True):
+        for key, text, doc, anchor in zip(got[-1][1], texts, firsts.tolist(), at.tolist(), strict=True):
             of = by_key[key]
             of[text] = min(doc, of.get(text, doc))
-    runs = {k: earlier_windows(t) for k, t in by_key.items() if len(t) > 1}
+            place[key][text] = anchor
+    near = {k: may_share(t, place[k]) for k, t in by_key.items() if len(t) > 1}
+    runs = {k: earlier_windows(t) for k, t in near.items() if len(t) > 1}
     out = []
     for block, keys, texts in got:
         hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
