@@ -374,6 +374,22 @@ def test_lines(spark):
     assert lines.dedup_lines(df.where("doc_id < 0")).count() == 0
 
 
+def test_lines_of_unspaced_script(spark):
+    rng = np.random.default_rng(5)
+    signs = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9000, n)))
+    long, some, url = signs(300), signs(90), "https://example.org/" + "".join(rng.choice(list("abcdef0123456789"), 200))
+    near = ["total due", "total due!", "total dues", "abcdefg", "abcdefg!"]
+    data = list(enumerate([long, long[:5] + "x" + long[5:], some, some[:3] + "y" + some[3:], url, url[:9] + "z" + url[9:], "y" * 400, "y" * 30, signs(80), *near]))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+
+    def brute(i):
+        grams = lambda s: {s[k : k + 8] for k in range(len(s) - 7)}
+        return any(len(grams(data[i][1]) & grams(x)) >= 0.8 * len(grams(data[i][1]) | grams(x)) for _, x in data[:i] if len(x) >= 8 and len(data[i][1]) >= 8)
+
+    got = {r.doc_id for r in lines.dedup_lines(df).where("n_removed > 0").collect()}
+    assert got == {i for i in range(len(data)) if brute(i)} and {1, 3, 5, 7} <= got
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
