@@ -240,6 +240,24 @@ def test_near_duplicates(spark, block_docs):
     assert minhash.near_duplicates(empty(df)).count() == 0
 
 
+def test_no_link_of_a_bucket_is_lost(spark, monkeypatch):
+    """All documents in one bucket: a chain whose least document is like one end only, and more clusters than rounds."""
+    monkeypatch.setattr(minhash, "bands", lambda samples: np.ones((len(samples), minhash.BANDS), np.uint64))
+    rng = np.random.default_rng(4)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    base, notice = words(200), words(90)
+    changed = lambda at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    data = [(1, changed({150, 160})), (2, changed({160})), (3, changed({30, 160})), (4, changed({30, 60, 100, 160})), (5, changed({30, 60, 100, 130, 180}))]
+    for k in range(12):
+        own = notice + words(40)
+        data += [(100 + 10 * j + 1000 * (j % 2) + k, " ".join([*own, *words(j)])) for j in range(4)]
+    rng.shuffle(data)
+    df = spark.createDataFrame([(int(i), str(t)) for i, t in data], "doc_id long, text string")
+    want = brute_classes([(int(i), str(t)) for i, t in data])
+    assert 12 < len(set(want.values())) < 17
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df, block_docs=7).collect()} == want
+
+
 def test_samples_follow_weighted_jaccard():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
