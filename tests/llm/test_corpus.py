@@ -392,6 +392,22 @@ def test_lines(spark):
     assert lines.dedup_lines(df.where("doc_id < 0")).count() == 0
 
 
+def test_no_link_of_a_line_bucket_is_lost(spark, monkeypatch):
+    """All lines in one bucket: a chain whose ends are alike by its middle only, and more patterns than rounds."""
+    monkeypatch.setattr(lines, "band_rows", lambda x, *_: x.where(F.length("line") >= lines.MIN_CHARS).select("id", F.lit(1).cast("long").alias("band")).distinct())
+    rng = np.random.default_rng(6)
+    signs = lambda n: "".join(rng.choice(list("abcdefghijkl"), n))
+    base, pattern = signs(300), signs(150)
+    data = ["".join("x" if i in at else c for i, c in enumerate(base)) for at in ({50}, {50, 90}, {50, 90, 130}, {50, 90, 130, 170}, {50, 90, 130, 170, 210})]
+    for _ in range(15):
+        own = pattern + signs(60)
+        data += [own, own + "!", own + signs(8)]
+    rng.shuffle(data)
+    data = [(i, str(x)) for i, x in enumerate(data)]
+    got = {r.doc_id: r.clean for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == brute_lines(data) and sum(x == "" for x in got.values()) >= 30
+
+
 def test_lines_of_unspaced_script(spark):
     rng = np.random.default_rng(5)
     signs = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9000, n)))
