@@ -129,21 +129,20 @@ def rank_similar(df: DataFrame, query: str, keywords: list[str], k: int = 10, we
 
 def dedup_text(df: DataFrame, doc: str, text: str, id: str, threshold: float = 0.8) -> DataFrame:
     """Greedy dedup inside a document: in order of id a text similar to a kept one is merged into it, and the longer of
-    the two texts stays in its place (later texts are compared with the first one). Adds n_merged. Texts are compared
-    by longest matching blocks only if they share a quarter of their words."""
+    the two texts stays in its place (later texts are compared with the first one). Adds n_merged. Lengths and
+    shared characters bound the ratio of longest matching blocks from above, so only hopeless pairs are spared it."""
     fields = ", ".join(f"`{c}` {t}" for c, t in df.select(doc, id, text).dtypes)
 
     def near(a: str, b: str) -> bool:
+        from collections import Counter
         from difflib import SequenceMatcher
 
         if a == b:
             return True
-        x, y = set(a.split()), set(b.split())
-        if 2 * min(len(a), len(b)) < threshold * (len(a) + len(b)) or 4 * len(x & y) < len(x | y):
+        total = len(a) + len(b)
+        if 2.0 * min(len(a), len(b)) / total < threshold or 2.0 * (Counter(a) & Counter(b)).total() / total < threshold:
             return False
-
-        m = SequenceMatcher(None, a, b, autojunk=False)
-        return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+        return SequenceMatcher(None, a, b, autojunk=False).ratio() >= threshold
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first: list[str] = []

@@ -116,3 +116,16 @@ def test_budget_is_strict(spark):
     s = spark.createDataFrame([("a", 1.0), ("b", 1.1), ("c", 9.0)], "k string, cost double")
     got = stats.check_budget(s, spark.createDataFrame([("a", 1.0), ("b", 1.0)], "k string, budget double"), "k")
     assert {r.k: r.over for r in got.collect()} == {"a": False, "b": True, "c": False}
+
+
+def test_dedup_text_is_plain_sequence_matching(spark):
+    from difflib import SequenceMatcher
+
+    texts = ["colour", "colours", "甲方应在十日内付款给乙方", "甲方应在九日内付款给乙方", "teh quikc borwn", "the quick brown", "unlike", "", "soloruc"]
+    kept: list[str] = []
+    for t in texts:
+        if not any(t == k or SequenceMatcher(None, k, t, autojunk=False).ratio() >= 0.8 for k in kept):
+            kept.append(t)
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc long, i long, t string")
+    got = search.dedup_text(df, "doc", "t", "i").collect()
+    assert sorted(r.i for r in got) == sorted(texts.index(k) for k in kept) and len(kept) < len(texts) - 1
