@@ -11,6 +11,8 @@ from caseworks.plans.shared import shared_dir
 
 #: Documents that one block (one Python call) holds; bounds the memory of a task.
 BLOCK_DOCS = 1000
+#: Rows (of some numbers each) that are broadcast at most, some 50 MB in an executor; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +36,11 @@ def with_block(df: DataFrame, key: str, blocks: int) -> DataFrame:
     return df.withColumn("block", F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(blocks)).cast("int"))
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has few rows. For tables of narrow rows that are written already: counting them
+    reads footers only."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def crc_mod(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod

@@ -1,19 +1,31 @@
-"""The pairs that a bucket's ties to one leader leave open, found by an exact prefix filter.
+"""The pairs that a bucket's ties to one leader leave open.
 
-Members of one component need no further link. In a bucket that holds two components or more every pair across them is
-open, also one between a member that passed against the leader and one that failed. Two sets that reach the threshold
-share an element among the rarest of the smaller one (its index elements) and among the somewhat more rare ones of the
-larger one: elements take the place of buckets. All pairs across components that share one are given out, none is capped;
-what is inside an element's largest component is never paired.
+Members of one component need no further link. Besides the ties, the pairs of a bucket's other members across components
+are open, also one between a member that passed against the leader and one that failed. Small buckets give out their open
+pairs themselves. Larger ones go on by an exact prefix filter: two sets that reach the threshold share an element among
+the rarest of the smaller one (its index elements) and among the somewhat more rare ones of the larger one: elements take
+the place of buckets. All pairs across components that share one are given out, none is capped; what is inside an
+element's largest component is never paired.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sums of weights are compared with this slack, so that rounding loses no pair.
 SLACK = 1e-5
+#: Members (besides the leader) of a bucket that gives out its open pairs itself.
+SMALL = 12
+
+
+def ties(rows: DataFrame) -> DataFrame:
+    """(band, id, leader): every row (band, id) of a bucket but its leader, with the leader: the least id in half of the
+    buckets, the greatest in the others, so that a line has leaders of both kinds. One shuffle, and a window that can
+    spill."""
+    bucket = Window.partitionBy("band")
+    leader = F.when(F.col("band") % 2 == 0, F.min("id").over(bucket)).otherwise(F.max("id").over(bucket))
+    return rows.withColumn("leader", leader).where("id <> leader")
 
 
 def labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -21,10 +33,27 @@ def labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(parts.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
 
 
-def open_rows(rows: DataFrame, key: str) -> DataFrame:
-    """Rows (key, id, c, ...) of the buckets that hold two components or more."""
-    several = rows.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(key)
-    return rows.join(several, key, "left_semi")
+def _across(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (key, id, c, ...) of the buckets that hold two components or more, with their number n."""
+    several = rows.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select(key, "n")
+    return rows.join(several, key)
+
+
+def open_rows(rows: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """Of the rows (key, id) of all members but the leaders, those in buckets with open pairs, with c and n."""
+    return _across(labelled(rows, parts), key)
+
+
+def small_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """(member, leader): the open pairs of small buckets; SMALL bounds them by a few for each row."""
+    few = rows.where(F.col("n") <= SMALL)
+    a, b = few.select(key, F.col("id").alias("a"), F.col("c").alias("ca")), few.select(key, F.col("id").alias("b"), F.col("c").alias("cb"))
+    return a.join(b, key).where("a < b AND ca <> cb").select(*_pair("a", "b")).distinct()
+
+
+def open_ids(rows: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """(id,) of the larger buckets that still have open pairs."""
+    return open_rows(rows, parts, key).where(F.col("n") > SMALL).select("id").distinct()
 
 
 def _pair(a: str, b: str) -> list:
@@ -33,7 +62,7 @@ def _pair(a: str, b: str) -> list:
 
 def leader_pairs(post: DataFrame) -> DataFrame:
     """(member, leader): every row of an element with the least of its rows, if they are of two components."""
-    lead = open_rows(post, "e").groupBy("e").agg(F.min_by(F.struct("id", "c", "size"), F.xxhash64("id")).alias("l"))
+    lead = _across(post, "e").groupBy("e").agg(F.min_by(F.struct("id", "c", "size"), F.xxhash64("id")).alias("l"))
     tied = post.join(lead, "e").where("c <> l.c").withColumn("lead", F.col("l.id"))
     return tied.select(*_pair("id", "lead")).distinct()
 
