@@ -1,79 +1,74 @@
-"""The pairs that a bucket's ties to one leader leave open.
-
-Members of one component need no further link. Besides the ties, the pairs of a bucket's other members across components
-are open, also one between a member that passed against the leader and one that failed. Small buckets give out their open
-pairs themselves. Larger ones go on by an exact prefix filter: two sets that reach the threshold share an element among
-the rarest of the smaller one (its index elements) and among the somewhat more rare ones of the larger one: elements take
-the place of buckets. All pairs across components that share one are given out, none is capped; what is inside an
-element's largest component is never paired.
+"""Candidate pairs from the buckets of bands, linear in the rows of the buckets.
+
+Every row of a bucket is tied to the bucket's leader. Besides the ties, the pairs of a bucket's other members across
+components are open, also one between a member that passed against the leader and one that failed (members of one
+component need no further link). Small buckets give out their open pairs themselves. Larger ones are split: all rows that
+agree on two bands form a finer bucket, for every two bands, and finer buckets are resolved in the same way. Two similar
+texts agree on several bands, so they meet in several finer buckets; dissimilar ones are mostly dealt apart. What is left
+is a pair that in each of its buckets, the finer ones included, stands among more than SMALL others and never with a
+leader; README gives the measured recall.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sums of weights are compared with this slack, so that rounding loses no pair.
-SLACK = 1e-5
+from caseworks.llm.common import materialize
+
 #: Members (besides the leader) of a bucket that gives out its open pairs itself.
 SMALL = 12
 
 
-def ties(rows: DataFrame) -> DataFrame:
-    """(band, id, leader): every row (band, id) of a bucket but its leader, with the leader: the least id in half of the
-    buckets, the greatest in the others, so that a line has leaders of both kinds. One shuffle, and a window that can
-    spill."""
+def _leader(what: Column) -> Column:
+    """The least of a bucket in half of the buckets, the greatest in the others, so that a row has leaders of both kinds.
+    The window can spill."""
     bucket = Window.partitionBy("band")
-    leader = F.when(F.col("band") % 2 == 0, F.min("id").over(bucket)).otherwise(F.max("id").over(bucket))
-    return rows.withColumn("leader", leader).where("id <> leader")
+    return F.when(F.col("band") % 2 == 0, F.min(what).over(bucket)).otherwise(F.max(what).over(bucket))
 
 
-def labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """rows (id, ...) with c, the component of id: itself if parts (node, component) hasn't got it."""
-    return rows.join(parts.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+def ties(rows: DataFrame) -> DataFrame:
+    """(band, id, leader): every row (band, id) of a bucket but its leader, with the leader."""
+    return rows.withColumn("leader", _leader(F.col("id"))).where("id <> leader")
 
 
-def _across(rows: DataFrame, key: str) -> DataFrame:
-    """Rows (key, id, c, ...) of the buckets that hold two components or more, with their number n."""
-    several = rows.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select(key, "n")
-    return rows.join(several, key)
+def labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows (band, id) with c, the component of id: itself if parts (node, component) hasn't got it."""
+    return rows.join(parts.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").select("band", "id", F.coalesce("c", "id").alias("c"))
 
 
-def open_rows(rows: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    """Of the rows (key, id) of all members but the leaders, those in buckets with open pairs, with c and n."""
-    return _across(labelled(rows, parts), key)
+def _across(rows: DataFrame) -> DataFrame:
+    """Rows (band, id, c) of the buckets that hold two components or more, with their number n."""
+    several = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
+    return rows.join(several, "band")
 
 
-def small_pairs(rows: DataFrame, key: str) -> DataFrame:
+def _small_pairs(rows: DataFrame) -> DataFrame:
     """(member, leader): the open pairs of small buckets; SMALL bounds them by a few for each row."""
     few = rows.where(F.col("n") <= SMALL)
-    a, b = few.select(key, F.col("id").alias("a"), F.col("c").alias("ca")), few.select(key, F.col("id").alias("b"), F.col("c").alias("cb"))
-    return a.join(b, key).where("a < b AND ca <> cb").select(*_pair("a", "b")).distinct()
-
-
-def open_ids(rows: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    """(id,) of the larger buckets that still have open pairs."""
-    return open_rows(rows, parts, key).where(F.col("n") > SMALL).select("id").distinct()
-
-
-def _pair(a: str, b: str) -> list:
-    return [F.greatest(a, b).alias("member"), F.least(a, b).alias("leader")]
-
-
-def leader_pairs(post: DataFrame) -> DataFrame:
-    """(member, leader): every row of an element with the least of its rows, if they are of two components."""
-    lead = _across(post, "e").groupBy("e").agg(F.min_by(F.struct("id", "c", "size"), F.xxhash64("id")).alias("l"))
-    tied = post.join(lead, "e").where("c <> l.c").withColumn("lead", F.col("l.id"))
-    return tied.select(*_pair("id", "lead")).distinct()
-
-
-def open_pairs(post: DataFrame, threshold: float) -> DataFrame:
-    """(member, leader): the pairs of two components that share an element (e, id, c, size, index) and may be similar."""
-    per = post.groupBy("e", "c").agg(F.count("*").alias("k"))
-    top = per.groupBy("e").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("e", "top")
-    rows = post.join(top, "e").withColumn("inside", F.col("c") == F.col("top")).drop("top")
-    a = rows.where("index").select("e", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("size").alias("na"), F.col("inside").alias("ia"))
-    b = rows.select("e", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("nb"), F.col("inside").alias("ib"))
-    ordered = (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("na") >= F.col("nb") * (threshold - SLACK)) & (F.col("ca") != F.col("cb"))
-    outside = a.where("not ia").join(b, "e").where(ordered).unionByName(a.where("ia").join(b.where("not ib"), "e").where(ordered))
-    return outside.select(*_pair("a", "b")).distinct()
+    a, b = few.select("band", F.col("id").alias("leader"), F.col("c").alias("ca")), few.select("band", F.col("id").alias("member"), F.col("c").alias("cb"))
+    return a.join(b, "band").where("leader < member AND ca <> cb").select("member", "leader").distinct()
+
+
+def _finer(rows: DataFrame) -> DataFrame:
+    """(band, id, c) for every two of the large open buckets that a row is in."""
+    large = rows.where(F.col("n") > SMALL)
+    of = large.groupBy("id", "c").agg(F.sort_array(F.collect_set("band")).alias("bands"))  # as many as there are bands at most
+    first = of.select("id", "c", "bands", F.posexplode("bands").alias("at", "one"))
+    return first.select("id", "c", "one", F.explode(F.slice("bands", F.col("at") + 2, F.size("bands"))).alias("other")).select(F.xxhash64("one", "other").alias("band"), "id", "c")
+
+
+def resolve(tied: DataFrame, check: Callable[[DataFrame], None], parts: Callable[[], DataFrame]) -> None:
+    """Check the open pairs of the buckets of tied (band, id, leader). check takes (member, leader) rows, skips those it
+    has seen and adds what passes to the links; parts gives the components of the links so far."""
+    rows = materialize(_across(labelled(tied.select("band", "id"), parts())), "open")
+    if rows.isEmpty():
+        return
+    finer = materialize(_finer(rows), "finer")
+    lead = finer.withColumn("leader", _leader(F.struct("id", "c"))).where("c <> leader.c")
+    lead = lead.select(F.greatest("id", "leader.id").alias("member"), F.least("id", "leader.id").alias("leader"))
+    check(_small_pairs(rows).unionByName(lead).distinct())
+    if not finer.isEmpty():
+        check(_small_pairs(_across(labelled(finer.select("band", "id"), parts()))))
