@@ -11,6 +11,8 @@ from caseworks.plans.shared import shared_dir
 
 #: Documents that one block (one Python call) holds; bounds the memory of a task.
 BLOCK_DOCS = 1000
+#: Bytes of text that a block holds for each of its documents, on average.
+DOC_BYTES = 8192
 #: Rows (of some numbers each) that are broadcast at most, some 50 MB in an executor; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -19,16 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df as Parquet into the shared folder (in a folder for each value of the columns `by`) and read it back: cuts
+    the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def n_blocks(df: DataFrame, per_block: int = BLOCK_DOCS) -> int:
-    """Number of blocks for df's rows. Counting a Parquet table reads footers only."""
-    return max(1, -(-df.count() // per_block))
+def n_blocks(df: DataFrame, per_block: int = BLOCK_DOCS, text: str = "text") -> int:
+    """Number of blocks for df's rows: bounded in rows, and in bytes of text for tables of long texts."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return max(1, -(-rows // per_block), -(-size // (per_block * DOC_BYTES)))
 
 
 def with_block(df: DataFrame, key: str, blocks: int) -> DataFrame:

@@ -24,24 +24,45 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+#: Bytes of text hashed at once.
+AT_ONCE = 1 << 18
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
-def token_hashes(data: bytes) -> np.ndarray:
-    """64-bit hash of each run of bytes between ASCII white space, in order."""
-    raw = np.frombuffer(data, np.uint8)
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs of bytes between ASCII white space of all texts, in order, and how many each text has.
+    Many short texts are hashed at once."""
+    out, sizes, held, size = [], [], [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= AT_ONCE:
+            _hash_joined(held, out, sizes)
+            held, size = [], 0
+    if held:
+        _hash_joined(held, out, sizes)
+    return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+
+def _hash_joined(texts: list[bytes], out: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     inside = ~_SPACES[raw]
-    start = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])) if len(raw) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[0::2], edge[1::2]  # the last byte is a space, so every run ends
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    sizes.append(np.diff(np.searchsorted(start, ends), prepend=0))
     if not len(start):
-        return np.zeros(0, np.uint64)
-    raw, inside = raw[start[0] :], inside[start[0] :]
-    start = start - start[0]
-    size = np.add.reduceat(inside.astype(np.int64), start)
-    at = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
+        return
+    length = end - start
+    letters = raw[inside].astype(np.uint64)
+    first = np.cumsum(length) - length
+    at = np.arange(len(letters)) - np.repeat(first, length)
     with np.errstate(over="ignore"):
-        parts = np.where(inside, raw, 0).astype(np.uint64) * _powers(int(at.max()) + 1)[at]
-        return mix(np.add.reduceat(parts, start) ^ size.astype(np.uint64))
+        letters *= _powers(int(length.max()))[at]
+        out.append(mix(np.add.reduceat(letters, first) ^ length.astype(np.uint64)))
 
 
 def word_hashes(words: list[str]) -> np.ndarray:

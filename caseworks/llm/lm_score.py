@@ -1,9 +1,11 @@
 """Document log-likelihoods: add-one unigrams over the whole corpus, and a gated recurrent model on top of them.
 
-1. Blocks of documents send the counts of their distinct tokens to key buckets; buckets sum them over the training
-   documents, and answer with the corpus counts (exchange of parcels). Every distinct token of the corpus takes part.
-2. The most frequent tokens are the vocabulary of a GRU (gru.py). Every task trains it on its share of all training
-   documents from the same start; the tasks' weights are averaged by tokens, as whole numbers, in one aggregation.
+1. Blocks of documents (by a hash of doc_id, each in the order of doc_id and text) become token numbers once, and are
+   written; they send the counts of their distinct tokens to key buckets. Buckets sum them over the training documents
+   and answer with the corpus counts (exchange of parcels). Every distinct token of the corpus takes part.
+2. The most frequent tokens are the vocabulary of a GRU (gru.py). It is trained on every block's training documents from
+   the same start, with a gradient in every window; the blocks' weights are averaged by tokens, as whole numbers, in one
+   aggregation. So the model follows from the rows alone, not from how Spark has split them.
 3. Scoring runs each whole document through the GRU, its state carried across windows. A token outside the vocabulary
    costs the model's unknown word times an add-one unigram over the rest of the corpus's tokens.
 
@@ -29,35 +31,39 @@ from caseworks.llm.hashing import token_hashes
 
 #: Words of the recurrent model, besides the unknown word and the end.
 VOCABULARY = 1022
-BLOCK_DOCS = 4000
-#: Documents and tokens that a task trains on at once.
-TRAIN_DOCS, TRAIN_TOKENS = 4096, 2_000_000
-#: Weights are summed as whole numbers of this fraction, times tokens.
+BLOCK_DOCS = 8000
+#: Documents that the model trains on at once.
+TRAIN_DOCS = 8192
+#: Weights are summed as whole numbers of this fraction, times hundreds of tokens.
 UNIT = 1 << 14
 #: Stands for the end of a document among token hashes.
 END = np.uint64(0x5D0E0D5D0E0D5D0E)
 UNKNOWN_ID, END_ID = 0, 1
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of a text's tokens, A-Z in lower case, and of the end."""
-    return np.append(token_hashes((text or "").encode("utf-8", "surrogatepass").lower()), END)
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, A-Z in lower case, each text's followed by the end, and how many each has."""
+    held, sizes = token_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts])
+    return np.insert(held, np.cumsum(sizes), END), sizes + 1
 
 
-def _local_counts(docs: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Tokens of each document; the block's distinct tokens and their counts in its training documents."""
-    held = [tokens(t) for t in docs["text"]]
-    training = np.repeat((~docs["held_out"].to_numpy(bool)).astype(np.int64), [len(h) for h in held])
-    keys, counts = sum_by_key(np.concatenate(held), training)
-    return held, keys, counts
+def _prepare(buckets: int):
+    """The block's documents in token numbers, as one row, and its counts for the buckets."""
 
+    def prepare(docs: pd.DataFrame) -> pd.DataFrame:
+        docs = docs.sort_values(["doc_id", "text"], kind="stable")
+        held, sizes = tokens(docs["text"].tolist())
+        codes, keys = pd.factorize(held)
+        out = docs["held_out"].to_numpy(bool)
+        counts = np.bincount(codes[np.repeat(~out, sizes)], minlength=len(keys))
+        block = int(docs["block"].iloc[0])
+        ids = (docs["doc_id"].fillna(0).to_numpy(np.int64), docs["doc_id"].isna().to_numpy())
+        small = np.uint16 if len(keys) < 1 << 16 else np.uint32
+        own = pd.DataFrame({"bucket": [-1], "block": [block], "data": [pickle.dumps((*ids, out, sizes, keys, counts, codes.astype(small)), 5)]})
+        sent = parcels(block, buckets, keys, lambda p: (keys[p], counts[p].astype(np.int32)))
+        return pd.concat([own.astype(sent.dtypes.to_dict()), sent]).assign(sent=lambda x: x["bucket"] >= 0)
 
-def _send_counts(buckets: int):
-    def send(docs: pd.DataFrame) -> pd.DataFrame:
-        _, keys, counts = _local_counts(docs)
-        return parcels(int(docs["block"].iloc[0]), buckets, keys, lambda p: (keys[p], counts[p].astype(np.int32)))
-
-    return send
+    return prepare
 
 
 def _answer_counts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,50 +100,55 @@ class Vocabulary:
         return ids
 
 
-def _train(docs: DataFrame, vocabulary: Vocabulary) -> gru.Params:
-    """Local training in every task from one start, then the average of the weights by tokens."""
+def _documents(codes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(codes, np.cumsum(sizes)[:-1])
+
+
+def _train(blocks: DataFrame, vocabulary: Vocabulary) -> gru.Params:
+    """Training on every block from one start, then the average of the weights by tokens."""
     start = gru.initial(vocabulary.counts)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trainer = gru.Trainer(start)
-        held: list[np.ndarray] = []
-        size = 0
         for pdf in batches:
-            for text in pdf["text"]:
-                held.append(vocabulary.encode(tokens(text)))
-                size += len(held[-1])
-                if len(held) >= TRAIN_DOCS or size >= TRAIN_TOKENS:
-                    trainer.learn(held)
-                    held, size = [], 0
-        if held:
-            trainer.learn(held)
-        if trainer.tokens:
-            values = np.rint(gru.flat(trainer.p).astype(np.float64) * UNIT).astype(np.int64) * trainer.tokens
-            yield pd.DataFrame({"at": np.arange(len(values), dtype=np.int32), "value": values, "tokens": trainer.tokens})
-
-    sums = docs.where("NOT held_out").select("text").mapInPandas(learn, "at int, value long, tokens long").groupBy("at").agg(F.sum("value").alias("value"), F.sum("tokens").alias("tokens"))
-    rows = sums.toPandas().sort_values("at")  # one row per weight
-    return gru.unflat((rows["value"] / rows["tokens"]).to_numpy() / UNIT, len(vocabulary.counts)) if len(rows) else start
+            for data in pdf["data"]:
+                _, _, out, sizes, keys, _, codes = pickle.loads(data)
+                docs = [d for d, o in zip(_documents(vocabulary.encode(keys)[codes], sizes), out, strict=True) if not o]
+                trainer = gru.Trainer(start)
+                for a in range(0, len(docs), TRAIN_DOCS):
+                    trainer.learn(docs[a : a + TRAIN_DOCS])
+                if trainer.tokens:
+                    weight = -(-trainer.tokens // 100)
+                    values = np.rint(gru.flat(trainer.p).astype(np.float64) * UNIT).astype(np.int64) * weight
+                    yield pd.DataFrame({"at": np.arange(len(values), dtype=np.int32), "value": values, "weight": weight})
+
+    parts = blocks.select("data").mapInPandas(learn, "at int, value long, weight long")
+    sums = parts.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"), F.sum("weight").alias("weight"))
+    rows = sums.select("at", (F.col("value").cast("double") / F.col("weight")).alias("value")).toPandas().sort_values("at")  # one row per weight
+    return gru.unflat(rows["value"].to_numpy() / UNIT, len(vocabulary.counts)) if len(rows) else start
 
 
 def _score(vocabulary: Vocabulary, params: gru.Params):
-    def score(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        held, keys, counts = _local_counts(docs)
-        for x in side["data"]:
-            k, n = pickle.loads(x)
-            counts[np.searchsorted(keys, k)] = n
-        n_tokens, n_distinct = vocabulary.n_tokens, vocabulary.n_distinct
-        out = []
-        encoded = [vocabulary.encode(h) for h in held]
-        likelihood = gru.log_likelihood(params, encoded)
-        for h, ids, own in zip(held, encoded, likelihood, strict=True):
-            c = counts[np.searchsorted(keys, h)]
-            base = float(np.log10((c + 1) / (n_tokens + n_distinct + 1)).sum())
-            rest = c[ids == UNKNOWN_ID]
-            unknown = float(np.log((rest + 1) / (vocabulary.rest + vocabulary.rest_distinct + 1)).sum())
-            out.append((len(h), int((c > 0).sum()), n_tokens, base, (own + unknown) / np.log(10)))
-        head = docs[["doc_id", "held_out"]].reset_index(drop=True)
-        return pd.concat([head, pd.DataFrame(out, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score"])], axis=1)
+    def score(block: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        frames = []
+        for data in block["data"]:
+            ids, null, out, sizes, keys, counts, codes = pickle.loads(data)
+            order = np.argsort(keys)
+            counts = counts.copy()
+            for x in side["data"]:
+                k, n = pickle.loads(x)
+                counts[order[np.searchsorted(keys, k, sorter=order)]] = n
+            v = vocabulary
+            encoded = v.encode(keys)
+            base = np.log10((counts + 1) / (v.n_tokens + v.n_distinct + 1))
+            unknown = np.where(encoded == UNKNOWN_ID, np.log((counts + 1) / (v.rest + v.rest_distinct + 1)), 0.0)
+            first = np.cumsum(sizes) - sizes
+            total = lambda x: np.add.reduceat(x[codes], first)  # noqa: B023, E731
+            own = gru.log_likelihood(params, _documents(encoded[codes], sizes))
+            frame = {"doc_id": pd.array(ids, "Int64"), "held_out": out, "n_tokens": sizes, "n_known": total((counts > 0).astype(np.int64)), "train_tokens": v.n_tokens}
+            frame = pd.DataFrame(frame | {"base_score": total(base), "score": (own + total(unknown)) / np.log(10)})
+            frame.loc[null, "doc_id"] = pd.NA
+            frames.append(frame)
+        return pd.concat(frames) if frames else pd.DataFrame({x.split()[0]: [] for x in SCORES.split(", ")})
 
     return score
 
@@ -150,16 +161,17 @@ def score_documents(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     blocks = n_blocks(docs, block_docs)
     buckets = max(16, blocks)
     dealt = with_block(docs.select("doc_id", "text", "held_out"), "doc_id", blocks)
-    by_block = dealt.groupBy("block")
-    counted = materialize(by_block.applyInPandas(_send_counts(buckets), PARCEL).groupBy("bucket").applyInPandas(_answer_counts, ANSWER), "token-counts")
+    prepared = materialize(dealt.groupBy("block").applyInPandas(_prepare(buckets), PARCEL + ", sent boolean"), "tokens", "sent")
+    held = prepared.where("NOT sent").select("block", "data")
+    counted = materialize(prepared.where("sent").drop("sent").groupBy("bucket").applyInPandas(_answer_counts, ANSWER), "token-counts")
     totals = counted.where("kind = 'totals'").agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     end = int(np.array([END]).view(np.int64)[0])
     top = counted.where("kind = 'top'")
     words = top.where(F.col("a") != end).orderBy(F.desc("b"), "a").limit(VOCABULARY).collect()
     ends = top.where(F.col("a") == end).agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
     vocabulary = Vocabulary([(r.a, r.b) for r in words], totals[0], totals[1], ends)
-    params = _train(docs, vocabulary)
-    return by_block.cogroup(counted.where("kind = 'counts'").groupBy("block")).applyInPandas(_score(vocabulary, params), SCORES)
+    params = _train(held, vocabulary)
+    return held.groupBy("block").cogroup(counted.where("kind = 'counts'").groupBy("block")).applyInPandas(_score(vocabulary, params), SCORES)
 
 
 def op9_gru_scores(spark, sf_dir: str) -> DataFrame:
