@@ -31,7 +31,7 @@ from caseworks.llm.hashing import token_hashes
 
 #: Words of the recurrent model, besides the unknown word and the end.
 VOCABULARY = 1022
-BLOCK_DOCS = 8000
+BLOCK_DOCS = 4000
 #: Documents that the model trains on at once.
 TRAIN_DOCS = 8192
 #: Weights are summed as whole numbers of this fraction, times hundreds of tokens.
@@ -112,7 +112,7 @@ def _train(blocks: DataFrame, vocabulary: Vocabulary) -> gru.Params:
         for pdf in batches:
             for data in pdf["data"]:
                 _, _, out, sizes, keys, _, codes = pickle.loads(data)
-                docs = [d for d, o in zip(_documents(vocabulary.encode(keys)[codes], sizes), out, strict=True) if not o]
+                docs = [d for d, o in zip(_documents(vocabulary.encode(keys).astype(np.int16)[codes], sizes), out, strict=True) if not o]
                 trainer = gru.Trainer(start)
                 for a in range(0, len(docs), TRAIN_DOCS):
                     trainer.learn(docs[a : a + TRAIN_DOCS])
@@ -143,7 +143,7 @@ def _score(vocabulary: Vocabulary, params: gru.Params):
             unknown = np.where(encoded == UNKNOWN_ID, np.log((counts + 1) / (v.rest + v.rest_distinct + 1)), 0.0)
             first = np.cumsum(sizes) - sizes
             total = lambda x: np.add.reduceat(x[codes], first)  # noqa: B023, E731
-            own = gru.log_likelihood(params, _documents(encoded[codes], sizes))
+            own = gru.log_likelihood(params, _documents(encoded.astype(np.int16)[codes], sizes))
             frame = {"doc_id": pd.array(ids, "Int64"), "held_out": out, "n_tokens": sizes, "n_known": total((counts > 0).astype(np.int64)), "train_tokens": v.n_tokens}
             frame = pd.DataFrame(frame | {"base_score": total(base), "score": (own + total(unknown)) / np.log(10)})
             frame.loc[null, "doc_id"] = pd.NA
