@@ -3,7 +3,9 @@ lineage is cut by a checkpoint into spark.checkpoint.dir."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +30,13 @@ def replay(oplog: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, e.where("op = 'relate'").drop("op")
 
 
-def hierarchy(items: DataFrame, id: str, parent: str, title: str, max_depth: int = 5) -> DataFrame:
-    """id, level (0 for roots), parent_id, parent_title, path of the tree under parentless items, to max_depth levels."""
+def hierarchy(items: DataFrame, id: str, parent: str, title: str, max_depth: int | None = 5) -> DataFrame:
+    """id, level (0 for roots), parent_id, parent_title, path of the tree under parentless items, to max_depth levels
+    (None: all)."""
     base = items.select(F.col(id).alias("id"), F.col(parent).alias("parent_id"), F.col(title).alias("title"))
     level = base.where("parent_id IS NULL").select("id", F.lit(0).alias("level"), "parent_id", F.lit(None).cast("string").alias("parent_title"), "title", F.array("id").alias("path"))
     found = [level]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         up = level.select(F.col("id").alias("parent_id"), F.col("title").alias("parent_title"), "path")
         level = cut_lineage(base.join(up, "parent_id").where(~F.array_contains("path", F.col("id"))).select("id", F.lit(depth).alias("level"), "parent_id", "parent_title", "title", F.concat("path", F.array("id")).alias("path")))
         if level.isEmpty():
@@ -94,19 +97,54 @@ def domain_rollup(nodes: DataFrame, edges: DataFrame, rel: str = "contains", dom
     return e.join(d, "src", "left_semi").join(m, "dst", "left_semi").groupBy(F.col("src").alias("domain")).agg(F.count("*").alias("n_members"))
 
 
-def cyclic_nodes(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """id of the nodes that lie on a cycle or between cycles: what is left when nodes without an edge in or out are taken
-    away again and again."""
-    e = cut_lineage(edges.select("src", "dst").distinct())
-    n = e.count()
+def _settled(step: Callable[[DataFrame], DataFrame], df: DataFrame, mark: Callable[[DataFrame], object], max_rounds: int) -> DataFrame:
+    """step applied until mark stays the same; an error if it still changes after max_rounds."""
+    before = mark(df)
     for _ in range(max_rounds):
+        df = cut_lineage(step(df))
+        now = mark(df)
+        if now == before:
+            return df
+        before = now
+    raise RuntimeError(f"did not settle in {max_rounds} rounds")
+
+
+def _core(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """Edges left when nodes without an edge in or out are taken away again and again."""
+
+    def trim(e: DataFrame) -> DataFrame:
         both = e.select(F.col("src").alias("x")).intersect(e.select(F.col("dst").alias("x")))
-        e = cut_lineage(e.join(both.withColumnRenamed("x", "src"), "src", "left_semi").join(both.withColumnRenamed("x", "dst"), "dst", "left_semi"))
-        left = e.count()
-        if left in (0, n):
+        return e.join(both.withColumnRenamed("x", "src"), "src", "left_semi").join(both.withColumnRenamed("x", "dst"), "dst", "left_semi")
+
+    return _settled(trim, edges, DataFrame.count, max_rounds)
+
+
+def cyclic_nodes(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """id of the nodes that lie on a cycle: those of strongly connected components of several nodes or with a loop.
+
+    Nodes without an edge in or out are trimmed; then every node takes the least node that reaches it as its colour, and
+    the component of each colour's own node is what reaches it inside the colour. Found components are taken away and the
+    rest goes on. Rounds follow the longest way in the graph; more than max_rounds is an error, never a guess.
+    """
+    e = cut_lineage(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    found = []
+    for _ in range(max_rounds):
+        e = _core(e, max_rounds)
+        if e.isEmpty():
             break
-        n = left
-    return e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+        paint = lambda c: c.unionByName(e.join(c, e["src"] == c["id"]).select(F.col("dst").alias("id"), "colour")).groupBy("id").agg(F.min("colour").alias("colour"))  # noqa: B023, E731
+        nodes = e.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id"))
+        colour = _settled(paint, nodes, lambda c: c.agg(F.sum(F.xxhash64("id", "colour").cast("decimal(20,0)"))).first()[0], max_rounds)
+        of = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"{end}_colour"))  # noqa: B023, E731
+        inside = cut_lineage(e.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")))
+        back = lambda r: r.unionByName(inside.join(r.withColumnRenamed("id", "dst"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour")).distinct()  # noqa: B023, E731
+        members = _settled(back, colour.where("id = colour"), DataFrame.count, max_rounds)
+        loops = inside.where("src = dst").select(F.col("src").alias("id"))
+        several = members.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
+        found.append(members.join(several, "colour", "left_semi").select("id").unionByName(members.join(loops, "id", "left_semi").select("id")).distinct())
+        gone = members.select(F.col("id").alias("src"))
+        e = cut_lineage(e.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti"))
+    return reduce(DataFrame.unionByName, found) if found else e.select(F.col("src").alias("id"))
 
 
 def validate_graph(nodes: DataFrame, edges: DataFrame, type_rules: DataFrame, rel_rules: DataFrame) -> DataFrame:

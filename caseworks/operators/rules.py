@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseworks.plans.sizes import small
+from caseworks.plans.shared import cut_lineage
+from caseworks.plans.sizes import few, small
 
 
 def _with_rules(df: DataFrame, rules: DataFrame, name: str, order: str | None = None) -> DataFrame:
@@ -177,18 +178,34 @@ def match_products(docs: DataFrame, products: DataFrame, code_pattern: str, thre
     """doc_id, product_code, score, rank of the k best products of a document.
 
     A code found in the text scores 1. Otherwise 0.5 x share of the name's words in the text + 0.3 x share of the
-    model's + min(description length / 500, 0.2), from the threshold on. Words meet by an equi-join on distinct tokens.
+    model's + min(description length / 500, 0.2), from the threshold on. Products of one name, model and length score
+    alike, so documents meet these profiles, each with its k first codes. They meet on a profile's rare words only: the
+    most frequent ones that could not reach the threshold by themselves are looked up in the pairs that are found. A
+    first pass takes a threshold half way to 1, where few words are enough; documents that find k products there are done.
     """
     tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""))
-    p = products.select(F.upper("product_code").alias("product_code"), tokens(F.col("product_name")).alias("name"), tokens(F.col("product_model")).alias("model"), F.least(F.length("service_description") / 500, F.lit(0.2)).alias("extra"))
-    words = p.select("product_code", F.explode(F.array_distinct(F.concat("name", "model"))).alias("token"), "name", "model", "extra")
-    words = words.select("product_code", "token", F.array_contains("name", F.col("token")).cast("int").alias("in_name"), F.array_contains("model", F.col("token")).cast("int").alias("in_model"), F.greatest(F.size("name"), F.lit(1)).alias("n_name"), F.greatest(F.size("model"), F.lit(1)).alias("n_model"), "extra")
-    d = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
-    hit = d.join(small(words), "token").groupBy("doc_id", "product_code").agg(F.sum("in_name").alias("a"), F.sum("in_model").alias("b"), F.first("n_name").alias("n"), F.first("n_model").alias("m"), F.first("extra").alias("extra"))
-    scored = hit.select("doc_id", "product_code", (F.col("a") / F.col("n") * 0.5 + F.col("b") / F.col("m") * 0.3 + F.col("extra")).alias("score")).where(F.col("score") >= threshold)
+    p = products.select(F.upper("product_code").alias("product_code"), F.sort_array(tokens(F.col("product_name"))).alias("name"), F.sort_array(tokens(F.col("product_model"))).alias("model"), F.least(F.length("service_description") / 500, F.lit(0.2)).alias("extra"))
+    kind = ["name", "model", "extra"]
+    first = p.withColumn("_r", F.row_number().over(Window.partitionBy(*kind).orderBy("product_code"))).where(F.col("_r") <= k)
+    profiles = first.groupBy(*kind).agg(F.sort_array(F.collect_list("product_code")).alias("codes"))
+    d = docs.select("doc_id", tokens(F.col("text")).alias("own"))
+    words = profiles.select(*kind, "codes", F.explode(F.array_distinct(F.concat("name", "model"))).alias("token"))
+    part = lambda of, share: F.when(F.array_contains(of, F.col("token")), F.lit(share) / F.size(of)).otherwise(0.0)
+    words = words.withColumn("weight", part("name", 0.5) + part("model", 0.3))
+    common = d.select(F.explode("own").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
+    upto = F.sum("weight").over(Window.partitionBy(*kind).orderBy(F.desc("f"), "token"))
+    index = cut_lineage(words.join(common, "token").withColumn("most", upto + F.col("extra")).drop("weight", "f"))
+    share = lambda of: F.when(F.size(of) > 0, F.size(F.array_intersect(of, "own")) / F.size(of)).otherwise(0.0)
+
+    def near(own: DataFrame, least: float) -> DataFrame:
+        met = own.select("doc_id", "own", F.explode("own").alias("token")).join(few(index.where(F.col("most") >= least - 1e-9)), "token")
+        score = share("name") * 0.5 + share("model") * 0.3 + F.col("extra")
+        return met.select("doc_id", "codes", score.alias("score")).where(F.col("score") >= least).distinct().select("doc_id", F.explode("codes").alias("product_code"), "score")
+
     codes = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(code_pattern), F.lit(0)))).alias("product_code")).join(small(p.select("product_code")), "product_code")
-    both = codes.select("doc_id", "product_code", F.lit(1.0).alias("score")).unionByName(scored)
-    best = both.groupBy("doc_id", "product_code").agg(F.max("score").alias("score"))
+    sure = cut_lineage(codes.select("doc_id", "product_code", F.lit(1.0).alias("score")).unionByName(near(d, (1 + threshold) / 2)).groupBy("doc_id", "product_code").agg(F.max("score").alias("score")))
+    done = sure.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("doc_id")
+    best = sure.unionByName(near(d.join(done, "doc_id", "left_anti"), threshold)).groupBy("doc_id", "product_code").agg(F.max("score").alias("score"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "product_code")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import reduce
 
 import numpy as np
@@ -127,30 +129,50 @@ def rank_similar(df: DataFrame, query: str, keywords: list[str], k: int = 10, we
     return out.where(F.col("score") > least).orderBy(F.desc("score"), "id").limit(k)
 
 
+def _masks(text: str) -> dict[str, int]:
+    """For each letter a number whose bits are its places."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _longest_common(masks: dict[str, int], n: int, other: str) -> int:
+    """Length of the longest common subsequence, a bit for each place of the first text (n places)."""
+    every = (1 << n) - 1
+    open_ = every
+    for c in other:
+        hit = open_ & masks.get(c, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & every
+    return n - open_.bit_count()
+
+
 def dedup_text(df: DataFrame, doc: str, text: str, id: str, threshold: float = 0.8) -> DataFrame:
     """Greedy dedup inside a document: in order of id a text similar to a kept one is merged into it, and the longer of
-    the two texts stays in its place (later texts are compared with the first one). Adds n_merged. Lengths and
-    shared characters bound the ratio of longest matching blocks from above, so only hopeless pairs are spared it."""
+    the two texts stays in its place (later texts are compared with the first one). Adds n_merged. Lengths,
+    shared characters and the longest common subsequence bound the ratio of longest matching blocks from above, in this
+    order, so only hopeless pairs are spared it."""
     fields = ", ".join(f"`{c}` {t}" for c, t in df.select(doc, id, text).dtypes)
 
-    def near(a: str, b: str) -> bool:
-        from collections import Counter
-        from difflib import SequenceMatcher
-
+    def near(a: str, letters: Counter, masks: dict[str, int], b: str, matcher: SequenceMatcher, own: Counter) -> bool:
         if a == b:
             return True
         total = len(a) + len(b)
-        if 2.0 * min(len(a), len(b)) / total < threshold or 2.0 * (Counter(a) & Counter(b)).total() / total < threshold:
+        if 2.0 * min(len(a), len(b)) < threshold * total or 2.0 * sum(min(n, own[c]) for c, n in letters.items()) < threshold * total:
+            return False
+        if 2.0 * _longest_common(masks, len(a), b) < threshold * total:
             return False
-        return SequenceMatcher(None, a, b, autojunk=False).ratio() >= threshold
+        matcher.set_seq1(a)
+        return matcher.ratio() >= threshold
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first: list[str] = []
+        first: list[tuple[str, Counter, dict[str, int]]] = []
         rows: list[list] = []
         for i, t in sorted(zip(pdf[id].tolist(), pdf[text].fillna("").tolist(), strict=True)):
-            at = next((j for j, f in enumerate(first) if near(f, t)), None)
+            own, matcher = Counter(t), SequenceMatcher(None, "", t, autojunk=False)
+            at = next((j for j, f in enumerate(first) if near(*f, t, matcher, own)), None)
             if at is None:
-                first.append(t)
+                first.append((t, own, _masks(t)))
                 rows.append([pdf[doc].iloc[0], i, t, 0])
             else:
                 rows[at][3] += 1

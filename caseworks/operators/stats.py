@@ -72,7 +72,7 @@ def feedback_patterns(feedback: DataFrame) -> DataFrame:
     busiest hours, the five most frequent signals, and the population variance of ratings where more than five are and
     it is above two."""
     f = feedback.withColumn("category", F.coalesce("category", F.lit("general")))
-    top = lambda df, n, *by: df.withColumn("_r", F.row_number().over(Window.orderBy(*by))).where(F.col("_r") <= n).drop("_r")  # noqa: E731  over sums of few keys
+    top = lambda df, n, *by: df.orderBy(*by).limit(n)
     cats = f.groupBy("category").agg(F.count_if(F.col("sentiment") == "negative").alias("n"), (F.count_if(F.col("sentiment") == "negative") / F.count("*")).alias("value"))
     cats = top(cats.where("n > 0"), 3, F.desc("value"), "category").select(F.when(F.col("value") > 0.3, "severe_category").otherwise("negative_category").alias("pattern"), F.col("category").alias("member"), "n", "value")
     hours = top(f.groupBy(F.hour("ts").alias("h")).agg(F.count("*").alias("n")), 3, F.desc("n"), "h").select(F.lit("busy_hour").alias("pattern"), F.col("h").cast("string").alias("member"), "n", F.lit(None).cast("double").alias("value"))

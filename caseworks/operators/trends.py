@@ -74,16 +74,14 @@ def rating_decline(trend: DataFrame, last: int = 3, drop: float = 0.5) -> DataFr
 def ema(df: DataFrame, key: str, ts: str, value: str, alpha: float = 0.3, depth: int = 100) -> DataFrame:
     """Per key the exponential moving value in time order, starting from the first, and the last `depth` values.
 
-    The weight of older values is far below a double's resolution past some hundred rows, so only the last 20 x depth
-    of a key are gathered.
+    A value's weight follows from its place from the end, so the average is one sum over all rows of a key; only the
+    last `depth` are gathered. Nulls are left out.
     """
     w = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(value))
-    recent = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 20 * depth)
-    rows = recent.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ts, value))).alias("h"))
-    values = F.transform("h", lambda x: x[value].cast("double"))
-    folded = F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(1))), F.get(values, 0), lambda acc, x: acc * (1 - alpha) + x * alpha)
-    folded = F.when(F.size(values) == 1, F.get(values, 0)).otherwise(folded)
-    return rows.select(key, folded.alias("ema"), F.slice(values, F.greatest(F.size(values) - depth + 1, F.lit(1)), depth).alias("history"))
+    rows = df.where(F.col(value).isNotNull()).select(key, F.struct(ts, F.col(value).cast("double").alias("v")).alias("_h"), (F.row_number().over(w) - 1).alias("_n"), F.lead(F.lit(1)).over(w).alias("_older"))
+    weight = F.pow(F.lit(1 - alpha), F.col("_n")) * F.when(F.col("_older").isNull(), 1.0).otherwise(alpha)
+    out = rows.groupBy(key).agg(F.sum(F.col("_h.v") * weight).alias("ema"), F.array_sort(F.collect_list(F.when(F.col("_n") < depth, F.col("_h")))).alias("_last"))
+    return out.select(key, "ema", F.transform("_last", lambda x: x["v"]).alias("history"))
 
 
 def _importance(c: str) -> Column:

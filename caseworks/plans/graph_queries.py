@@ -107,7 +107,7 @@ def g7(spark, d):
     return graph.validate_graph(nodes, edges, tr, rr)
 
 
-@query("g7_cyclic_nodes")
+@query("g7_cyclic_nodes", f"WITH RECURSIVE {EDGE_SQL}, r AS (SELECT src, dst FROM ed UNION SELECT r.src, ed.dst FROM r JOIN ed ON r.dst = ed.src) SELECT src AS id FROM r WHERE src = dst")
 def g7b(spark, d):
     return graph.cyclic_nodes(_edges(spark, d))
 

@@ -115,13 +115,13 @@ def io1(spark, d):
     return io.read_delimited(spark, path)
 
 
-@query("io2_read_file_set", "SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+@query("io2_read_file_set", "SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
 def io2(spark, d):
     path = _folder(spark)
-    for name in ("nation", "region"):
+    for name in ("customer", "orders"):
         io.write_export(table(spark, d, name), f"{path}/202401-{name}-x.csv")
-    got = io.read_file_set(spark, path, "202401", {"nation": "nation", "region": "region"})
-    return got["nation"].agg(F.count("*").alias("n")).select(F.lit("nation").alias("name"), "n").unionByName(got["region"].agg(F.count("*").alias("n")).select(F.lit("region").alias("name"), "n"))
+    got = io.read_file_set(spark, path, "202401", {"customer": "customer", "orders": "orders"})
+    return got["customer"].agg(F.count("*").alias("n")).select(F.lit("customer").alias("name"), "n").unionByName(got["orders"].agg(F.count("*").alias("n")).select(F.lit("orders").alias("name"), "n"))
 
 
 @query("io3_read_oplog", "SELECT event_id AS seq, 'create' AS op, user_id::VARCHAR AS id, event_type AS type, (event_id % 9)::VARCHAR AS k FROM events")
@@ -132,16 +132,34 @@ def io3(spark, d):
     return io.read_oplog(spark, path).select("seq", "op", "id", "type", F.col("properties")["k"].alias("k"))
 
 
-@query("io4_read_documents", "SELECT md5(n_name) AS content_hash, octet_length(encode(n_name))::BIGINT AS size FROM nation")
+@query("io4_read_documents", "SELECT md5(s_name) AS content_hash, octet_length(encode(s_name))::BIGINT AS size FROM supplier")
 def io4(spark, d):
     path = _folder(spark)
-    p = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("value"))
-    p.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    p = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("value"))
+    p.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
     return io.read_documents(spark, path).select("content_hash", "size")
 
 
-@query("io6_write_by_category", "SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
+@query(
+    "io5_write_export",
+    """SELECT doc_id, md5(coalesce(text, '~')) AS csv_text, lang AS csv_lang, md5(coalesce(text, '~')) AS json_text, lang AS json_lang FROM (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN '"' || text || '",' || chr(10) || doc_id END AS text, CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang FROM documents)""",
+)
+def io5(spark, d):
+    """Quotes, commas, line breaks and nulls, out and back."""
+    text = F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit('"'), "text", F.lit('",\n'), F.col("doc_id").cast("string")))
+    docs = table(spark, d, "documents").select("doc_id", text.alias("text"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("lang"))
+    back = []
+    for fmt in ("csv", "json"):
+        path = _folder(spark)
+        io.write_export(docs, path, fmt)
+        read = spark.read.schema(docs.schema)
+        got = read.option("header", True).option("multiLine", True).option("escape", '"').csv(path) if fmt == "csv" else read.json(path)
+        back.append(got.select("doc_id", F.md5(F.coalesce("text", F.lit("~"))).alias(f"{fmt}_text"), F.col("lang").alias(f"{fmt}_lang")))
+    return back[0].join(back[1], "doc_id")
+
+
+@query("io6_write_by_category", "SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1")
 def io6(spark, d):
     path = _folder(spark)
-    io.write_by_category(table(spark, d, "nation").withColumnRenamed("n_regionkey", "region"), path, "region")
-    return spark.read.parquet(path).groupBy("region").agg(F.count("*").alias("n"))
+    io.write_by_category(table(spark, d, "customer").withColumnRenamed("c_nationkey", "nation"), path, "nation")
+    return spark.read.parquet(path).groupBy("nation").agg(F.count("*").alias("n"))

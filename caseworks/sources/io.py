@@ -22,11 +22,11 @@ OPLOG = T.StructType(
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", encodings: tuple[str, ...] = ("utf-8", "gbk"), na_values: tuple[str, ...] = ("", "NA", "N/A", "null")) -> DataFrame:
-    """All columns as strings, the given tokens null. The encoding is the first whose first lines hold no replacement
-    character."""
+    """All columns as strings, the given tokens null. The encoding is the first that reads the whole file without
+    a replacement character, else the last."""
     chosen = encodings[-1]
     for e in encodings[:-1]:
-        head = spark.read.option("encoding", e).option("sep", sep).csv(path).limit(100)
+        head = spark.read.option("encoding", e).option("sep", sep).csv(path)
         bad = head.where(F.exists(F.array(*head.columns), lambda x: F.contains(F.coalesce(x, F.lit("")), F.lit("�")))) if head.columns else head
         if bad.isEmpty():
             chosen = e
@@ -53,8 +53,9 @@ def read_documents(spark: SparkSession, path: str, extensions: tuple[str, ...] =
 
 
 def write_export(df: DataFrame, path: str, fmt: str = "csv") -> None:
+    """CSV with a header, quotes doubled (to be read with multiLine and escape '"'), or JSON lines with null fields."""
     writer = df.write.mode("overwrite")
-    (writer.option("header", True).csv if fmt == "csv" else writer.json)(path)
+    (writer.option("header", True).option("escape", '"').csv if fmt == "csv" else writer.option("ignoreNullFields", False).json)(path)
 
 
 def write_by_category(df: DataFrame, path: str, col: str) -> None:
