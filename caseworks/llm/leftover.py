@@ -29,9 +29,11 @@ def _leader(what: Column) -> Column:
     return F.when(F.col("band") % 2 == 0, F.min(what).over(bucket)).otherwise(F.max(what).over(bucket))
 
 
-def ties(rows: DataFrame) -> DataFrame:
-    """(band, id, leader): every row (band, id) of a bucket but its leader, with the leader."""
-    return rows.withColumn("leader", _leader(F.col("id"))).where("id <> leader")
+def ties(rows: DataFrame, ends: bool = True) -> DataFrame:
+    """(band, id, leader): every row (band, id) of a bucket but its leader, with the leader (ends False: always the
+    least id)."""
+    leader = _leader(F.col("id")) if ends else F.min("id").over(Window.partitionBy("band"))
+    return rows.withColumn("leader", leader).where("id <> leader")
 
 
 def labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
