@@ -46,5 +46,11 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def renamed(df: DataFrame) -> DataFrame:
+    """df with plain column names but for text, so that no column clashes with one that an operator adds; the order stays,
+    and toDF(*df.columns) gives the names back."""
+    return df.toDF(*["text" if c == "text" else f"_c{i}" for i, c in enumerate(df.columns)])
+
+
 def crc_mod(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseworks.llm.common import table
+from caseworks.llm.common import materialize, renamed, table
 
 WINDOW = 10
-#: Test items are held in one automaton up to so many bytes of text; a larger benchmark is scanned in as many rounds.
-ROUND_BYTES = 32 << 20
+#: Test items are held in one automaton up to so many bytes of text (which take some 450 MB); a larger benchmark is scanned
+#: in as many rounds.
+ROUND_BYTES = 1 << 20
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _GAP = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -92,9 +94,22 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
 SCAN = "n_words long, runs array<struct<first:long,last:long>>, items array<long>, spans array<struct<start:long,end:long>>"
 
 
+#: The automaton that this worker built last, by the name of its scan: tasks of one scan share it.
+_built: dict[str, ahocorasick.Automaton] = {}
+
+
+def _automaton_of(name: str, items: list[tuple[int, str | None]]) -> ahocorasick.Automaton:
+    if name not in _built:
+        _built.clear()
+        _built[name] = automaton(items)
+    return _built[name]
+
+
 def _scan(docs: DataFrame, items: list[tuple[int, str | None]], keep: list[str]) -> DataFrame:
+    name = uuid.uuid4().hex
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = automaton(items)
+        a = _automaton_of(name, items)
         for pdf in batches:
             found = [hits(t, a) for t in pdf["text"]]
             yield pdf[keep].assign(
@@ -119,7 +134,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], r
     rounds = max(1, -(-size // round_bytes))
     if rounds == 1:
         return _scan(docs, [(r.item_id, r.text) for r in bench.collect()], keep)
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # numbered once for all rounds
     parts = None
     for k in range(rounds):
         items = [(r.item_id, r.text) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k).collect()]
@@ -150,9 +165,11 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any hit word go."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.where(F.size("items") == 0).select(docs.columns)
+    """Documents with any hit word go; all others stay as they are, null and empty texts and repeated rows too. Extra
+    columns may have any name, an empty table stays empty, an empty benchmark takes nothing."""
+    plain = renamed(docs)
+    found = find_contamination(plain, table(spark, sf_dir, "benchmark"), plain.columns)
+    return found.where(F.size("items") == 0).select(plain.columns).toDF(*docs.columns)
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseworks.llm.common import crc_mod, table
+from caseworks.llm.common import crc_mod, renamed, table
 
 DIMS = 1024
 GRAM = 3
@@ -74,10 +74,15 @@ def document_vectors(texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), DIMS), np.float32)
     if len(grams):
         rows = np.repeat(np.arange(len(texts)), [len(g) for g, _ in counted])
-        counts = np.zeros((len(texts), len(grams)), np.float32)
-        counts[rows, which] = np.concatenate([c for _, c in counted])
-        for a in range(0, len(grams), 4096):  # bounds the vectors held at once
-            out += counts[:, a : a + 4096] @ gram_vectors(grams[a : a + 4096]).astype(np.float32)
+        order = np.argsort(which, kind="stable")
+        rows, which = rows[order], which[order]
+        own = np.concatenate([c for _, c in counted])[order]
+        for a in range(0, len(grams), 4096):  # bounds the vectors and counts held at once
+            lo, hi = np.searchsorted(which, (a, a + 4096))
+            part = grams[a : a + 4096]
+            counts = np.zeros((len(texts), len(part)), np.float32)
+            counts[rows[lo:hi], which[lo:hi] - a] = own[lo:hi]
+            out += counts @ gram_vectors(part).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -143,5 +148,8 @@ def op3_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any language (no letter, no text) go; all others stay as they are."""
-    return identify(docs, docs.columns).where("lang_pred <> 'und'").select(docs.columns)
+    """Documents without any language (no letter, no text) go; all others stay as they are, repeated ones too. Null doc_ids
+    and langs teach nothing, extra columns may have any name, an empty table stays empty."""
+    langs, prototypes = fit_prototypes(docs.where(~F.coalesce(held_out(), F.lit(True))))
+    plain = renamed(docs)
+    return predict(plain, langs, prototypes, plain.columns).where("lang_pred <> 'und'").select(plain.columns).toDF(*docs.columns)

@@ -9,7 +9,7 @@ Reading: each archive is parsed by Content-Length, and the records of one captur
 concurrent-to ids into one nested row.
 
 Defined results: null html is an empty payload; payloads under 100 bytes are always responses; equal pages under
-different ids are separate captures; null urls are written as an empty target; an empty table makes no captures.
+different ids are separate captures, and so are rows of one page_id, equal or not; null urls are written as an empty target; an empty table makes no captures.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseworks.llm.common import fits, materialize
+
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 100
 #: Records in an archive at most, so that a reader's task holds a bounded file.
@@ -48,12 +50,18 @@ def first_captures(pages: DataFrame) -> DataFrame:
     d = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     d = d.withColumn("digest", F.sha2("html", 256))
     repeated = d.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    repeated = fits(materialize(repeated, "repeated-payloads"))  # as a rule few, so that no html is shuffled
     return d.join(repeated, "digest", "left").withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("first")
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
     d = first_captures(pages)
-    page, date = F.col("page_id"), F.lit(CAPTURE_DATE)
+    # rows of a repeated page_id are captures of their own: their ids go on with a number of the row
+    again = materialize(pages.groupBy("page_id").agg(F.count("*").alias("_n")).where("_n > 1").select("page_id", F.lit(True).alias("_again")), "repeated-pages")
+    d = d.withColumn("_again", F.lit(False)) if again.isEmpty() else d.join(fits(again), "page_id", "left")
+    page = F.concat(F.col("page_id").cast("string"), F.when(F.col("_again"), F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"))).otherwise(F.lit("")))
+    d = d.withColumn("_name", page)
+    page, date = F.col("_name"), F.lit(CAPTURE_DATE)
     again = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"))
     host = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
