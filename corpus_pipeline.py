@@ -19,7 +19,7 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: SQL can't express language ID, the MinHash stages and packing; tests/llm/test_pipeline.py checks run() instead.
+#: SQL can't express language ID, the MinHash stages and packing; tests/llm/test_corpus.py checks run() and its stages instead.
 ORACLE_SQL = None
 
 
