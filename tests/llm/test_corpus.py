@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from caseworks.llm import audio, decontaminate, gru, html_extract, langid, lines, lm_score, minhash, packing, queries, repeats, warc
+from caseworks.llm import audio, common, decontaminate, gru, html_extract, langid, lines, lm_score, minhash, packing, queries, repeats, warc
 from caseworks.llm.components import components
 from caseworks.llm.suffix_order import suffix_order
 from tests.compare import rows, sql_rows
@@ -369,6 +369,17 @@ def test_state_is_carried_and_probabilities_sum_to_one(monkeypatch):
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
+def test_shuffles_freed_restores_the_setting(spark):
+    before = spark.conf.get(common.FREE_SHUFFLES, None)
+    with pytest.raises(ValueError), common.shuffles_freed(spark):
+        assert spark.conf.get(common.FREE_SHUFFLES) == "true"
+        raise ValueError
+    assert spark.conf.get(common.FREE_SHUFFLES, None) == before
+    # a table that was written with its shuffles freed can be derived and written again
+    dealt = spark.range(1000).repartition(4, "id")
+    assert common.materialize(dealt, "once").count() == common.materialize(dealt, "twice").count() == dealt.count() == 1000
+
+
 def brute_lines(data):
     pat = re.compile(r"(?s)(?=(.{8})).")  # every run of eight characters
     first, order = {}, []
