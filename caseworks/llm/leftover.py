@@ -62,15 +62,33 @@ def _finer(rows: DataFrame) -> DataFrame:
     return first.select("id", "c", "one", F.explode(F.slice("bands", F.col("at") + 2, F.size("bands"))).alias("other")).select(F.xxhash64("one", "other").alias("band"), "id", "c")
 
 
-def resolve(tied: DataFrame, check: Callable[[DataFrame], None], parts: Callable[[], DataFrame]) -> None:
+def best_ties(tied: DataFrame) -> DataFrame:
+    """(member, leader): of the leaders of each id, the one that it shares most buckets with."""
+    shared = tied.groupBy("id", "leader").agg(F.count("*").alias("n"))
+    return shared.groupBy("id").agg(F.max(F.struct("n", "leader")).alias("best")).select(F.col("id").alias("member"), "best.leader")
+
+
+def _ties_across(tied: DataFrame, parts: DataFrame) -> DataFrame:
+    """(member, leader): the ties between two components."""
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    both = tied.select("id", "leader").distinct().join(of("id"), "id", "left").join(of("leader"), "leader", "left")
+    return both.where(F.coalesce("of_id", "id") != F.coalesce("of_leader", "leader")).select(F.col("id").alias("member"), "leader")
+
+
+def resolve(tied: DataFrame, check: Callable[[DataFrame], None], parts: Callable[[], DataFrame], unchecked: bool = False) -> None:
     """Check the open pairs of the buckets of tied (band, id, leader). check takes (member, leader) rows, skips those it
-    has seen and adds what passes to the links; parts gives the components of the links so far."""
-    rows = materialize(_across(labelled(tied.select("band", "id"), parts())), "open")
+    has seen and adds what passes to the links; parts gives the components of the links so far. unchecked: some ties of
+    tied haven't been checked; those between two components are."""
+    first = parts()
+    rows = materialize(_across(labelled(tied.select("band", "id"), first)), "open")
     if rows.isEmpty():
+        if unchecked:
+            check(_ties_across(tied, first))
         return
     finer = materialize(_finer(rows), "finer")
     lead = finer.withColumn("leader", _leader(F.struct("id", "c"))).where("c <> leader.c")
     lead = lead.select(F.greatest("id", "leader.id").alias("member"), F.least("id", "leader.id").alias("leader"))
-    check(_small_pairs(rows).unionByName(lead).distinct())
+    pairs = _small_pairs(rows).unionByName(lead)
+    check((pairs.unionByName(_ties_across(tied, first)) if unchecked else pairs).distinct())
     if not finer.isEmpty():
         check(_small_pairs(_across(labelled(finer.select("band", "id"), parts()))))
