@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseworks.llm import audio, decontaminate, html_extract, langid, lines, lm_score, minhash, packing, repeats, warc
+from caseworks.llm import audio, collocations, decontaminate, html_extract, langid, lines, lm_score, minhash, packing, ranked, repeats, toxicity, warc
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_telephony_audio": audio.op8_telephony_audio,
     "op9_gru_scores": lm_score.op9_gru_scores,
     "op10_fuzzy_lines": lines.op10_fuzzy_lines,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_best_position": ranked.op13_best_position,
 }
 
 SQL = {
     "op2_warc_transactions": warc.OP2_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op11_collocations": collocations.OP11_SQL,
+    "op13_best_position": ranked.OP13_SQL,
 }
