@@ -3,14 +3,12 @@ needs event time takes a watermark, which bounds its state and drops later rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseworks.operators import enrich
 from caseworks.plans.sizes import small
+from caseworks.streaming import stateful
 
 
 def _marked(df: DataFrame, ts: str, watermark: str) -> DataFrame:
@@ -41,53 +39,53 @@ def p95_latency(events: DataFrame, window: str = "5 minutes", limit: float = 30.
     return g.select(F.col("window.start").alias("start"), "n", "p95", (F.col("p95") > limit).alias("alert"))
 
 
-HELD = "rule string, instance string, since timestamp, held_at timestamp"
-
-
-def held_for(conditions: DataFrame, duration: str, seconds: int, watermark: str = "10 minutes") -> DataFrame:
+def held_for(conditions: DataFrame, duration: str, seconds: float, watermark: str = "10 minutes", at: str = "sample", idle_seconds: float = 0) -> DataFrame:
     """rule, instance, since, held_at: each time a condition (rule, instance, ts, active) has held for the duration, once
-    per stretch, at the first sample that shows it.
-
-    Batch: stretches by gaps and islands. Stream: state per (rule, instance) of the stretch's start and whether it fired.
+    per stretch of active samples.
+
+    at 'sample': at the first sample that shows it. At 'deadline': as soon as the duration is over, without a further
+    sample, if no sample up to then has ended the stretch (a batch knows as far as the rule's last sample of any
+    instance, a stream as far as its watermark).
+    Batch: stretches by gaps and islands. Stream: samples wait for the watermark and are worked off in order of time, so
+    rows may arrive out of order; deadlines are timers. idle_seconds (0: none): a stream forgets a stretch that has had
+    no sample for so long. Of equal times an inactive sample comes first.
     """
     if conditions.isStreaming:
-        return _held_stream(conditions, seconds, watermark)
-    w = Window.partitionBy("rule", "instance").orderBy("ts")
+        return stateful.held_stream(conditions, seconds, watermark, at, idle_seconds)
+    w = Window.partitionBy("rule", "instance").orderBy("ts", "active")
     c = conditions.withColumn("_new", F.when(F.lag("active").over(w) == F.col("active"), 0).otherwise(1))
-    c = c.withColumn("_s", F.sum("_new").over(w)).where("active")
-    c = c.withColumn("since", F.min("ts").over(Window.partitionBy("rule", "instance", "_s")))
-    hit = c.where(F.col("ts") >= F.col("since") + F.expr(f"INTERVAL {duration}"))
-    return hit.groupBy("rule", "instance", "since").agg(F.min("ts").alias("held_at"))
-
-
-def _held_stream(conditions: DataFrame, seconds: int, watermark: str) -> DataFrame:
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        since, fired = state.get if state.exists else (None, False)
-        out = []
-        for ts, active in sorted((r.ts, r.active) for pdf in frames for r in pdf.itertuples()):
-            if not active:
-                since, fired = None, False
-            elif since is None:
-                since = ts.to_pydatetime()
-            if since is not None and not fired and (ts - pd.Timestamp(since)).total_seconds() >= seconds:
-                fired = True
-                out.append((*key, pd.Timestamp(since), ts))
-        state.update((since, fired))
-        yield pd.DataFrame(out, columns=["rule", "instance", "since", "held_at"])
-
-    marked = conditions.withWatermark("ts", watermark).select("rule", "instance", "ts", "active")
-    return marked.groupBy("rule", "instance").applyInPandasWithState(step, HELD, "since timestamp, fired boolean", "append", "NoTimeout")
-
-
-def suppress(alerts: DataFrame, silences: DataFrame) -> DataFrame:
-    """Alerts outside every silence of their name; of a batch also first_seen, the first time that name fired."""
-    if alerts.isStreaming:  # a stream-static anti-join by interval
+    c = c.withColumn("_s", F.sum("_new").over(w))
+    due = F.col("since") + F.expr(f"INTERVAL {duration}")
+    if at == "sample":
+        c = c.where("active").withColumn("since", F.min("ts").over(Window.partitionBy("rule", "instance", "_s")))
+        return c.where(F.col("ts") >= due).groupBy("rule", "instance", "since").agg(F.min("ts").alias("held_at"))
+    known = conditions.groupBy("rule").agg(F.max("ts").alias("_known"))
+    runs = c.groupBy("rule", "instance", "_s").agg(F.min("ts").alias("since"), F.first("active").alias("active"))
+    runs = runs.withColumn("_ends", F.lead("since").over(Window.partitionBy("rule", "instance").orderBy("_s"))).where("active")
+    held = runs.join(small(known), "rule").where((F.col("_known") >= due) & (F.col("_ends").isNull() | (F.col("_ends") > due)))
+    return held.select("rule", "instance", "since", due.alias("held_at"))
+
+
+def suppress(alerts: DataFrame, silences: DataFrame, watermark: str = "10 minutes", forget_seconds: float = 0) -> DataFrame:
+    """Alerts (name, ts, ...) outside every silence [from_ts, until_ts) of their name, with first_seen: the first time
+    that the name fired (again, if it hadn't for forget_seconds; 0: ever).
+
+    Alerts may be a stream, and silences then a stream, too (or a static table). Alerts wait for the watermark of both
+    streams, that is, until no earlier silence can come any more; a silence is state until the watermark passes its end.
+    """
+    if alerts.isStreaming and silences.isStreaming:
+        return stateful.suppress_stream(alerts, silences, watermark, forget_seconds)
+    if alerts.isStreaming:
         s = small(silences.select(F.col("name").alias("s_name"), "from_ts", "until_ts"))
         j = alerts.join(s, (F.col("name") == F.col("s_name")) & (F.col("ts") >= F.col("from_ts")) & (F.col("ts") < F.col("until_ts")), "left_outer")
-        return j.where("s_name IS NULL").select(alerts.columns)
+        return stateful.suppress_stream(j.where("s_name IS NULL").select(alerts.columns), None, watermark, forget_seconds)
     kept = enrich.drop_silenced(alerts, silences)
-    first = kept.groupBy("name").agg(F.min("ts").alias("first_seen"))
-    return kept.join(first, "name")
+    if not forget_seconds:
+        return kept.join(kept.groupBy("name").agg(F.min("ts").alias("first_seen")), "name")
+    w = Window.partitionBy("name").orderBy("ts")
+    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
+    runs = kept.withColumn("_new", F.when(gap < round(forget_seconds * 1e6), 0).otherwise(1)).withColumn("_r", F.sum("_new").over(w))
+    return runs.withColumn("first_seen", F.min("ts").over(Window.partitionBy("name", "_r"))).drop("_new", "_r")
 
 
 def session_signals(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
