@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseworks.functions import extract
-from caseworks.operators import rules, stats, textsplit
+from caseworks.operators import rules, stats, tables, textsplit
 from caseworks.plans.registry import query, table
 
 _START_RE = "^(The|And|Of|Die|Der|De|La|Le|El|Un)[ ,.]"
@@ -57,6 +57,36 @@ def t3(spark, d):
     return textsplit.extract_tables(table(spark, d, "documents"), "doc_id", "text")
 
 
+# Pages of 25 parts, printed as tables: every seventh part has no brand, and names hold single spaces.
+_PAGES = """WITH p AS (SELECT p_partkey // 25 AS page, p_partkey, [p_name, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END, p_size::VARCHAR, p_type] AS cells FROM part),
+    r AS (SELECT page, 0 AS p_partkey, ['name', 'brand', 'size', 'type'] AS cells, 1 AS row_no FROM (SELECT DISTINCT page FROM p) UNION ALL SELECT page, p_partkey, cells, 1 + row_number() OVER (PARTITION BY page ORDER BY p_partkey) FROM p)"""
+_CELLS = "SELECT page, 1 AS table_no, '{kind}' AS kind, 4 AS n_cols, row_no::INTEGER AS row_no, CASE WHEN row_no = 1 THEN 'header' ELSE 'data' END AS role, unnest(range(4))::INTEGER AS cell_no, unnest(cells) AS cell FROM r"
+
+
+def _pages(spark, d, line, head, foot):
+    """(page, text): text, a table of a page's parts and text again."""
+    p = table(spark, d, "part").withColumn("brand", F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.col("p_brand")))
+    of = [F.lit("name"), F.lit("brand"), F.lit("size"), F.lit("type")]
+    own = line(F.col("p_name"), F.col("brand"), F.col("p_size").cast("string"), F.col("p_type"))
+    rows = p.groupBy((F.col("p_partkey") / 25).cast("long").alias("page")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", own.alias("line")))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return rows.select("page", F.concat(F.lit("Parts of this page.\nSee below.\n\n\n\n"), head(line(*of)), body, foot, F.lit("\n\n\n\nEnd of the page.")).alias("text"))
+
+
+@query("t3_space_tables", f"{_PAGES} {_CELLS.format(kind='space')}")
+def t3_space(spark, d):
+    line = lambda name, brand, size, kind: F.concat(F.rpad(name, 30, " "), F.rpad(brand, 12, " "), F.lpad(size, 4, " "), F.lit("   "), kind)
+    return tables.detect_tables(_pages(spark, d, line, lambda x: F.concat(x, F.lit("\n")), F.lit("")), "page", "text")
+
+
+@query("t3_border_tables", f"{_PAGES} {_CELLS.format(kind='border')}")
+def t3_border(spark, d):
+    line = lambda name, brand, size, kind: F.concat(F.lit("│ "), F.rpad(name, 30, " "), F.lit("│"), F.rpad(brand, 12, " "), F.lit("│ "), size, F.lit(" │"), kind, F.lit("│"))
+    rule = lambda a, b, c: a + b.join("─" * n for n in (31, 12, 6, 8)) + c
+    head = lambda x: F.concat(F.lit(rule("┌", "┬", "┐") + "\n"), x, F.lit("\n" + rule("├", "┼", "┤") + "\n"))
+    return tables.detect_tables(_pages(spark, d, line, head, F.lit("\n" + rule("└", "┴", "┘"))), "page", "text")
+
+
 @query("t4_chunk_fixed", "SELECT doc_id, i::INTEGER AS chunk_index, md5(substr(text, i * 1000 + 1, 1000)) AS chunk FROM (SELECT doc_id, text, unnest(range(ceil(length(text) / 1000)::BIGINT)) AS i FROM documents WHERE length(text) > 0)")
 def t4(spark, d):
     return textsplit.chunk_fixed(table(spark, d, "documents"), "doc_id", "text").withColumn("chunk", F.md5("chunk"))

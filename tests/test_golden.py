@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from caseworks.functions import clean, signals
-from caseworks.operators import enrich, graph, retention, rules, search, stats, textsplit, trends
+from caseworks.operators import enrich, graph, retention, rules, search, stats, tables, textsplit, trends
 
 
 def one(spark, col):
@@ -129,3 +129,48 @@ def test_dedup_text_is_plain_sequence_matching(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc long, i long, t string")
     got = search.dedup_text(df, "doc", "t", "i").collect()
     assert sorted(r.i for r in got) == sorted(texts.index(k) for k in kept) and len(kept) < len(texts) - 1
+
+
+PAGE = """some words first
+| Name | Qty | Price |
+|:-----|----:|------:|
+| Bolt | 3 | 1.50 |
+
+| Nut  | 12 |
+
+
+
+┌──────────┬─────┐
+│ Item     │ Qty │
+├──────────┼─────┤
+│ Bolt     │ 3   │
+│ Long Nut │     │
+└──────────┴─────┘
+x
+y
+z
+Name        Qty    Price   Note
+Widget A      3    10.50   ok
+Gadget             99.00   late item
+产品甲         7     1.00   中文
+no  table
+"""
+
+
+def test_tables_of_all_kinds(spark):
+    data = [(1, PAGE), (2, None), (3, ""), (4, "a  b  c\nd  e  f  g  h\n"), (5, "one  two  three\n\n\nfour  five  six\n\n\n\nseven  eight  nine\nten  to  go"), (6, "a  bb  c\naaaa  b  c  d"), (7, "| a | b |\n| c | d |")]
+    df = spark.createDataFrame(data, "id long, text string")
+    got = {}
+    for r in tables.detect_tables(df, "id", "text").orderBy("id", "table_no", "row_no", "cell_no").collect():
+        got.setdefault((r.id, r.table_no, r.kind), {}).setdefault((r.row_no, r.role), []).append(r.cell)
+    rows_of = lambda *key: list(got[key].values())
+    assert rows_of(1, 1, "pipe") == [["Name", "Qty", "Price"], [":-----", "----:", "------:"], ["Bolt", "3", "1.50"], ["Nut", "12", ""]]
+    assert [role for _, role in got[1, 1, "pipe"]] == ["header", "separator", "data", "data"]
+    assert rows_of(1, 2, "border") == [["Item", "Qty"], ["Bolt", "3"], ["Long Nut", ""]]
+    assert [role for _, role in got[1, 2, "border"]] == ["header", "data", "data"]
+    assert rows_of(1, 3, "space") == [["Name", "Qty", "Price", "Note"], ["Widget A", "3", "10.50", "ok"], ["Gadget", "", "99.00", "late item"], ["产品甲", "7", "1.00", "中文"]]
+    assert rows_of(5, 1, "space") == [["one", "two", "three"], ["four", "five", "six"]] and rows_of(5, 2, "space") == [["seven", "eight", "nine"], ["ten", "to", "go"]]
+    assert rows_of(6, 1, "space") == [["a", "bb", "c", ""], ["aaaa", "b", "c", "d"]]
+    assert {k[0] for k in got} <= {1, 4, 5, 6}  # pipes without a separator line are no table
+    first = {(r.id, r.region): (r.first, len(r.lines)) for r in tables.table_regions(df, "id", "text").collect()}
+    assert first[1, 1] == (1, 5) and first[5, 1] == (0, 4) and (2, 1) not in first
