@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseworks.operators import search
+from caseworks.operators import search, vectors
 from caseworks.plans.registry import query, table
 
 _VQ = "SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0"
@@ -110,3 +110,30 @@ def x9(spark, d):
 )
 def x10(spark, d):
     return search.near_dup_vectors(table(spark, d, "embeddings"), "label", "embedding", "vec_id", 0.35).withColumn("similarity", F.round("similarity", 6))
+
+
+_PLANTED = """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    e AS (SELECT id, label, v FROM v UNION ALL SELECT id + k * 10000000, label, list_transform(v, lambda x, i: x + k * 0.012 * sin(i - 1 + id)) FROM v, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE id % 5 = k
+      UNION ALL SELECT id + 90000000, label, v FROM v WHERE id % 9 = 0),
+    u AS (SELECT label, v, min(id) AS id FROM e GROUP BY 1, 2)"""
+
+
+def _planted(spark, d):
+    """Embeddings, near copies of four fifths of them at four distances, and exact copies of a ninth."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    k = F.col("id") % 5
+    near = e.where(k > 0).withColumn("v", F.transform("v", lambda x, i: x + k * 0.012 * F.sin(i + F.col("id")))).withColumn("id", F.col("id") + k * 10000000)
+    return e.unionByName(near).unionByName(e.where("id % 9 = 0").select((F.col("id") + 90000000).alias("id"), "label", "v"))
+
+
+@query(
+    "x10_near_dup_hashed",
+    f"""{_PLANTED} SELECT x.label, x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS similarity FROM u x JOIN u y ON x.label = y.label AND x.id < y.id WHERE list_cosine_similarity(x.v, y.v) > 0.95""",
+)
+def x10_hashed(spark, d):
+    return vectors.near_dup_hashed(_planted(spark, d), "label", "v", "id", 0.95, 0.9999).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("x10_vector_classes", f"{_PLANTED} SELECT label AS owner, e.id, u.id AS class FROM e JOIN u USING (label, v)")
+def x10_classes(spark, d):
+    return vectors.distinct_vectors(_planted(spark, d), "label", "v", "id")[1]

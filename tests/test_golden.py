@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from caseworks.functions import clean, signals
-from caseworks.operators import enrich, graph, retention, rules, search, stats, tables, textsplit, trends
+from caseworks.operators import enrich, graph, retention, rules, search, stats, tables, textsplit, trends, vectors
 
 
 def one(spark, col):
@@ -174,3 +175,32 @@ def test_tables_of_all_kinds(spark):
     assert {k[0] for k in got} <= {1, 4, 5, 6}  # pipes without a separator line are no table
     first = {(r.id, r.region): (r.first, len(r.lines)) for r in tables.table_regions(df, "id", "text").collect()}
     assert first[1, 1] == (1, 5) and first[5, 1] == (0, 4) and (2, 1) not in first
+
+
+def test_near_dup_hashed(spark):
+    """Two thousand unrelated vectors and as many near copies at a cosine of 0.95 to 0.99: recall, exact values, few candidates; the
+    same pairs from blocks of a few vectors, and none across owners or lengths."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((2000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.standard_normal((2000, 32))
+    noise -= (noise * base).sum(1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cos = rng.uniform(0.951, 0.99, 2000)[:, None]
+    all_ = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * noise]) * 3
+    owner = ["x", None] * 2000
+    data = [(i, owner[i], v.tolist()) for i, v in enumerate(all_)] + [(9000, "x", [0.0] * 32), (9001, "x", None), (9002, "x", all_[0].tolist()), (9003, "x", [1.0, 2.0]), (9004, "x", [1.0, 2.1]), (None, "x", all_[2].tolist()), (9005, "y", all_[0].tolist())]
+    df = spark.createDataFrame(data, "id long, owner string, v array<double>")
+    unit = all_ / np.linalg.norm(all_, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T, 1) > 0.95), strict=True) if owner[a] == owner[b]} | {(9003, 9004)}
+    got = {(r.a, r.b): r.similarity for r in vectors.near_dup_hashed(df, "owner", "v", "id", 0.95, 0.95).collect()}
+    assert set(got) <= want and len(got) >= 0.9 * len(want)
+    assert all(abs(s - unit[a] @ unit[b]) < 1e-9 for (a, b), s in got.items() if b < 9000)
+    rows, members = vectors.distinct_vectors(df, "owner", "v", "id")
+    p = vectors.plan(0.95, 0.95, 2000)
+    cand = vectors.candidate_pairs(rows, p)
+    pairs = sorted((r.a, r.b) for r in cand.collect())
+    assert len(pairs) == len(set(pairs)) < 4 * len(want)
+    assert sorted((r.a, r.b) for r in vectors.candidate_pairs(rows, p, 5).collect()) == pairs
+    assert {r.id: r["class"] for r in members.where("id >= 9000").collect()} == {9002: 0, 9003: 9003, 9004: 9004, 9005: 9005}
+    assert vectors.near_dup_hashed(df.where("id < 0"), "owner", "v", "id").count() == 0
