@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseworks.operators.intervals import interval_join, outside
 from caseworks.plans.sizes import small
 
 
@@ -67,26 +68,23 @@ def tracking_report(suggestions: DataFrame, tracking: DataFrame) -> DataFrame:
 
 def impact(feedback: DataFrame, actions: DataFrame, before: str, after: str) -> DataFrame:
     """Per action (action_id, category, suggested_at, started_at) the mean value and count in the window before the
-    suggestion and in the window after the start, and the change of the mean.
-
-    The range join runs on category; actions are few per category, feedback of it is scanned once.
-    """
+    suggestion and in the window after the start, and the change of the mean. Windows meet feedback by time bins, so a
+    category with many actions and much feedback isn't their product."""
     a = actions.select("action_id", "category", "suggested_at", "started_at")
-    f = feedback.select("category", "ts", "value")
-    lo = (F.col("ts") >= F.col("suggested_at") - F.expr(f"INTERVAL {before}")) & (F.col("ts") < F.col("suggested_at"))
-    hi = (F.col("ts") >= F.col("started_at")) & (F.col("ts") < F.col("started_at") + F.expr(f"INTERVAL {after}"))
-    j = f.join(small(a), "category").where(lo | hi)
-    cut = lambda cond: (F.count(F.when(cond, 1)), F.avg(F.when(cond, F.col("value"))))
-    (nb, mb), (na, ma) = cut(lo), cut(hi)
+    window = lambda side, start, end: a.select("action_id", "category", F.lit(side).alias("side"), start.alias("w_from"), end.alias("w_to"))
+    lo = window("before", F.col("suggested_at") - F.expr(f"INTERVAL {before}"), F.col("suggested_at"))
+    hi = window("after", F.col("started_at"), F.col("started_at") + F.expr(f"INTERVAL {after}"))
+    j = interval_join(feedback.select("category", "ts", "value"), lo.unionByName(hi), "category", "ts", "w_from", "w_to")
+    cut = lambda side: (F.count(F.when(F.col("side") == side, 1)), F.avg(F.when(F.col("side") == side, F.col("value"))))
+    (nb, mb), (na, ma) = cut("before"), cut("after")
     seen = j.groupBy("action_id").agg(nb.alias("n_before"), mb.alias("mean_before"), na.alias("n_after"), ma.alias("mean_after"))
     out = a.select("action_id", "category").join(seen, "action_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_before", "n_after")})
     return out.withColumn("change", F.col("mean_after") - F.col("mean_before"))
 
 
 def drop_silenced(alerts: DataFrame, silences: DataFrame) -> DataFrame:
-    """Alerts (name, ts, ...) that lie in no silence [from_ts, until_ts) of their name."""
-    s = small(silences.select(F.col("name").alias("s_name"), "from_ts", "until_ts"))
-    return alerts.join(s, (F.col("name") == F.col("s_name")) & (F.col("ts") >= F.col("from_ts")) & (F.col("ts") < F.col("until_ts")), "left_anti")
+    """Alerts (name, ts, ...) that lie in no silence [from_ts, until_ts) of their name, by time bins."""
+    return outside(alerts, silences, "name", "ts", "from_ts", "until_ts")
 
 
 def pair_runs(starts: DataFrame, finishes: DataFrame) -> DataFrame:

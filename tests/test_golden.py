@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from caseworks.functions import clean, signals
-from caseworks.operators import enrich, graph, retention, rules, search, stats, tables, textsplit, trends, vectors
+from caseworks.operators import enrich, graph, intervals, retention, rules, search, stats, tables, textsplit, trends, vectors
 
 
 def one(spark, col):
@@ -204,3 +204,28 @@ def test_near_dup_hashed(spark):
     assert sorted((r.a, r.b) for r in vectors.candidate_pairs(rows, p, 5).collect()) == pairs
     assert {r.id: r["class"] for r in members.where("id >= 9000").collect()} == {9002: 0, 9003: 9003, 9004: 9004, 9005: 9005}
     assert vectors.near_dup_hashed(df.where("id < 0"), "owner", "v", "id").count() == 0
+
+
+def test_interval_joins(spark):
+    """Against all pairs: lengths from 1 to millions, touching ends, empty intervals, nulls, other keys, negative places."""
+    rng = np.random.default_rng(4)
+    starts = rng.integers(-3000, 3000, 300)
+    data = [(i, "k" if i % 3 else "z", int(a), int(a) + int(2 ** rng.uniform(0, 12))) for i, a in enumerate(starts)] + [(900, "k", 5, 5), (901, "k", 9, 2), (902, "k", None, 7), (903, None, -9999, 9999), (904, "k", -(10**15), 10**15)]
+    iv = spark.createDataFrame(data, "n int, key string, a long, b long")
+    points = [(i, str(rng.choice(["k", "z", "y"])), int(x)) for i, x in enumerate(rng.integers(-4000, 8000, 400))] + [(990, None, 3), (991, "k", None)]
+    p = spark.createDataFrame(points, "i int, key string, at long")
+    inside = {(i, n) for i, key, at in points for n, own, a, b in data if key is not None and key == own and None not in (at, a, b) and a <= at < b}
+    got = [(r.i, r.n) for r in intervals.interval_join(p, iv, "key", "at", "a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == inside
+    some = iv.where("n <> 904")
+    hit = {i for i, n in inside if n != 904}
+    assert sorted(r.i for r in intervals.outside(p, some, "key", "at", "a", "b").collect()) == sorted(i for i, *_ in points if i not in hit)
+    assert intervals.outside(p, iv.limit(0), "key", "at", "a", "b").count() == len(points) and intervals.interval_join(p, iv.limit(0), "key", "at", "a", "b").count() == 0
+
+
+def test_intervals_of_one_key_are_no_product(spark):
+    """A hundred thousand intervals and a million points of one key."""
+    iv = spark.range(100_000).select(F.lit("k").alias("key"), (F.col("id") * 100).alias("a"), (F.col("id") * 100 + 50).alias("b"))
+    p = spark.range(1_000_000).select(F.lit("k").alias("key"), (F.col("id") * 10).alias("at"))
+    assert intervals.outside(p, iv, "key", "at", "a", "b").count() == 500_000
+    assert intervals.interval_join(p, iv, "key", "at", "a", "b").count() == 500_000
