@@ -40,12 +40,13 @@ def levels(intervals: DataFrame) -> list[int]:
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """points with each interval [start, end) of their key that they lie in; the intervals' columns but the key follow."""
+    """points with each interval [start, end) of their key that they lie in; the intervals' columns but the key follow, which
+    must have names of their own."""
     b = binned(intervals, start, end)
     p = points.withColumn("_at", _place(points, at)).withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels(b)] or [F.lit(None).cast("int")])))
     p = p.withColumn("_bin", _shift(F.col("_at"), F.col("_level")))
     j = p.join(small(b), [key, "_level", "_bin"]).where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
-    return j.select(*[p[c] for c in points.columns], *[b[c] for c in intervals.columns if c != key])
+    return j.select(*points.columns, *[c for c in intervals.columns if c != key])
 
 
 def outside(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseworks.operators import search, vectors
+from caseworks.operators import postings, search, vectors
 from caseworks.plans.registry import query, table
+from caseworks.plans.shared import cut_lineage
 
 _VQ = "SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0"
 
@@ -47,6 +48,24 @@ def x3(spark, d):
     return i.select("term", "n", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
 
 
+_TERMS = r"w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\pL\pN]+')) AS term FROM documents)"
+
+
+@query("x3_index_blocks", f"WITH {_TERMS} SELECT term, count(*) AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids, TRUE AS bounded FROM w WHERE term <> '' GROUP BY 1")
+def x3_blocks(spark, d):
+    """The index in blocks of 64, unpacked; and whether no block holds more, or ids outside its first and last one."""
+    i = cut_lineage(postings.index_blocks(table(spark, d, "documents"), "doc_id", "text", 64))
+    ids = postings.unpack(i).groupBy("term").agg(F.count("*").alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",")).alias("ids"), F.min("id").alias("a"), F.max("id").alias("b"))
+    b = i.groupBy(F.col("term").alias("t")).agg(F.max("n").alias("most"), F.min("first").alias("f"), F.max("last").alias("l"))
+    return ids.join(b, F.col("term") == F.col("t")).select("term", "n", "ids", ((F.col("most") <= 64) & (F.col("a") == F.col("f")) & (F.col("b") == F.col("l"))).alias("bounded"))
+
+
+@query("x3_lookup_all", f"WITH {_TERMS} SELECT doc_id AS id FROM w WHERE term IN ('the', 'it', 'ble') GROUP BY 1 HAVING count(*) = 3")
+def x3_lookup(spark, d):
+    i = cut_lineage(postings.index_blocks(table(spark, d, "documents"), "doc_id", "text", 64))
+    return postings.lookup_all(i, ["the", "it", "ble"])
+
+
 @query("x3_category_index", "SELECT source, count(*) AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids FROM documents GROUP BY 1")
 def x3b(spark, d):
     return search.category_index(table(spark, d, "documents"), "doc_id", "source").select("source", "n", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))

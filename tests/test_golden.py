@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from caseworks.functions import clean, signals
-from caseworks.operators import enrich, graph, intervals, retention, rules, search, stats, tables, textsplit, trends, vectors
+from caseworks.operators import enrich, graph, intervals, postings, retention, rules, search, stats, tables, textsplit, trends, vectors
 
 
 def one(spark, col):
@@ -229,3 +229,22 @@ def test_intervals_of_one_key_are_no_product(spark):
     p = spark.range(1_000_000).select(F.lit("k").alias("key"), (F.col("id") * 10).alias("at"))
     assert intervals.outside(p, iv, "key", "at", "a", "b").count() == 500_000
     assert intervals.interval_join(p, iv, "key", "at", "a", "b").count() == 500_000
+
+
+def test_index_blocks(spark):
+    ids = [*range(-40, 3000, 3), 10**12]
+    df = spark.createDataFrame([(i, "all" + (" Even" if i % 2 == 0 else "") + (" rare, rare!" if i in (-40, 500, 10**12) else "")) for i in ids] + [(8, "all rare"), (8, None), (9, ""), (None, "all rare")], "id long, text string")
+    index = postings.index_blocks(df, "id", "text", 100).cache()
+    blocks = index.collect()
+    assert max(r.n for r in blocks) <= 100 and sum(r.n for r in blocks if r.term == "all") == len(set(ids) | {8})
+    own = sorted((r.first, r.last) for r in blocks if r.term == "all")
+    assert all(a[1] < b[0] for a, b in zip(own, own[1:]))
+    got = {}
+    for r in postings.unpack(index).collect():
+        got.setdefault(r.term, []).append(r.id)
+    assert {t: sorted(x) for t, x in got.items()} == {"all": sorted({*ids, 8}), "even": sorted(i for i in ids if i % 2 == 0), "rare": [-40, 8, 500, 10**12]}
+    assert sorted(r.id for r in postings.lookup_all(index, ["rare", "even", "rare"]).collect()) == [-40, 8, 500, 10**12]
+    assert postings.lookup_all(index, ["rare", "none"]).count() == 0
+    low = postings.index_blocks(df.where("id < 100 OR text LIKE 'all%' AND text NOT LIKE '%rare%'"), "id", "text", 100)
+    assert postings.meeting_blocks(low, ["rare", "all"]).where("term = 'all'").count() < low.where("term = 'all'").count()
+    assert postings.index_blocks(df.limit(0), "id", "text").count() == 0
