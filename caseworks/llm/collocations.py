@@ -1,8 +1,8 @@
 """Phrase collocations of every language, counted in weighted acyclic automata.
 
-1. Blocks: the documents that a task reads in a row are cut into pieces and words, once; a word's number is a hash of its
-   language and itself, so languages never mix. The words with a count of LEAST or more over all blocks are the frequent
-   ones. A phrase with such a count has frequent words only, and frequent pairs of neighbours, so nothing else is counted
+1. Blocks: the documents that a task reads in a row are cut into pieces and words, once. A word stands for itself in its
+   language, so languages never mix. The words with a count of LEAST or more over all blocks are the frequent ones, and get
+   numbers. A phrase with such a count has frequent words only, and frequent pairs of neighbours, so nothing else is counted
    further: exact, as with any level-wise count.
 2. Each block sorts its pairs of frequent words, then its runs of three and four words whose pairs are all frequent, and
    builds count transducers of them (transducer.py), one for each range of prefixes (of three words at most). In a range
@@ -56,7 +56,7 @@ PARCEL = "kind string, at int, block long, data binary"
 
 
 def path_key(columns: list[np.ndarray]) -> np.ndarray:
-    """A number for each phrase, from the hashes of its words."""
+    """A hash of each phrase, from the numbers of its words."""
     key = columns[0]
     with np.errstate(over="ignore"):
         for c in columns[1:]:
@@ -65,13 +65,29 @@ def path_key(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def range_of(phrases: np.ndarray, ranges: int) -> np.ndarray:
-    """The range of each phrase (rows of word hashes, 0: no word): that of the key of its first three words."""
-    key = phrases[:, 0]
+    """The range of each phrase (rows of word numbers, 0: no word): a single word's, or that of the key of its first three."""
+    key = single = (phrases[:, 0] - np.uint64(1)) % np.uint64(ranges)
     for c in range(1, min(3, phrases.shape[1])):
-        key = np.where(phrases[:, c] > 0, path_key([key, phrases[:, c]]), key)
+        before = phrases[:, 0] if c == 1 else key
+        key = np.where(phrases[:, c] > 0, path_key([before, phrases[:, c]]), key)
+    longer = phrases[:, 1] > 0 if phrases.shape[1] > 1 else np.zeros(len(phrases), bool)
+    return np.where(longer, _slot(key, ranges), single.astype(np.int64))
+
+
+def _slot(key: np.ndarray, ranges: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Numbers of a word each, byte by byte, which compresses better."""
+    return transducer.squeeze(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(transducer.unsqueeze(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def _parcels(kind: str, block: int, at: np.ndarray, content: Callable[[np.ndarray], bytes]) -> pd.DataFrame:
     """A row for each range that occurs in `at`, with content(the places there)."""
     order = np.argsort(at, kind="stable")
@@ -100,11 +116,10 @@ def _blocks(docs: DataFrame, ranges: int) -> DataFrame:
                 first = np.zeros(len(keys), np.int64)
                 first[codes[::-1]] = np.arange(len(codes))[::-1]
                 counts = np.bincount(codes, minlength=len(keys))
-                small = np.uint16 if len(keys) < 1 << 16 else np.uint32
-                yield pd.DataFrame({"kind": "own", "at": -1, "block": block, "data": [pickle.dumps((codes.astype(small), keys, np.packbits(joined)), 5)]})
+                yield pd.DataFrame({"kind": "own", "at": -1, "block": block, "data": [pickle.dumps((_packed(codes), keys, np.packbits(joined)), 5)]})
                 yield pd.DataFrame({"kind": "n", "at": np.bincount(of, minlength=len(langs)), "block": block, "data": [x.encode() for x in langs]})
                 strings = lambda p: b"\n".join(cut.word(i) for i in first[p])  # noqa: B023, E731
-                yield _parcels("words", block, range_of(keys[:, None], ranges), lambda p: pickle.dumps((keys[p], counts[p].astype(np.int32), of[first[p]].astype(np.int32), langs.tolist(), strings(p)), 5))  # noqa: B023
+                yield _parcels("words", block, _slot(keys, ranges), lambda p: transducer.squeeze(pickle.dumps((keys[p], transducer.narrow(counts[p]), transducer.narrow(of[first[p]]), langs.tolist(), strings(p)), 5)))  # noqa: B023
 
     return docs.select("text", "lang").mapInPandas(run, PARCEL)
 
@@ -114,25 +129,31 @@ def _name_hash(lang: str) -> int:
     return int(word_hashes([lang.encode("utf-8", "surrogatepass").hex() or "-"])[0])
 
 
-def _frequent_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """To each block which of the words that it sent are frequent ('answer'); the range's transducer ('counts') and the
-    names of its words ('names')."""
-    got = [pickle.loads(x) for x in pdf["data"]]
-    at = int(pdf["at"].iloc[0])
-    keys, which = np.unique(np.concatenate([k for k, *_ in got]), return_inverse=True)
-    total = np.bincount(which, np.concatenate([n for _, n, *_ in got]), len(keys)).astype(np.int64)
-    frequent, named, out, done = total >= LEAST, {}, [], 0
-    for block, (k, _, of, langs, strings) in zip(pdf["block"].tolist(), got, strict=True):
-        own = which[done : done + len(k)]
-        done += len(k)
-        out.append(("answer", at, block, np.packbits(frequent[own]).tobytes()))
-        new = [i for i in np.flatnonzero(frequent[own]).tolist() if own[i] not in named]
-        if new:
-            split = strings.split(b"\n")
-            named |= {own[i]: (langs[of[i]], split[i]) for i in new}
-    out.append(("counts", at, -1, transducer.of_phrases(keys[frequent][:, None], total[frequent]).dump()))
-    out.append(("names", at, -1, pickle.dumps([(int(keys[i]), *named[i]) for i in np.flatnonzero(frequent).tolist()], 5)))
-    return pd.DataFrame(out, columns=["kind", "at", "block", "data"]).astype({"kind": object})
+def _frequent_words(ranges: int):
+    """Numbers the range's frequent words. To each block ('answer') which of the words that it sent are frequent and their
+    numbers; the range's transducer ('counts') and the names of its words ('names')."""
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = [pickle.loads(transducer.unsqueeze(x)) for x in pdf["data"]]
+        at = int(pdf["at"].iloc[0])
+        keys, which = np.unique(np.concatenate([k for k, *_ in got]), return_inverse=True)
+        total = np.bincount(which, np.concatenate([n for _, n, *_ in got]), len(keys)).astype(np.int64)
+        frequent, named, out, done = total >= LEAST, {}, [], 0
+        place = np.cumsum(frequent) - 1
+        numbers = place.astype(np.uint64) * np.uint64(ranges) + np.uint64(at + 1)  # dense over all ranges
+        for block, (k, _, of, langs, strings) in zip(pdf["block"].tolist(), got, strict=True):
+            own = which[done : done + len(k)]
+            done += len(k)
+            out.append(("answer", at, block, pickle.dumps((np.packbits(frequent[own]), place[own[frequent[own]]].astype(np.uint32)), 5)))
+            new = [i for i in np.flatnonzero(frequent[own]).tolist() if own[i] not in named]
+            if new:
+                split = strings.split(b"\n")
+                named |= {own[i]: (langs[of[i]], split[i]) for i in new}
+        out.append(("counts", at, -1, transducer.of_phrases(numbers[frequent][:, None], total[frequent]).dump()))
+        out.append(("names", at, -1, pickle.dumps([(int(numbers[i]), *named[i]) for i in np.flatnonzero(frequent).tolist()], 5)))
+        return pd.DataFrame(out, columns=["kind", "at", "block", "data"]).astype({"kind": object})
+
+    return number
 
 
 def _united(depth: int, answer: bool):
@@ -155,44 +176,49 @@ def _united(depth: int, answer: bool):
 
 
 def _with_none(words: np.ndarray) -> np.ndarray:
-    """Hashes by word number: 0 for no word, then the words."""
+    """Words by place: 0 for no word, then the words."""
     return np.concatenate([np.zeros(1, np.uint64), words])
 
 
 class _Block:
-    """A block's words in a row, with what is frequent among them."""
+    """A block's words in a row, as the numbers of the frequent ones (0: another word)."""
 
     def __init__(self, data: bytes, answers: pd.DataFrame, ranges: int) -> None:
-        codes, self.keys, joined = pickle.loads(data)
-        self.codes = codes.astype(np.int64)
-        self.joined = np.unpackbits(joined, count=len(codes)).astype(bool)
-        at, frequent = range_of(self.keys[:, None], ranges), np.zeros(len(self.keys), bool)
+        codes, keys, joined = pickle.loads(data)
+        codes = _unpacked(codes)
+        at, numbers = _slot(keys, ranges), np.zeros(len(keys), np.uint64)
         for r in answers.itertuples():
+            bits, place = pickle.loads(r.data)
             own = np.flatnonzero(at == r.at)
-            frequent[own] = np.unpackbits(np.frombuffer(r.data, np.uint8), count=len(own)).astype(bool)
-        ok = frequent[self.codes]
+            own = own[np.unpackbits(bits, count=len(own)).astype(bool)]
+            numbers[own] = place.astype(np.uint64) * np.uint64(ranges) + np.uint64(r.at + 1)
+        self.words = np.unique(numbers[numbers > 0])
+        self.number = numbers[codes]
+        #: Places in self.words, from 1 (0: none).
+        self.w = np.where(numbers > 0, np.searchsorted(self.words, numbers) + 1, 0)[codes]
+        joined = np.unpackbits(joined, count=len(codes)).astype(bool)
         #: Whether a word and the next one are a pair of frequent words in one piece.
-        self.pair = ok[:-1] & ok[1:] & self.joined[1:]
+        self.pair = (self.w[:-1] > 0) & (self.w[1:] > 0) & joined[1:]
 
-    def runs(self, frequent_pairs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct phrases (rows of word hashes) and counts: pairs, or runs of three and four words of frequent pairs."""
-        words, number = np.unique(self.keys), np.argsort(np.argsort(self.keys)) + 1
-        w = number[self.codes]
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs (rows of word numbers) and their counts."""
         at = np.flatnonzero(self.pair)
-        if frequent_pairs is None:
-            rows, counts = transducer.summed(np.stack([w[at], w[at + 1]], 1), np.ones(len(at), np.int64), len(words))
-            return _with_none(words)[rows], counts
-        h = self.keys[self.codes]
+        rows, counts = transducer.summed(np.stack([self.w[at], self.w[at + 1]], 1), np.ones(len(at), np.int64), len(self.words))
+        return _with_none(self.words)[rows], counts
+
+    def longer(self, frequent_pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct runs of three and of four words whose pairs are all frequent, and their counts."""
+        w, at = self.w, np.flatnonzero(self.pair)
         good = np.zeros(len(w) + 2, bool)
-        good[at] = among(path_key([h[at], h[at + 1]]), frequent_pairs) if len(at) else False
+        good[at] = among(path_key([self.number[at], self.number[at + 1]]), frequent_pairs) if len(at) else False
         at = np.flatnonzero(good[:-2] & good[1:-1])
         last = np.where(good[at + 2], w[np.minimum(at + 3, len(w) - 1)], 0)
-        rows, counts = transducer.summed(np.stack([w[at], w[at + 1], w[at + 2], last], 1), np.ones(len(at), np.int64), len(words))
+        rows, counts = transducer.summed(np.stack([w[at], w[at + 1], w[at + 2], last], 1), np.ones(len(at), np.int64), len(self.words))
         shorter = rows.copy()
         shorter[:, 3] = 0
-        longer = rows[:, 3] > 0
-        rows, counts = transducer.summed(np.concatenate([rows[longer], shorter]), np.concatenate([counts[longer], counts]), len(words))
-        return _with_none(words)[rows], counts
+        four = rows[:, 3] > 0
+        rows, counts = transducer.summed(np.concatenate([rows[four], shorter]), np.concatenate([counts[four], counts]), len(self.words))
+        return _with_none(self.words)[rows], counts
 
 
 def _send(kind: str, ranges: int):
@@ -202,10 +228,11 @@ def _send(kind: str, ranges: int):
         out = [_parcels(kind, 0, np.zeros(0, np.int64), bytes)]
         for block, data in zip(own["block"].tolist(), own["data"], strict=True):
             held = _Block(data, answers[answers["kind"] == "words"], ranges)
-            pairs = None
-            if kind == "longer":
-                pairs = np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in answers["data"][answers["kind"] == "pairs"]]]))
-            phrases, counts = held.runs(pairs)
+            if kind == "pairs":
+                phrases, counts = held.pairs()
+            else:
+                told = answers["data"][answers["kind"] == "pairs"]
+                phrases, counts = held.longer(np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in told]])))
             out.append(_parcels(kind, block, range_of(phrases, ranges), lambda p: transducer.of_phrases(phrases[p], counts[p]).dump()))  # noqa: B023
         return pd.concat(out)
 
@@ -273,7 +300,7 @@ def _names(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in pdfs:
         for data in pdf["data"]:
             rows = pickle.loads(data)
-            yield pd.DataFrame({"h": np.array([r[0] for r in rows], np.uint64).view(np.int64), "lang": [r[1] for r in rows], "word": [r[2].decode("utf-8", "surrogatepass") for r in rows]}).astype({"lang": object, "word": object})
+            yield pd.DataFrame({"h": np.array([r[0] for r in rows], np.int64), "lang": [r[1] for r in rows], "word": [r[2].decode("utf-8", "surrogatepass") for r in rows]}).astype({"lang": object, "word": object})
 
 
 def _scored(rows: DataFrame) -> DataFrame:
@@ -299,7 +326,7 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     own = cut.where("kind = 'own'").select("block", "data")
     sent = lambda df: df.groupBy("at")
     answers = lambda df, kind: df.where("kind = 'answer'").select(F.lit(kind).alias("kind"), "at", "block", "data")
-    ones = materialize(sent(cut.where("kind = 'words'")).applyInPandas(_frequent_words, PARCEL), "phrase-words", "kind")
+    ones = materialize(sent(cut.where("kind = 'words'")).applyInPandas(_frequent_words(ranges), PARCEL), "phrase-words", "kind")
     told = answers(ones, "words")
     pairs = own.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_send("pairs", ranges), PARCEL)
     twos = materialize(sent(pairs).applyInPandas(_united(2, True), PARCEL), "phrase-pairs", "kind")

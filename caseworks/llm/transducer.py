@@ -11,13 +11,22 @@ import pickle
 from dataclasses import dataclass
 
 import numpy as np
+import zstandard
 
 from caseworks.llm.hashing import mix
 
 _ARC = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
     """x in the narrowest whole numbers that hold it."""
     top = int(x.max()) if len(x) else 0
     return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
@@ -47,7 +56,7 @@ def summed(paths: np.ndarray, weights: np.ndarray, n_words: int) -> tuple[np.nda
 
 @dataclass
 class Transducer:
-    #: Words (64-bit hashes, in order) that label arcs.
+    #: Words (numbers over 0, in order) that label arcs.
     words: np.ndarray
     #: Arcs by state: arcs first[s] to first[s + 1] leave state s, in the order of their labels.
     first: np.ndarray
@@ -58,11 +67,13 @@ class Transducer:
     root: int
 
     def dump(self) -> bytes:
-        return pickle.dumps((self.words, _narrow(np.diff(self.first)), _narrow(self.label), _narrow(self.target), _narrow(self.weight), self.root), 5)
+        gaps = np.diff(self.words, prepend=np.uint64(0))
+        return squeeze(pickle.dumps((narrow(gaps), narrow(np.diff(self.first)), narrow(self.label), narrow(self.target), narrow(self.weight), self.root), 5))
 
     @staticmethod
     def load(data: bytes) -> Transducer:
-        words, arcs, label, target, weight, root = pickle.loads(data)
+        gaps, arcs, label, target, weight, root = pickle.loads(unsqueeze(data))
+        words = np.cumsum(gaps, dtype=np.uint64)
         first = np.concatenate([[0], np.cumsum(arcs.astype(np.int64))])
         return Transducer(words, first, label.astype(np.int64), target.astype(np.int64), weight.astype(np.int64), root)
 
@@ -128,7 +139,7 @@ def build(words: np.ndarray, paths: np.ndarray, weights: np.ndarray) -> Transduc
 
 
 def of_phrases(phrases: np.ndarray, counts: np.ndarray) -> Transducer:
-    """The transducer of phrases, rows of word hashes (0: no word) in any order; counts of equal ones are summed."""
+    """The transducer of phrases, rows of words (0: no word) in any order; counts of equal ones are summed."""
     words = np.unique(phrases)
     words = words[words > 0]
     numbers = np.where(phrases > 0, np.searchsorted(words, phrases) + 1, 0)
