@@ -80,5 +80,20 @@ def renamed(df: DataFrame) -> DataFrame:
     return df.toDF(*["text" if c == "text" else f"_c{i}" for i, c in enumerate(df.columns)])
 
 
+#: Rows without a doc_id get numbers under this one, from their text, which no doc_id is expected to reach.
+_NAMELESS = -(1 << 61)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number in place of each null doc_id, by the text: less than all others, equal for equal texts."""
+    own = F.lit(_NAMELESS - 1) - F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5)), 3)
+    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id"), own))
+
+
+def real_id(c: str = "doc_id") -> Column:
+    """The doc_id that numbered() was given: null for numbers of its own."""
+    return F.when(F.col(c) >= _NAMELESS, F.col(c))
+
+
 def crc_mod(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod

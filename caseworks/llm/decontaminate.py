@@ -54,7 +54,7 @@ def automaton(items: list[tuple[int, str | None]], n: int = WINDOW) -> ahocorasi
     holders: dict[str, set[int]] = defaultdict(set)
     for item, text in items:
         for w in windows(text, n):
-            holders[w].add(item)
+            holders[w] |= set() if item is None else {item}
     a = ahocorasick.Automaton()
     for w, ids in holders.items():
         a.add_word(w, (w.count(" ") - 1, len(w), tuple(sorted(ids))))
@@ -91,7 +91,9 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
-SCAN = "n_words long, runs array<struct<first:long,last:long>>, items array<long>, spans array<struct<start:long,end:long>>"
+SCAN = "n_words long, runs array<struct<first:long,last:long>>, items array<{item}>, spans array<struct<start:long,end:long>>"
+#: Columns that a scan adds, in place of those of these names.
+ADDED = ("n_words", "runs", "items", "spans")
 
 
 #: The automaton that this worker built last, by the name of its scan: tasks of one scan share it.
@@ -105,7 +107,7 @@ def _automaton_of(name: str, items: list[tuple[int, str | None]]) -> ahocorasick
     return _built[name]
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, str | None]], keep: list[str]) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[int, str | None]], keep: list[str], item: str) -> DataFrame:
     name = uuid.uuid4().hex
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,25 +122,28 @@ def _scan(docs: DataFrame, items: list[tuple[int, str | None]], keep: list[str])
             )
 
     head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(list(dict.fromkeys([*keep, "text"]))).mapInPandas(scan, f"{head}, {SCAN}")
+    return docs.select(list(dict.fromkeys([*keep, "text"]))).mapInPandas(scan, f"{head}, {SCAN.format(item=item)}")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], round_bytes: int = ROUND_BYTES) -> DataFrame:
     """The `keep` columns, n_words, runs, items and spans of every document.
 
     The benchmark's size is checked: up to `round_bytes` of text it is one automaton that every task builds; beyond
-    that the items are dealt to rounds of that size, each with its own automaton, and the rounds' hits are merged.
+    that the items are dealt to rounds of that size, each with its own automaton, and the rounds' hits are merged. Item ids
+    are of any simple type; an item without an id hits words, but can't be listed. Kept columns named as one that is added
+    give way to it.
     """
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    bench, kind = benchmark.select("item_id", "text"), benchmark.schema["item_id"].dataType.simpleString()
+    keep = [c for c in keep if c not in ADDED]
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = max(1, -(-size // round_bytes))
     if rounds == 1:
-        return _scan(docs, [(r.item_id, r.text) for r in bench.collect()], keep)
+        return _scan(docs, [(r.item_id, r.text) for r in bench.collect()], keep, kind)
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # numbered once for all rounds
     parts = None
     for k in range(rounds):
-        items = [(r.item_id, r.text) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k).collect()]
-        part = _scan(rows, items, [*keep, "_row"])
+        items = [(r.item_id, r.text) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k).collect()]
+        part = _scan(rows, items, [*keep, "_row"], kind)
         parts = part if parts is None else parts.unionByName(part)
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     merged = parts.groupBy("_row", *keep).agg(F.max("n_words").alias("n_words"), flat("runs"), flat("items"), flat("spans"))

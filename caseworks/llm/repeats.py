@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseworks.llm.common import BLOCK_DOCS, materialize, n_blocks, table, with_block
+from caseworks.llm.common import BLOCK_DOCS, materialize, n_blocks, numbered, real_id, table, with_block
 from caseworks.llm.exchange import ANSWER, PARCEL, among, answers, pack48, parcels, unpack48
 from caseworks.llm.suffix_order import suffix_order
 
@@ -274,11 +274,11 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, block_docs: int = B
     """One row per row of docs (doc_id, text): sizes and digest after removal, and (keep_text) the kept bytes.
 
     Of equal texts only the smallest doc_id's goes through the blocks. The others lose everything from 50 bytes on:
-    the first one holds all their strings.
+    the first one holds all their strings. Rows without a doc_id are before all others, in an order of their own.
     """
     blocks = n_blocks(docs, block_docs)
     buckets = max(16, blocks // 4)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     hashed = texts.select("doc_id", F.sha2("text", 256).alias("h"), F.octet_length("text").cast("long").alias("n_bytes"))
     firsts = hashed.groupBy("h").agg(F.min("doc_id").alias("first"))
     members = materialize(hashed.join(firsts, "h").select("doc_id", "n_bytes", "first", "h"), "texts")
@@ -297,7 +297,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, block_docs: int = B
     if keep_text:
         short = texts.where(F.octet_length("text") < LENGTH).select("doc_id", F.col("text").cast("binary").alias("kept")).dropDuplicates(["doc_id"])
         copies = copies.join(short, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit("").cast("binary")))
-    return done.unionByName(copies)
+    return done.unionByName(copies).withColumn("doc_id", real_id())
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

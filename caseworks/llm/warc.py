@@ -56,10 +56,10 @@ def first_captures(pages: DataFrame) -> DataFrame:
 
 def write_warc(pages: DataFrame, path: str) -> None:
     d = first_captures(pages)
-    # rows of a repeated page_id are captures of their own: their ids go on with a number of the row
+    # rows of a repeated page_id, and of none, are captures of their own: their ids go on with a number of the row
     again = materialize(pages.groupBy("page_id").agg(F.count("*").alias("_n")).where("_n > 1").select("page_id", F.lit(True).alias("_again")), "repeated-pages")
     d = d.withColumn("_again", F.lit(False)) if again.isEmpty() else d.join(fits(again), "page_id", "left")
-    page = F.concat(F.col("page_id").cast("string"), F.when(F.col("_again"), F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"))).otherwise(F.lit("")))
+    page = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.when(F.col("_again") | F.col("page_id").isNull(), F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"))).otherwise(F.lit("")))
     d = d.withColumn("_name", page)
     page, date = F.col("_name"), F.lit(CAPTURE_DATE)
     again = F.col("refers_to").isNotNull()
@@ -156,7 +156,7 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
-    number = lambda c: F.regexp_extract(c, r"urn:capture:(-?\d+)", 1).cast("long")
+    number = lambda c: F.nullif(F.regexp_extract(c, r"urn:capture:(-?\d+)", 1), F.lit("")).cast("long")
     captures = assemble(read_records(spark, path))
     return captures.select(
         number("capture_id").alias("page_id"),

@@ -13,10 +13,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from caseworks.llm import bytewords, collocations, ranked, toxicity, transducer
+from caseworks.llm import bytewords, collocations, common, decontaminate, minhash, ranked, repeats, toxicity, transducer, warc
 
 
 
+SF = "/root/testdata/sf0.001"
+
+
 # words ------------------------------------------------------------------------------------------------------------
 
 
@@ -216,3 +219,60 @@ def test_search_stops_early():
     lists = ranked.Lists(s, ranked.impacts(s, np.array([100, 50]), n, 60 * n), 2)
     docs, scores, read = lists.top(np.array([0, 1]), np.array([1, 1]), 10)
     assert docs.tolist() == list(range(10)) and len(set(scores.tolist())) == 1 and read < 200
+
+
+# odd rows in the earlier operators and the stages -------------------------------------------------------------------
+
+LONG = "A passage of more than fifty bytes that stands in several of these documents, word for word. "
+OWN = [" ".join(f"{w}{k}" for w in ("green", "river", "stone", "cloud", "paper", "glass", "horse", "apple", "music", "light", "bread", "chair")) for k in "abc"]
+ODD = [(None, LONG + OWN[0]), (None, "quite another text without any company here"), (1, LONG + OWN[1]), (1, "the second text of the same number, with words of its own"), (2, LONG + OWN[2]), (2, LONG + OWN[2]), (3, None), (4, ""), (None, None)]
+
+
+def odd_docs(spark):
+    names = ["_doc", "_key", "items", "runs", "a", "h", "kind"]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *names) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+
+
+def test_no_stage_loses_or_breaks_odd_rows(spark):
+    import corpus_pipeline
+
+    docs = odd_docs(spark)
+    texts = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    every = texts(docs)
+    want = {
+        "language_id": [x for x in every if x[1]],
+        "near_dedup": sorted({(i, t) for i, t in every if t} | {(0, "")}),
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert texts(got) == want.get(name, every), name  # equal rows lose the same lines, here none
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_operators_take_rows_without_an_id(spark):
+    docs = odd_docs(spark)
+    got = repeats.remove_repeats(docs).collect()
+    assert len(got) == len(ODD) and sum(r.doc_id is None for r in got) == 3
+    assert {r.n_removed > 0 for r in got if r.doc_id == 2} == {True} and sum(r.n_removed for r in got if r.doc_id is None) == 0
+    found = minhash.near_duplicates(common.numbered(docs.select("doc_id", "text"))).withColumn("doc_id", common.real_id()).collect()
+    assert len(found) == len(ODD) and sum(r.doc_id is None for r in found) == 3
+
+
+def test_items_of_any_type(spark):
+    docs = odd_docs(spark)
+    bench = spark.createDataFrame([("x1", LONG), (None, "quite another text without any company here"), ("x2", None)], "item_id string, text string")
+    for size in (1 << 20, 40):
+        got = decontaminate.find_contamination(docs, bench, docs.columns, size)
+        assert got.columns.count("items") == 1
+        by = [(r.text, list(r["items"]), len(r.runs)) for r in got.collect()]
+        assert len(by) == len(ODD) and all(x == (["x1"] if t and t.startswith("A passage") else []) for t, x, _ in by)
+        assert [n for t, _, n in by if t and t.startswith("quite")] == [1]
+
+
+def test_archive_of_pages_without_an_id(spark, tmp_path):
+    page = "<p>" + "words " * 40 + "</p>"
+    data = [(None, "u", page), (None, "v", page), (5, "w", page), (4, None, page), (None, "x", None)]
+    spark.createDataFrame(data, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op2_warc_transactions(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in got) == sorted([(0, "response", 0, 0), (0, "response", 0, 247), (0, "response", 0, 247), (4, "response", 0, 247), (5, "revisit", 4, 247)])
