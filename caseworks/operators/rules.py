@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseworks.plans.shared import cut_lineage
+from caseworks.operators.search import block_ratio
 from caseworks.plans.sizes import few, small
 
 
@@ -228,13 +229,14 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def compare_obligations(obligations: DataFrame, standard: DataFrame) -> DataFrame:
+def compare_obligations(obligations: DataFrame, standard: DataFrame, measure: str = "edit") -> DataFrame:
     """doc_id, type, change, similarity of a document's obligations (doc_id, type, content) against the standard's
-    (type, content): same from 0.95, changed from 0.6, else replaced; added and removed where one side lacks the type."""
+    (type, content): same from 0.95, changed from 0.6, else replaced; added and removed where one side lacks the type.
+    measure: 'edit' (distance over length) or 'blocks' (ratio of longest matching blocks); both work on characters."""
     docs = obligations.select("doc_id").distinct()
     wanted = docs.join(small(standard.select("type", F.col("content").alias("std"))))
     j = obligations.select("doc_id", "type", "content").join(wanted, ["doc_id", "type"], "full_outer")
-    s = similarity(F.col("content"), F.col("std"))
+    s = similarity(F.col("content"), F.col("std")) if measure == "edit" else F.when(F.col("content").isNotNull() & F.col("std").isNotNull(), block_ratio("content", "std"))
     change = F.when(F.col("std").isNull(), "added").when(F.col("content").isNull(), "removed").when(s >= 0.95, "same").when(s >= 0.6, "changed").otherwise("replaced")
     return j.select("doc_id", "type", change.alias("change"), s.alias("similarity"))
 

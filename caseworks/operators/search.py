@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -11,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from caseworks.plans.sizes import small
 
@@ -129,6 +131,47 @@ def rank_similar(df: DataFrame, query: str, keywords: list[str], k: int = 10, we
     return out.where(F.col("score") > least).orderBy(F.desc("score"), "id").limit(k)
 
 
+# Weights of a skill's maturity; any other counts as UNKNOWN_MATURITY.
+MATURITY = {"production": 1.0, "beta": 0.7, "prototype": 0.4, "deprecated": 0.1}
+UNKNOWN_MATURITY = 0.3
+
+
+@F.pandas_udf(DoubleType())
+def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratio of longest matching blocks of two texts in lower case; null like the empty text."""
+    return pd.Series([SequenceMatcher(None, (x or "").lower(), (y or "").lower(), autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+
+
+def _tag_and_name(query: str, measure: str) -> Column:
+    """0.3 for each tag that holds a word (of two letters or more) of the query, and half the similarity of the query with
+    name and description. measure: 'words' (token_jaccard) or 'blocks' (block_ratio, for unspaced scripts)."""
+    words = [w for w in re.findall(r"\w+", query.lower()) if len(w) >= 2]
+    hit = lambda t: reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(w)) for w in words], F.lit(False))
+    tags = F.size(F.filter(F.coalesce("tags", F.array().cast("array<string>")), hit))
+    own = F.concat_ws(" ", "name", "description")
+    like = token_jaccard(own, F.lit(query)) if measure == "words" else block_ratio(F.lit(query), own)
+    return tags * 0.3 + like * 0.5
+
+
+def rank_skills(df: DataFrame, query: str, k: int = 5, measure: str = "words", least: float = 0.1) -> DataFrame:
+    """Skills (id, name, description, tags, maturity, success_rate) with score: tags and name against the query, times the
+    weight of the maturity, plus 0.2 of the success rate; the k best above `least`, ties by id."""
+    known = F.create_map(*[x for m, w in MATURITY.items() for x in (F.lit(m), F.lit(w))])
+    weight = F.coalesce(F.try_element_at(known, F.col("maturity")), F.lit(UNKNOWN_MATURITY))
+    out = df.withColumn("score", _tag_and_name(query, measure) * weight + F.coalesce("success_rate", F.lit(0.0)) * 0.2)
+    return out.where(F.col("score") > least).orderBy(F.desc("score"), "id").limit(k)
+
+
+def rank_entities(nodes: DataFrame, edges: DataFrame, query: str, k: int = 5, measure: str = "words") -> DataFrame:
+    """Entities (id, name, description, tags, confidence) with score: tags and name against the query, 0.05 for each relation
+    (src, dst) at either end up to 0.3, times the confidence; the k best above 0, ties by id."""
+    ends = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("_end")).groupBy("_end").agg(F.count("*").alias("_degree"))
+    j = nodes.join(ends, nodes["id"] == ends["_end"], "left")
+    score = (_tag_and_name(query, measure) + F.least(F.coalesce("_degree", F.lit(0)) * 0.05, F.lit(0.3))) * F.coalesce("confidence", F.lit(1.0))
+    out = j.withColumn("score", score).drop("_end", "_degree")
+    return out.where(F.col("score") > 0).orderBy(F.desc("score"), "id").limit(k)
+
+
 def _masks(text: str) -> dict[str, int]:
     """For each letter a number whose bits are its places."""
     out: dict[str, int] = {}

@@ -131,6 +131,14 @@ def run_stats(runs: DataFrame, key: str) -> DataFrame:
     return runs.groupBy(key).agg(F.count("*").alias("runs"), F.count_if("success").alias("successes"), F.avg("seconds").alias("mean_seconds")).withColumn("success_rate", F.col("successes") / F.col("runs"))
 
 
+def cause_distribution(runs: DataFrame, key: str | None = None) -> DataFrame:
+    """(key,) root_cause, n, share of the runs (success, error, seconds) by the class of their cause; classes that don't
+    occur have no row."""
+    keys = [key] if key else []
+    g = runs.select(*keys, signals.root_cause("success", "error", "seconds").alias("root_cause")).groupBy(*keys, "root_cause").agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*(keys or [F.lit(0)]))))  # of a few rows a key
+
+
 def triggers(run_stats: DataFrame, ability_stats: DataFrame, knowledge: DataFrame, key: str = "id") -> DataFrame:
     """kind, id: skills to mend (3 runs, rate under 0.5), abilities to raise (5 tasks, rate over 0.8), knowledge to
     promote (10 uses, not core yet)."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseworks.operators import postings, search, vectors
+from caseworks.operators import closetext, postings, search, vectors
 from caseworks.plans.registry import query, table
 from caseworks.plans.shared import cut_lineage
 
@@ -98,6 +98,42 @@ def x6(spark, d):
     return search.rank_similar(p, "red ring", ["ECONOMY", "Brand#7"], 25).select("id", F.round("score", 6).alias("score"))
 
 
+def _like(words, text):
+    own = f"[x for x in list_distinct(regexp_split_to_array(lower({text}), '[^\\pL\\pN]+')) if x <> '']"
+    both = f"len(list_intersect({own}, {words}))"
+    return f"({both} / (len({own}) + {len(words)} - {both}))"
+
+
+_SKILL = f"0.3 * (contains(lower(p_brand), 'red')::INT + (contains(lower(p_type), 'red') OR contains(lower(p_type), 'eco'))::INT) + 0.5 * {_like(['red', 'eco', 'a', 'ring'], "p_name || ' ' || p_type")}"
+
+
+def _skills(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.array("p_brand", "p_type").alias("tags"), F.element_at(F.array(*[F.lit(x) for x in ("production", "beta", "prototype", "deprecated", "other")]), (F.col("p_size") % 5 + 1).cast("int")).alias("maturity"), (F.col("p_size") / 50).alias("success_rate"), F.when(F.col("p_size") % 4 > 0, 0.8).alias("confidence"))
+
+
+@query(
+    "x6_rank_skills",
+    f"""SELECT id, round(score, 6)::DOUBLE AS score FROM (SELECT p_partkey AS id, ({_SKILL}) * [1.0, 0.7, 0.4, 0.1, 0.3][p_size % 5 + 1] + 0.2 * p_size / 50 AS score FROM part) WHERE score > 0.1 ORDER BY score DESC, id LIMIT 25""",
+)
+def x6_skills(spark, d):
+    return search.rank_skills(_skills(spark, d), "red eco a ring", 25).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "x6_rank_entities",
+    f"""WITH g AS (SELECT p, count(*) AS n FROM (SELECT l_partkey AS p FROM lineitem UNION ALL SELECT l_suppkey FROM lineitem WHERE l_suppkey <> l_partkey) GROUP BY 1)
+    SELECT id, round(score, 6)::DOUBLE AS score FROM (SELECT p_partkey AS id, (({_SKILL}) + least(coalesce(n, 0) * 0.05, 0.3)) * CASE WHEN p_size % 4 > 0 THEN 0.8 ELSE 1 END AS score FROM part LEFT JOIN g ON p = p_partkey) WHERE score > 0 ORDER BY score DESC, id LIMIT 25""",
+)
+def x6_entities(spark, d):
+    edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return search.rank_entities(_skills(spark, d), edges, "red eco a ring", 25).select("id", F.round("score", 6).alias("score"))
+
+
+@query("x8_near_texts")
+def x8_near(spark, d):
+    return closetext.near_texts(table(spark, d, "benchmark"), "item_id", "text", 0.5)
+
+
 @query("x7_dedup_text")
 def x7(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))

@@ -128,6 +128,17 @@ def a14(spark, d):
     return stats.run_stats(r, "user_id").withColumn("mean_seconds", F.round("mean_seconds", 6))
 
 
+@query(
+    "a14_cause_distribution",
+    """WITH r AS (SELECT user_id, CASE WHEN event_type <> 'error' THEN 'success_pattern' WHEN value * 10 > 300 THEN 'resource_limit' WHEN event_id % 3 = 0 THEN 'knowledge_gap' WHEN event_id % 3 = 1 THEN 'skill_defect' ELSE 'unknown' END AS root_cause FROM events)
+    SELECT user_id, root_cause, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS share FROM r GROUP BY 1, 2""",
+)
+def a14_causes(spark, d):
+    e = F.when(F.col("event_id") % 3 == 0, "Key not found").when(F.col("event_id") % 3 == 1, "some error").otherwise("?")
+    r = table(spark, d, "events").select("user_id", (F.col("event_type") != "error").alias("success"), e.alias("error"), (F.col("value") * 10).alias("seconds"))
+    return stats.cause_distribution(r, "user_id").withColumn("share", F.round("share", 6))
+
+
 @query(
     "a15_triggers",
     """WITH g AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type IN ('purchase', 'error')) AS k FROM events GROUP BY 1)

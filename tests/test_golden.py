@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from caseworks.functions import clean, signals
-from caseworks.operators import enrich, graph, intervals, postings, retention, rules, search, stats, tables, textsplit, trends, vectors
+from caseworks.operators import closetext, enrich, graph, intervals, postings, retention, rules, search, stats, tables, textsplit, trends, vectors
 
 
 def one(spark, col):
@@ -248,3 +249,33 @@ def test_index_blocks(spark):
     low = postings.index_blocks(df.where("id < 100 OR text LIKE 'all%' AND text NOT LIKE '%rare%'"), "id", "text", 100)
     assert postings.meeting_blocks(low, ["rare", "all"]).where("term = 'all'").count() < low.where("term = 'all'").count()
     assert postings.index_blocks(df.limit(0), "id", "text").count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.95])
+def test_near_texts_of_unspaced_script(spark, threshold):
+    """Three hundred Chinese clauses and short texts, many near copies: equal to all pairs."""
+    rng = np.random.default_rng(6)
+    signs = [chr(0x4E00 + int(x)) for x in rng.integers(0, 400, 120)]
+    base = ["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(100)]
+    texts = list(base)
+    for t in base:
+        for k in (1, 4):
+            cut = list(t)
+            for _ in range(k):
+                cut[rng.integers(0, len(cut))] = str(rng.choice(signs))
+            texts.append("".join(cut) + ("。" if k > 1 else ""))
+    texts += ["ab", "AB", "ba", "abc", "", "x"]
+    df = spark.createDataFrame([*enumerate(texts), (999, None)], "id long, text string")
+    low = [t.lower() for t in texts]
+    want = {(a, b): closetext.SequenceMatcher(None, low[a], low[b], autojunk=False).ratio() for a in range(len(low)) for b in range(a + 1, len(low)) if low[a] and low[b]}
+    want = {p: r for p, r in want.items() if r > threshold}
+    assert {(r.a, r.b): r.similarity for r in closetext.near_texts(df, "id", "text", threshold).collect()} == want and len(want) > 40
+
+
+def test_similarity_by_blocks(spark):
+    o = spark.createDataFrame([(1, "pay", "乙方应在三十日内付款"), (1, "ship", "甲方交货")], "doc_id int, type string, content string")
+    s = spark.createDataFrame([("pay", "乙方应在十五日内付款"), ("ship", "甲方交货"), ("keep", "保密")], "type string, content string")
+    got = {r.type: (r.change, r.similarity) for r in rules.compare_obligations(o, s, "blocks").collect()}
+    assert got == {"pay": ("changed", 0.9), "ship": ("same", 1.0), "keep": ("removed", None)}
+    skills = spark.createDataFrame([(1, "合同审查", "风险", ["合同"], "production", 0.5), (2, "天气", "", [], "beta", None)], "id int, name string, description string, tags array<string>, maturity string, success_rate double")
+    assert [(r.id, round(r.score, 6)) for r in search.rank_skills(skills, "合同审查", measure="blocks").collect()] == [(1, round(0.5 * 8 / 11 + 0.1, 6))]
