@@ -45,6 +45,31 @@ def hierarchy(items: DataFrame, id: str, parent: str, title: str, max_depth: int
     return reduce(DataFrame.unionByName, found)
 
 
+def levels(items: DataFrame, id: str, parent: str) -> DataFrame:
+    """id, level (0 for roots), root, status of every item, however deep its tree is.
+
+    Pointer doubling: each item points at an ancestor; in a round it takes over that one's pointer, so the way doubles, and a
+    tree of depth d is done in log2(d) rounds, of joins that only unfinished items take part in. status: 'tree'; 'orphan'
+    below a parent that isn't among the items; 'cycle' on or below a cycle. The latter two have no level and no root.
+    """
+    base = items.select(F.col(id).alias("id"), F.col(parent).alias("parent")).where("id IS NOT NULL").groupBy("id").agg(F.min("parent").alias("parent"), F.count_if(F.col("parent").isNull()).alias("_roots"))
+    base = base.select("id", F.when(F.col("_roots") == 0, F.col("parent")).alias("parent"))
+    roots = base.where("parent IS NULL").select("id", F.lit(0).cast("long").alias("level"), F.col("id").alias("root"), F.lit("tree").alias("status"))
+    open_ = cut_lineage(base.where("parent IS NOT NULL").select("id", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("dist")))
+    done = [roots]
+    for _ in range(open_.count().bit_length() + 1):
+        if open_.isEmpty():
+            break
+        known = reduce(DataFrame.unionByName, done).select(F.col("id").alias("k"), "level", "root", "status")
+        ahead = open_.select(F.col("id").alias("o"), F.col("anc").alias("next"), F.col("dist").alias("far"))
+        met = cut_lineage(open_.join(known, F.col("anc") == F.col("k"), "left").join(ahead, F.col("anc") == F.col("o"), "left"))
+        ended = met.where("k IS NOT NULL OR o IS NULL")
+        done.append(ended.select("id", (F.col("level") + F.col("dist")).alias("level"), "root", F.coalesce("status", F.lit("orphan")).alias("status")))
+        open_ = met.where("k IS NULL AND o IS NOT NULL").select("id", F.col("next").alias("anc"), (F.col("dist") + F.col("far")).alias("dist"))
+    ring = open_.select("id", F.lit(None).cast("long").alias("level"), F.lit(None).cast(dict(base.dtypes)["id"]).alias("root"), F.lit("cycle").alias("status"))
+    return reduce(DataFrame.unionByName, [*done, ring])
+
+
 def neighbors(edges: DataFrame, start: DataFrame, depth: int, rel: str | None = None) -> DataFrame:
     """start, id, hops: nodes within `depth` outgoing edges of each start (id), at their fewest hops. The start itself
     appears if a way leads back."""
@@ -63,23 +88,44 @@ def neighbors(edges: DataFrame, start: DataFrame, depth: int, rel: str | None =
 
 
 def shortest_path(edges: DataFrame, start: int | str, end: int | str, max_depth: int = 5, rels: list[str] | None = None) -> DataFrame:
-    """hops and path (nodes) of a shortest way of at most max_depth edges; of equal ones the least path. Each node keeps
-    one way, so the frontier never outgrows the nodes."""
+    """hops and path (nodes) of a shortest way of one to max_depth edges; of equal ones the least path.
+
+    Layers of nodes grow from both ends, the smaller one first, until they meet; then the least way through the layers is
+    read off, a row a hop. So layers hold nodes only, and each end sees half the depth.
+    """
     e = (edges.where(F.col("rel").isin(rels)) if rels else edges).select("src", "dst").distinct()
-    kind = dict(edges.dtypes)["src"]
-    frontier = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("at"), F.array(F.lit(start).cast(kind)).alias("path"))
-    seen = frontier.select("at")
-    for hop in range(1, max_depth + 1):
-        step = frontier.join(e, frontier["at"] == e["src"]).groupBy(F.col("dst").alias("to")).agg(F.min("path").alias("path"))
-        step = step.select(F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path")).join(seen, "at", "left_anti")
-        frontier = cut_lineage(step)
-        hit = frontier.where(F.col("at") == F.lit(end).cast(kind))
-        if not hit.isEmpty():
-            return hit.select(F.lit(hop).alias("hops"), "path")
-        if frontier.isEmpty():
+    e, kind = cut_lineage(e), dict(edges.dtypes)["src"]
+    one = lambda x: edges.sparkSession.range(1).select(F.lit(x).cast(kind).alias("at"))
+    empty = one(start).select(F.lit(0).alias("hops"), F.array("at").alias("path")).limit(0)
+    out_of = {"src": ("src", "dst"), "dst": ("dst", "src")}
+
+    def grown(layers: list[DataFrame], side: str) -> DataFrame:
+        a, b = out_of[side]
+        step = layers[-1].join(e, F.col("at") == F.col(a)).select(F.col(b).alias("at")).distinct()
+        seen = reduce(DataFrame.unionByName, layers[1:] if start == end else layers, step.limit(0))  # a ring comes back to its start
+        return cut_lineage(step.join(seen, "at", "left_anti"))
+
+    ahead, back, sizes = [one(start)], [one(end)], {"src": 1, "dst": 1}
+    for hops in range(1, max_depth + 1):
+        side = "src" if sizes["src"] <= sizes["dst"] else "dst"
+        layers = ahead if side == "src" else back
+        layers.append(grown(layers, side))
+        sizes[side] = layers[-1].count()
+        if not sizes[side]:
+            return empty
+        meet = cut_lineage(ahead[-1].join(back[-1], "at", "left_semi"))
+        if not meet.isEmpty():
             break
-        seen = seen.unionByName(frontier.select("at"))
-    return frontier.select(F.lit(0).alias("hops"), "path").limit(0)
+    else:
+        return empty
+    ways = [meet]  # nodes of each layer ahead that lead to where the layers meet
+    for layer in ahead[-2:0:-1]:
+        ways.insert(0, cut_lineage(e.join(ways[0], e["dst"] == ways[0]["at"], "left_semi").select(F.col("src").alias("at")).distinct().join(layer, "at", "left_semi")))
+    path = [start]
+    for layer in [*(ways if len(ahead) > 1 else []), *back[-2::-1]]:
+        here = e.where(F.col("src") == F.lit(path[-1]).cast(kind)).select(F.col("dst").alias("at"))
+        path.append(here.join(layer, "at", "left_semi").agg(F.min("at")).first()[0])
+    return edges.sparkSession.range(1).select(F.lit(hops).alias("hops"), F.array(*[F.lit(x).cast(kind) for x in path]).alias("path"))
 
 
 def cascade(nodes: DataFrame, edges: DataFrame, rate_changes: DataFrame, rels: tuple[str, ...] = ("requires", "depends_on"), drop: float = 0.8) -> DataFrame:

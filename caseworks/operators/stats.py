@@ -178,10 +178,10 @@ def merge_report(docs: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def telemetry(spans: DataFrame, key: str, exact: bool = True, least_rate: float = 0.9, slowest: float = 120.0, most_errors: float = 0.1) -> DataFrame:
+def telemetry(spans: DataFrame, key: str, exact: bool = False, least_rate: float = 0.9, slowest: float = 120.0, most_errors: float = 0.1) -> DataFrame:
     """Per key calls, successes, failures, mean and p50/p95/p99 latency, users, commonest error, and three flags.
 
-    exact=False takes approximate percentiles, whose state is bounded.
+    Percentiles are approximate, of bounded state; exact=True holds each key's distinct latencies in one buffer, for checks.
     """
     rank = (lambda p: F.percentile("latency", F.lit(p))) if exact else (lambda p: F.percentile_approx("latency", F.lit(p), F.lit(10000)))
     g = spans.groupBy(key).agg(F.count("*").alias("calls"), F.count_if("success").alias("successes"), F.avg("latency").alias("mean"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.count_distinct("user_id").alias("users"))
@@ -190,6 +190,27 @@ def telemetry(spans: DataFrame, key: str, exact: bool = True, least_rate: float
     return out.withColumns({"low_success": F.col("successes") / F.col("calls") < least_rate, "slow": F.col("p95") > slowest, "failing": F.col("failures") / F.col("calls") > most_errors})
 
 
+#: Size of a quantile sketch: ranks are off by RANK_ERROR at most (at 99 % confidence), also after merging.
+SKETCH_K = 800
+RANK_ERROR = 0.005
+
+
+def telemetry_sketches(spans: DataFrame, key: str, ts: str = "ts") -> DataFrame:
+    """Per key and day calls, successes, latency_sum, and mergeable sketches of latencies (quantiles) and users (distinct
+    numbers): a few kilobytes a row, kept instead of the spans. Null latencies count as calls, but not in the sketch."""
+    aggs = [F.count("*").alias("calls"), F.count_if("success").alias("successes"), F.sum("latency").alias("latency_sum"), F.count("latency").alias("timed")]
+    sketches = [F.kll_sketch_agg_double(F.col("latency").cast("double"), F.lit(SKETCH_K)).alias("latencies"), F.hll_sketch_agg(F.col("user_id").cast("string")).alias("seen")]
+    return spans.groupBy(key, F.to_date(ts).alias("day")).agg(*aggs, *sketches)
+
+
+def roll_up(sketches: DataFrame, keys: list[str], ranks: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """keys (none: overall), calls, successes, mean, p50, p95, p99, users of telemetry_sketches' rows, without the spans."""
+    aggs = [F.sum("calls").alias("calls"), F.sum("successes").alias("successes"), (F.sum("latency_sum") / F.sum("timed")).alias("mean")]
+    g = sketches.groupBy(*keys).agg(*aggs, F.kll_merge_agg_double("latencies").alias("_l"), F.hll_union_agg("seen").alias("_u"))
+    at = {f"p{round(r * 100)}": F.when(F.kll_sketch_get_n_double("_l") > 0, F.kll_sketch_get_quantile_double("_l", F.lit(r))) for r in ranks}
+    return g.withColumns(at | {"users": F.hll_sketch_estimate("_u")}).drop("_l", "_u")
+
+
 def import_report(dfs: dict[str, DataFrame], required: dict[str, list[str]], expected_rows: dict[str, int]) -> DataFrame:
     """file, rows, missing columns, row mismatch and nulls in the required columns there are; one pass a table."""
     parts = []

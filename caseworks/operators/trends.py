@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseworks.plans.shared import cut_lineage
+from caseworks.plans.sizes import few, small
+
 from caseworks.functions import signals
 
 
@@ -97,13 +100,43 @@ def _access(c: str) -> Column:
     return F.least(F.coalesce(c, F.lit(0)), F.lit(100)) / 100
 
 
+#: Cells of a score's range that quotas are first cut by.
+SCORE_CELLS = 4096
+
+
+def rank_within(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """df with rank: the place of each row in its key's order, from 1. The order should tell all rows of a key apart.
+
+    Rows are dealt by ranges of key and order, ranked inside their range, and moved on by the numbers of the ranges before:
+    a key of most rows is many ranges, none of which is one task's alone.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(df.repartitionByRange(parts, F.asc(key), *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(key, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # a row for each range of a key
+    local = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", key).orderBy(*order)))
+    return local.join(small(cut_lineage(sizes)), [key, "_part"]).withColumn("rank", F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
+
+
 def prune_quota(memories: DataFrame, quotas: DataFrame, now: Column, default_limit: int = 100) -> DataFrame:
-    """Adds prune_score and pruned: what an owner holds beyond the limit, lowest score first; limit -1 prunes nothing."""
-    m = memories.join(quotas.select("owner", "memory_limit"), "owner", "left")
+    """Adds prune_score and pruned: what an owner holds beyond the limit, lowest score first; limit -1 prunes nothing.
+
+    Counts of an owner's scores by cells tell which cell the limit falls into. Cells above are kept, those below pruned, and
+    only the rows of that cell are ranked.
+    """
     score = _importance("importance") * 0.4 + _access("accessed_count") * 0.3 + _recency("ts", now) * 0.3
+    m = memories.join(small(quotas.select("owner", "memory_limit")), "owner", "left")
     m = m.withColumns({"prune_score": score, "memory_limit": F.coalesce("memory_limit", F.lit(default_limit))})
-    w = Window.partitionBy("owner").orderBy(F.desc("prune_score"), "memory_id")
-    return m.withColumn("pruned", (F.col("memory_limit") >= 0) & (F.row_number().over(w) > F.col("memory_limit"))).drop("memory_limit")
+    m = m.withColumn("_cell", F.floor(F.col("prune_score") * SCORE_CELLS).cast("int"))
+    down = Window.partitionBy("owner").orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = m.where("memory_limit >= 0").groupBy("owner", "memory_limit", "_cell").agg(F.count("*").alias("_n"))
+    cells = cells.withColumn("_above", F.coalesce(F.sum("_n").over(down), F.lit(0))).where(F.col("_above") + F.col("_n") > F.col("memory_limit"))
+    cut = cut_lineage(cells.groupBy("owner").agg(F.max("_cell").alias("_cut"), F.min("_above").alias("_above")))
+    j = m.join(few(cut), "owner", "left")
+    sure = j.where("_cut IS NULL OR _cell <> _cut").withColumn("pruned", F.coalesce(F.col("_cell") < F.col("_cut"), F.lit(False)))
+    near = rank_within(j.where("_cell = _cut"), "owner", [F.desc("prune_score"), F.asc("memory_id")])
+    near = near.withColumn("pruned", F.col("rank") + F.col("_above") > F.col("memory_limit")).drop("rank")
+    return sure.unionByName(near).drop("memory_limit", "_cell", "_cut", "_above")
 
 
 def recall(hits: DataFrame, now: Column, k: int = 5, least: float = 0.7) -> DataFrame:

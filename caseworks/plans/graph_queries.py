@@ -51,6 +51,19 @@ def g2(spark, d):
     return graph.hierarchy(_tree(spark, d), "id", "parent", "title").select("id", "level", "parent_id", "parent_title")
 
 
+@query(
+    "g2_levels",
+    """WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 700 = 699 THEN -1 WHEN o_orderkey % 3000 = 2100 THEN o_orderkey + 5 WHEN o_orderkey % 700 > 0 THEN o_orderkey - 1 END AS parent FROM orders),
+    g AS (SELECT id, id // 700 AS g, id % 700 AS k, max(CASE WHEN id % 3000 = 2100 THEN id END) OVER (PARTITION BY id // 700) AS ring FROM o)
+    SELECT id, CASE WHEN k < 699 AND ring IS NULL THEN k END AS level, CASE WHEN k < 699 AND ring IS NULL THEN g * 700 END AS root, CASE WHEN k = 699 THEN 'orphan' WHEN ring IS NULL THEN 'tree' ELSE 'cycle' END AS status FROM g""",
+)
+def g2_levels(spark, d):
+    """Chains of 699 orders, each 700th below a missing one; every 3000th order that begins a chain closes a ring of six."""
+    k = F.col("o_orderkey")
+    parent = F.when(k % 700 == 699, -1).when(k % 3000 == 2100, k + 5).when(k % 700 > 0, k - 1)
+    return graph.levels(table(spark, d, "orders").select("o_orderkey", parent.alias("parent")), "o_orderkey", "parent")
+
+
 def _edges(spark, d):
     return table(spark, d, "lineitem").select((F.col("l_partkey") % 300).alias("src"), F.lit("requires").alias("rel"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 300).alias("dst")).distinct()
 
@@ -74,6 +87,24 @@ def g4(spark, d):
     return graph.shortest_path(_edges(spark, d), 1, 250, 5).select("hops")
 
 
+# Parts and the suppliers that ship them, in both directions; suppliers are numbered from 10 million.
+_SHIP_SQL = "ed AS (SELECT DISTINCT l_partkey AS src, 10000000 + l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 10000000 + l_suppkey, l_partkey FROM lineitem)"
+
+
+@query(
+    "g4_path_nodes",
+    f"""WITH RECURSIVE {_SHIP_SQL}, far AS (SELECT max(l_partkey) AS node FROM lineitem), b AS (SELECT node, 0 AS hops FROM far UNION SELECT src, hops + 1 FROM b JOIN ed ON dst = node WHERE hops < 6),
+    bd AS (SELECT node, min(hops) AS hops FROM b GROUP BY 1), l AS (SELECT min(hops) AS n FROM b WHERE node = 1 AND hops > 0),
+    p AS (SELECT 1::BIGINT AS node, 0 AS h, [1::BIGINT] AS path FROM l WHERE n IS NOT NULL UNION ALL SELECT dst, h + 1, list_append(path, dst) FROM p, l, LATERAL (SELECT min(ed.dst) AS dst FROM ed JOIN bd ON bd.node = ed.dst WHERE ed.src = p.node AND bd.hops = l.n - p.h - 1) x WHERE h < n)
+    SELECT h::INTEGER AS hops, array_to_string(path, '>') AS path FROM p, l WHERE h = n""",
+)
+def g4_nodes(spark, d):
+    i = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 10000000).alias("dst")).distinct()
+    far = i.agg(F.max("src")).first()[0]
+    p = graph.shortest_path(i.unionByName(i.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), 1, far, 6)
+    return p.select("hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
 @query(
     "g5_cascade",
     f"""WITH {EDGE_SQL}, r AS (SELECT user_id AS id, avg(value) FILTER (event_id % 2 = 0) AS o, avg(value) FILTER (event_id % 2 = 1) AS n FROM events GROUP BY 1) SELECT r.id, src AS dependent FROM r JOIN ed ON dst = r.id WHERE n < o * 0.8::DOUBLE AND src < 200""",

@@ -197,10 +197,24 @@ def a19(spark, d):
 )
 def a20(spark, d):
     s = table(spark, d, "events").select(F.col("event_type").alias("skill"), F.col("value").alias("latency"), "user_id", (F.col("event_id") % 10 != 0).alias("success"), F.concat(F.lit("e"), (F.col("user_id") % 3).cast("string")).alias("error"))
-    t = stats.telemetry(s, "skill")
+    t = stats.telemetry(s, "skill", exact=True)
     return t.withColumns({c: F.round(c, 6) for c in ("mean", "p50", "p95", "p99")})
 
 
+@query(
+    "a20_sketches",
+    "SELECT event_type AS skill, count(*) AS calls, count(*) FILTER (event_id % 10 <> 0) AS successes, round(avg(value), 6) AS mean, TRUE AS p50_near, TRUE AS p95_near, TRUE AS p99_near, TRUE AS users_near FROM events GROUP BY 1",
+)
+def a20_sketches(spark, d):
+    """Sketches per skill and day, rolled up per skill; the ranks of their quantiles in all spans, and their numbers of users,
+    lie within the stated bounds."""
+    s = table(spark, d, "events").select(F.col("event_type").alias("skill"), "ts", F.col("value").alias("latency"), "user_id", (F.col("event_id") % 10 != 0).alias("success"))
+    r = stats.roll_up(stats.telemetry_sketches(s, "skill"), ["skill"])
+    near = lambda p, at: ((F.count_if(F.col("latency") < F.col(p)) / F.count("*") <= at + stats.RANK_ERROR) & (F.count_if(F.col("latency") <= F.col(p)) / F.count("*") >= at - stats.RANK_ERROR)).alias(f"{p}_near")
+    users = (F.abs(F.count_distinct("user_id") - F.first("users")) <= 0.05 * F.count_distinct("user_id")).alias("users_near")
+    return s.join(r, "skill").groupBy("skill").agg(F.first("calls").alias("calls"), F.first("successes").alias("successes"), F.round(F.first("mean"), 6).alias("mean"), near("p50", 0.5), near("p95", 0.95), near("p99", 0.99), users)
+
+
 @query(
     "a21_import_report",
     """SELECT 'orders' AS file, (SELECT count(*) FROM orders) AS rows, 'o_comment' AS missing, TRUE AS mismatch, (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0) AS nulls

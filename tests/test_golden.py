@@ -279,3 +279,68 @@ def test_similarity_by_blocks(spark):
     assert got == {"pay": ("changed", 0.9), "ship": ("same", 1.0), "keep": ("removed", None)}
     skills = spark.createDataFrame([(1, "合同审查", "风险", ["合同"], "production", 0.5), (2, "天气", "", [], "beta", None)], "id int, name string, description string, tags array<string>, maturity string, success_rate double")
     assert [(r.id, round(r.score, 6)) for r in search.rank_skills(skills, "合同审查", measure="blocks").collect()] == [(1, round(0.5 * 8 / 11 + 0.1, 6))]
+
+
+def test_levels_of_a_long_chain(spark, monkeypatch):
+    """A chain of 5,000 in 14 rounds at most, equal to counting; rings, what hangs below them, orphans and repeated items."""
+    rounds = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, f=graph.cut_lineage: rounds.append(1) or f(df))
+    data = [(i, i - 1 if i else None) for i in range(5000)] + [(6000, 6001), (6001, 6002), (6002, 6000), (6003, 6002), (6004, 6004), (7000, 9999), (7001, 7000), (8000, None), (8001, 8000), (8001, 8000)]
+    got = {r.id: (r.level, r.root, r.status) for r in graph.levels(spark.createDataFrame(data, "id long, p long"), "id", "p").collect()}
+    assert len(got) == len(data) - 1 and len(rounds) <= 15  # one before the first round
+    assert all(got[i] == (i, 0, "tree") for i in range(5000)) and got[8001] == (1, 8000, "tree")
+    assert {got[i] for i in (6000, 6001, 6002, 6003, 6004)} == {(None, None, "cycle")} and {got[i] for i in (7000, 7001)} == {(None, None, "orphan")}
+    assert graph.levels(spark.createDataFrame([], "id long, p long"), "id", "p").count() == 0
+
+
+def test_shortest_paths_against_search(spark):
+    rng = np.random.default_rng(8)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (70, 2))})
+    edges = spark.createDataFrame([(a, "r", b) for a, b in pairs], "src long, rel string, dst long").cache()
+
+    def brute(start, end, most):
+        ways = [[start]]
+        for _ in range(most):
+            ways = [w + [b] for w in ways for a, b in pairs if a == w[-1]]
+            if hit := [w for w in ways if w[-1] == end]:
+                return min(hit)
+        return None
+
+    for start, end, most in ((0, 1, 5), (3, 20, 4), (5, 5, 4), (7, 39, 3), (pairs[0][0], pairs[0][1], 1), (99, 1, 4), (1, 99, 3)):
+        got = graph.shortest_path(edges, start, end, most).collect()
+        want = brute(start, end, most)
+        assert [(r.hops, r.path) for r in got] == ([(len(want) - 1, want)] if want else []), (start, end, most)
+
+
+def test_quota_of_one_large_owner(spark):
+    """An owner with nine tenths of the rows, most with equal scores, is pruned like any other, by ranges of the order."""
+    data = [(i, "big" if i % 10 else f"o{i % 70}", 0.5 if i % 3 else (i % 100) / 100, i % 5 * 10) for i in range(20000)]
+    m = spark.createDataFrame(data, "memory_id long, owner string, importance double, accessed_count int").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    q = spark.createDataFrame([("big", 7000), ("o0", -1), ("o10", 0), ("o20", 10**6)], "owner string, memory_limit int")
+    got = trends.prune_quota(m, q, F.lit("2024-01-31").cast("timestamp"), 50).collect()
+    limit = {"big": 7000, "o0": 10**9, "o10": 0, "o20": 10**6}
+    by = {}
+    for r in got:
+        by.setdefault(r.owner, []).append((-r.prune_score, r.memory_id, r.pruned))
+    assert len(got) == 20000 and set(got[0].asDict()) == {*m.columns, "prune_score", "pruned"}
+    for owner, rows_ in by.items():
+        assert [p for *_, p in sorted(rows_)] == [k >= limit.get(owner, 50) for k in range(len(rows_))], owner
+    ranked = trends.rank_within(m, "owner", [F.desc("accessed_count"), F.asc("memory_id")])
+    big = sorted((-r.accessed_count, r.memory_id, r.rank) for r in ranked.where("owner = 'big'").collect())
+    assert [k for *_, k in big] == list(range(1, len(big) + 1))
+
+
+def test_rolled_up_sketches(spark):
+    rng = np.random.default_rng(9)
+    values = rng.lognormal(0, 2, 30000)
+    data = [(f"s{i % 2}", f"2024-01-{1 + i % 20:02d}", float(v) if i % 11 else None, f"u{i % 400}", i % 4 > 0) for i, v in enumerate(values)]
+    spans = spark.createDataFrame(data, "skill string, ts string, latency double, user_id string, success boolean")
+    rows_ = stats.telemetry_sketches(spans, "skill")
+    assert rows_.count() == 20 and rows_.agg(F.max(F.length("latencies"))).first()[0] < 20000
+    for keys, own in (([], data), (["skill"], [x for x in data if x[0] == "s1"])):
+        r = next(x for x in stats.roll_up(rows_, keys).collect() if not keys or x.skill == "s1")
+        timed = np.sort([x[2] for x in own if x[2] is not None])
+        assert (r.calls, r.successes) == (len(own), sum(x[4] for x in own)) and r.mean == pytest.approx(timed.mean())
+        for p, at in ((r.p50, 0.5), (r.p95, 0.95), (r.p99, 0.99)):
+            assert abs(np.searchsorted(timed, p) / len(timed) - at) <= stats.RANK_ERROR
+        assert abs(r.users - len({x[3] for x in own})) <= 0.05 * 400
