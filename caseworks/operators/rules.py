@@ -136,20 +136,21 @@ def obligation_confidence(clauses: DataFrame, type_rules: DataFrame) -> DataFram
     high word, 2 a medium one, 10 a pattern, 15 a boost, -10 a block, 3 x priority; the confidence relates that to what
     was possible, and adds for several hits.
     """
-    j = clauses.select("doc_id", "clause_no", "content").join(small(type_rules))
-    t = F.col("content")
-    j = j.where((F.size("must_have") == 0) | (_n(F.col("must_have"), t) > 0))
-    high, medium = _n(F.col("high"), t), _n(F.col("medium"), t)
-    found = F.size(F.filter("patterns", lambda p: F.rlike(t, p)))
-    j = j.withColumns({"_h": high, "_m": medium, "_p": found})
-    score = 5 * F.col("_h") + 2 * F.col("_m") + 10 * F.col("_p") + 15 * _n(F.col("boost"), t) - 10 * _n(F.col("block"), t) + 3 * F.col("priority")
-    j = j.withColumn("_s", score).where("_s > 0")
-    possible = 5 * F.size("high") + 2 * F.size("medium") + 10 * F.size("patterns") + 60
-    c = F.least(F.col("_s") / possible * 100, F.lit(100.0))
-    for cond, add in ((F.col("_h") >= 1, 15), (F.col("_h") >= 2, 10), (F.col("_m") >= 3, 10), (F.col("_p") > 0, 20)):
-        c = F.when(cond, F.least(c + add, F.lit(100.0))).otherwise(c)
-    w = Window.partitionBy("doc_id", "clause_no").orderBy(F.desc("confidence"), "code")
-    return j.select("doc_id", "clause_no", "code", c.alias("confidence")).withColumn("rank", F.row_number().over(w))
+    d, t = _with_rules(clauses.select("doc_id", "clause_no", "content"), type_rules, "_types", "code"), F.col("content")
+
+    def judged(r: Column) -> Column:
+        high, medium, found = _n(r["high"], t), _n(r["medium"], t), F.size(F.filter(r["patterns"], lambda p: F.rlike(t, p)))
+        score = 5 * high + 2 * medium + 10 * found + 15 * _n(r["boost"], t) - 10 * _n(r["block"], t) + 3 * r["priority"]
+        possible = 5 * F.size(r["high"]) + 2 * F.size(r["medium"]) + 10 * F.size(r["patterns"]) + 60
+        c = F.least(score / possible * 100, F.lit(100.0))
+        for cond, add in ((high >= 1, 15), (high >= 2, 10), (medium >= 3, 10), (found > 0, 20)):
+            c = F.when(cond, F.least(c + add, F.lit(100.0))).otherwise(c)
+        gate = (F.size(r["must_have"]) == 0) | (_n(r["must_have"], t) > 0)
+        return F.when(gate & (score > 0), F.struct((-c).alias("down"), r["code"].alias("code")))
+
+    ranked = F.array_sort(F.filter(F.transform("_types", judged), lambda x: x.isNotNull()))  # best first, inside the row
+    out = d.select("doc_id", "clause_no", F.posexplode(ranked).alias("_i", "_x"))
+    return out.select("doc_id", "clause_no", F.col("_x.code").alias("code"), (-F.col("_x.down")).alias("confidence"), (F.col("_i") + 1).alias("rank"))
 
 
 def obligation_risk(obligations: DataFrame, base_risk: DataFrame, payment: str, needed: dict[str, str]) -> DataFrame:
@@ -180,33 +181,48 @@ def match_products(docs: DataFrame, products: DataFrame, code_pattern: str, thre
 
     A code found in the text scores 1. Otherwise 0.5 x share of the name's words in the text + 0.3 x share of the
     model's + min(description length / 500, 0.2), from the threshold on. Products of one name, model and length score
-    alike, so documents meet these profiles, each with its k first codes. They meet on a profile's rare words only: the
-    most frequent ones that could not reach the threshold by themselves are looked up in the pairs that are found. A
-    first pass takes a threshold half way to 1, where few words are enough; documents that find k products there are done.
+    alike, so they are one profile with its k first codes; documents that hold the same words of the catalogue score alike,
+    so they are one word set. Sets meet profiles on a profile's rare words only (those that are not too weak, with all more
+    frequent ones, to reach the threshold), by ids; the words themselves are fetched for the pairs that met. A first pass
+    takes a threshold half way to 1, where few words are enough; sets that find k products there are done.
     """
     tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""))
     p = products.select(F.upper("product_code").alias("product_code"), F.sort_array(tokens(F.col("product_name"))).alias("name"), F.sort_array(tokens(F.col("product_model"))).alias("model"), F.least(F.length("service_description") / 500, F.lit(0.2)).alias("extra"))
     kind = ["name", "model", "extra"]
     first = p.withColumn("_r", F.row_number().over(Window.partitionBy(*kind).orderBy("product_code"))).where(F.col("_r") <= k)
     profiles = first.groupBy(*kind).agg(F.sort_array(F.collect_list("product_code")).alias("codes"))
-    d = docs.select("doc_id", tokens(F.col("text")).alias("own"))
-    words = profiles.select(*kind, "codes", F.explode(F.array_distinct(F.concat("name", "model"))).alias("token"))
+    profiles = cut_lineage(profiles.withColumn("profile", F.xxhash64(*kind)))
+    words = profiles.select("profile", *kind, F.explode(F.array_distinct(F.concat("name", "model"))).alias("token"))
+    vocabulary = few(cut_lineage(words.select("token").distinct()))
+    held = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).join(vocabulary, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list("token")).alias("own"))
+    held = cut_lineage(held.withColumn("set", F.xxhash64("own")))
+    sets = cut_lineage(held.groupBy("set").agg(F.first("own").alias("own"), F.count("*").alias("n")))
     part = lambda of, share: F.when(F.array_contains(of, F.col("token")), F.lit(share) / F.size(of)).otherwise(0.0)
-    words = words.withColumn("weight", part("name", 0.5) + part("model", 0.3))
-    common = d.select(F.explode("own").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
-    upto = F.sum("weight").over(Window.partitionBy(*kind).orderBy(F.desc("f"), "token"))
-    index = cut_lineage(words.join(common, "token").withColumn("most", upto + F.col("extra")).drop("weight", "f"))
+    common = sets.select(F.explode("own").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("f"))
+    upto = F.sum("weight").over(Window.partitionBy("profile").orderBy(F.desc("f"), "token"))
+    weighed = words.withColumn("weight", part("name", 0.5) + part("model", 0.3)).join(common, "token")
+    index = cut_lineage(weighed.select("token", "profile", (upto + F.col("extra")).alias("most")))
     share = lambda of: F.when(F.size(of) > 0, F.size(F.array_intersect(of, "own")) / F.size(of)).otherwise(0.0)
 
-    def near(own: DataFrame, least: float) -> DataFrame:
-        met = own.select("doc_id", "own", F.explode("own").alias("token")).join(few(index.where(F.col("most") >= least - 1e-9)), "token")
+    def near(some: DataFrame, least: float) -> DataFrame:
+        """(set, profile, score) from the threshold on."""
+        met = some.select("set", F.explode("own").alias("token")).join(few(index.where(F.col("most") >= least - 1e-9)), "token").select("set", "profile").distinct()
+        both = met.join(few(profiles.drop("codes")), "profile").join(some.select("set", "own"), "set")
         score = share("name") * 0.5 + share("model") * 0.3 + F.col("extra")
-        return met.select("doc_id", "codes", score.alias("score")).where(F.col("score") >= least).distinct().select("doc_id", F.explode("codes").alias("product_code"), "score")
-
-    codes = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(code_pattern), F.lit(0)))).alias("product_code")).join(small(p.select("product_code")), "product_code")
-    sure = cut_lineage(codes.select("doc_id", "product_code", F.lit(1.0).alias("score")).unionByName(near(d, (1 + threshold) / 2)).groupBy("doc_id", "product_code").agg(F.max("score").alias("score")))
-    done = sure.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("doc_id")
-    best = sure.unionByName(near(d.join(done, "doc_id", "left_anti"), threshold)).groupBy("doc_id", "product_code").agg(F.max("score").alias("score"))
+        return both.select("set", "profile", score.alias("score")).where(F.col("score") >= least)
+
+    def products_of(found: DataFrame) -> DataFrame:
+        """(set, product_code, score): the k best of each set."""
+        w = Window.partitionBy("set").orderBy(F.desc("score"), "product_code")
+        each = found.join(few(profiles.select("profile", "codes")), "profile").select("set", F.explode("codes").alias("product_code"), "score")
+        return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+    sure = cut_lineage(products_of(near(sets, (1 + threshold) / 2)))
+    done = sure.groupBy("set").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("set")
+    rest = products_of(near(sets.join(done, "set", "left_anti"), threshold))
+    by_words = held.select("doc_id", "set").join(sure.join(done, "set", "left_semi").unionByName(rest), "set").select("doc_id", "product_code", "score")
+    codes = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(code_pattern), F.lit(0)))).alias("product_code")).join(small(p.select("product_code").distinct()), "product_code")
+    best = codes.select("doc_id", "product_code", F.lit(1.0).alias("score")).unionByName(by_words).groupBy("doc_id", "product_code").agg(F.max("score").alias("score"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "product_code")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -130,13 +130,13 @@ def p12(spark, d):
 
 @query(
     "p13_triage",
-    """SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 AND lower(substr(text, 1, 80)) LIKE '%the%' THEN 'P0' WHEN conv_id % 4 = 1 THEN 'P1'
-    WHEN lower(substr(text, 1, 80)) LIKE '%ing%' OR conv_id % 4 = 3 THEN 'P3' ELSE 'P2' END AS level FROM conversations""",
+    """SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 AND lower(text) LIKE '%thon%' THEN 'P0' WHEN conv_id % 4 = 1 THEN 'P1'
+    WHEN lower(text) LIKE '%heed%' OR conv_id % 4 = 3 THEN 'P3' ELSE 'P2' END AS level FROM conversations""",
 )
 def p13(spark, d):
     c, k = table(spark, d, "conversations"), F.col("conv_id") % 4
-    mails = c.select("conv_id", "turn", F.substring("text", 1, 80).alias("subject"), F.when(k == 0, "OA@corp.example").when(k == 3, "noreply@shop.example").otherwise(F.lit("someone@corp.example")).alias("from_addr"), F.when(k == 1, "Me@corp.example").otherwise(F.lit("all@corp.example")).alias("to_addr"))
-    return signals.triage(mails, "me@corp.example", "the", "oa@|workflow@", "ing", "noreply|no-reply|system|notify").select("conv_id", "turn", "level")
+    mails = c.select("conv_id", "turn", F.col("text").alias("subject"), F.when(k == 0, "OA@corp.example").when(k == 3, "noreply@shop.example").otherwise(F.lit("someone@corp.example")).alias("from_addr"), F.when(k == 1, "Me@corp.example").otherwise(F.lit("all@corp.example")).alias("to_addr"))
+    return signals.triage(mails, "me@corp.example", "thon", "oa@|workflow@", "heed", "noreply|no-reply|system|notify").select("conv_id", "turn", "level")
 
 
 @query(

@@ -113,13 +113,13 @@ def a10(spark, d):
 
 @query(
     "a11_triage_counts",
-    """SELECT CASE WHEN conv_id % 4 = 1 THEN 'P1' WHEN lower(substr(text, 1, 80)) LIKE '%ing%' THEN 'P3' ELSE 'P2' END AS level, count(*) AS n FROM conversations GROUP BY 1""",
+    """SELECT CASE WHEN conv_id % 4 = 1 THEN 'P1' WHEN lower(text) LIKE '%heed%' THEN 'P3' ELSE 'P2' END AS level, count(*) AS n FROM conversations GROUP BY 1""",
 )
 def a11(spark, d):
     from caseworks.functions.signals import triage
 
-    c = table(spark, d, "conversations").select(F.substring("text", 1, 80).alias("subject"), F.lit("a@x.example").alias("from_addr"), F.when(F.col("conv_id") % 4 == 1, "me@x.example").otherwise(F.lit("b@x.example")).alias("to_addr"))
-    return stats.counts_by(triage(c, "me@x.example", "zzz", "oa@", "ing", "noreply"), "level")
+    c = table(spark, d, "conversations").select(F.col("text").alias("subject"), F.lit("a@x.example").alias("from_addr"), F.when(F.col("conv_id") % 4 == 1, "me@x.example").otherwise(F.lit("b@x.example")).alias("to_addr"))
+    return stats.counts_by(triage(c, "me@x.example", "zzz", "oa@", "heed", "noreply"), "level")
 
 
 @query("a14_run_stats", "SELECT user_id, count(*) AS runs, count(*) FILTER (event_type <> 'error') AS successes, round(avg(value), 6) AS mean_seconds, count(*) FILTER (event_type <> 'error') / count(*) AS success_rate FROM events GROUP BY 1")

@@ -344,3 +344,19 @@ def test_rolled_up_sketches(spark):
         for p, at in ((r.p50, 0.5), (r.p95, 0.95), (r.p99, 0.99)):
             assert abs(np.searchsorted(timed, p) / len(timed) - at) <= stats.RANK_ERROR
         assert abs(r.users - len({x[3] for x in own})) <= 0.05 * 400
+
+
+def test_jitter_bounds_and_seed(spark):
+    df = spark.range(3000).select("id", (F.col("id") + 1).cast("double").alias("Salary_Amount"), F.lit(5.0).alias("other"), F.lit(None).cast("double").alias("amount2"))
+    once, again, other = (clean.jitter(df, ["amount"], seed).orderBy("id").collect() for seed in (3, 3, 4))
+    factors = np.array([r.Salary_Amount / (r.id + 1) for r in once])
+    assert once == again != other and all(r.other == 5.0 and r.amount2 is None for r in once)
+    assert factors.min() >= 0.9 and factors.max() <= 1.1 and abs(factors.mean() - 1) < 0.01 and factors.std() > 0.05
+
+
+def test_sentence_chunks():
+    s = textsplit.sentence_chunks
+    assert s("One two. Three four! Five?  Six。 Seven", 20, 9) == ["One two. Three four!", "Five? Six。 Seven"]
+    assert s("aaaa. bbbb. cccc. dddd.", 11, 5) == ["aaaa. bbbb.", "bbbb. cccc.", "cccc. dddd."]
+    assert s("aaaa. bbbb. cccc.", 11, 4) == ["aaaa. bbbb.", "cccc."]
+    assert s("x" * 30, 10, 5) == ["x" * 30] and s("", 10, 5) == [] == s("  \n", 10, 5)
