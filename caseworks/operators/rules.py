@@ -6,6 +6,8 @@ match is an expression over an array and needs no shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,8 +185,8 @@ def match_products(docs: DataFrame, products: DataFrame, code_pattern: str, thre
     model's + min(description length / 500, 0.2), from the threshold on. Products of one name, model and length score
     alike, so they are one profile with its k first codes; documents that hold the same words of the catalogue score alike,
     so they are one word set. Sets meet profiles on a profile's rare words only (those that are not too weak, with all more
-    frequent ones, to reach the threshold), by ids; the words themselves are fetched for the pairs that met. A first pass
-    takes a threshold half way to 1, where few words are enough; sets that find k products there are done.
+    frequent ones, to reach the threshold). The threshold comes down in three steps from the best score that there can be;
+    sets that find k products on the way are done.
     """
     tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""))
     p = products.select(F.upper("product_code").alias("product_code"), F.sort_array(tokens(F.col("product_name"))).alias("name"), F.sort_array(tokens(F.col("product_model"))).alias("model"), F.least(F.length("service_description") / 500, F.lit(0.2)).alias("extra"))
@@ -201,15 +203,14 @@ def match_products(docs: DataFrame, products: DataFrame, code_pattern: str, thre
     common = sets.select(F.explode("own").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("f"))
     upto = F.sum("weight").over(Window.partitionBy("profile").orderBy(F.desc("f"), "token"))
     weighed = words.withColumn("weight", part("name", 0.5) + part("model", 0.3)).join(common, "token")
-    index = cut_lineage(weighed.select("token", "profile", (upto + F.col("extra")).alias("most")))
+    index = cut_lineage(weighed.select("token", "profile", *kind, (upto + F.col("extra")).alias("most")))
     share = lambda of: F.when(F.size(of) > 0, F.size(F.array_intersect(of, "own")) / F.size(of)).otherwise(0.0)
 
     def near(some: DataFrame, least: float) -> DataFrame:
-        """(set, profile, score) from the threshold on."""
-        met = some.select("set", F.explode("own").alias("token")).join(few(index.where(F.col("most") >= least - 1e-9)), "token").select("set", "profile").distinct()
-        both = met.join(few(profiles.drop("codes")), "profile").join(some.select("set", "own"), "set")
+        """(set, profile, score) from the threshold on: judged where they meet, so that only what passes is shuffled."""
+        met = some.select("set", "own", F.explode("own").alias("token")).join(few(index.where(F.col("most") >= least - 1e-9)), "token")
         score = share("name") * 0.5 + share("model") * 0.3 + F.col("extra")
-        return both.select("set", "profile", score.alias("score")).where(F.col("score") >= least)
+        return met.select("set", "profile", score.alias("score")).where(F.col("score") >= least).distinct()
 
     def products_of(found: DataFrame) -> DataFrame:
         """(set, product_code, score): the k best of each set."""
@@ -217,10 +218,15 @@ def match_products(docs: DataFrame, products: DataFrame, code_pattern: str, thre
         each = found.join(few(profiles.select("profile", "codes")), "profile").select("set", F.explode("codes").alias("product_code"), "score")
         return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
-    sure = cut_lineage(products_of(near(sets, (1 + threshold) / 2)))
-    done = sure.groupBy("set").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("set")
-    rest = products_of(near(sets.join(done, "set", "left_anti"), threshold))
-    by_words = held.select("doc_id", "set").join(sure.join(done, "set", "left_semi").unionByName(rest), "set").select("doc_id", "product_code", "score")
+    whole = lambda of, x: F.when(F.size(of) > 0, x).otherwise(0.0)
+    top = profiles.agg(F.max(whole("name", 0.5) + whole("model", 0.3) + F.col("extra"))).first()[0] or threshold
+    found, some = [], sets
+    for least in sorted({max(threshold, x) for x in (top - 1e-9, (top + threshold) / 2, threshold)}, reverse=True):
+        best = cut_lineage(products_of(near(some, least)))
+        done = best.groupBy("set").agg(F.count("*").alias("n")).where((F.col("n") >= k) | F.lit(least == threshold)).select("set")
+        found.append(best.join(done, "set", "left_semi"))
+        some = some.join(done, "set", "left_anti")
+    by_words = held.select("doc_id", "set").join(reduce(DataFrame.unionByName, found), "set").select("doc_id", "product_code", "score")
     codes = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(code_pattern), F.lit(0)))).alias("product_code")).join(small(p.select("product_code").distinct()), "product_code")
     best = codes.select("doc_id", "product_code", F.lit(1.0).alias("score")).unionByName(by_words).groupBy("doc_id", "product_code").agg(F.max("score").alias("score"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "product_code")

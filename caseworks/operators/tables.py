@@ -3,6 +3,8 @@ row: no shuffle, no Python."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +63,25 @@ def _separates(x: Column) -> Column:
     return x.rlike(_SEPARATOR) & x.contains("---")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once, also where body uses it in a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _places(lines: Column, hit: Callable[[Column, Column], Column]) -> Column:
+    """Numbers of the lines that hit(line, number) holds for."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(hit(x, i), i)), lambda i: i.isNotNull())
+
+
 def _pipe_rows(lines: Column) -> Column:
     """Rows from the first to the last line with two pipes, if there is a separator line after the first one; else null."""
-    piped = F.filter(F.transform(lines, lambda x, i: F.when(_count(x, "|") >= 2, i)), lambda i: i.isNotNull())
-    inner = F.slice(lines, F.array_min(piped) + 1, F.array_max(piped) - F.array_min(piped) + 1)
-    full = F.filter(inner, lambda x: F.btrim(x) != "")
-    at = F.array_min(F.filter(F.transform(full, lambda x, i: F.when((i > 0) & _separates(x) & (_count(x, "|") >= 2), i)), lambda i: i.isNotNull()))
     cells = lambda x: F.transform(F.split(F.regexp_replace(F.btrim(x), r"^\||\|$", ""), r"\|", -1), lambda c: F.btrim(c))
-    rows = F.transform(full, lambda x, i: _row(cells(x), F.when(i < at, "header").when(i == at, "separator").otherwise("data")))
-    return F.when((F.size(piped) >= 2) & at.isNotNull(), rows)
+    role = lambda i, at: F.when(i < at, "header").when(i == at, "separator").otherwise("data")
+    rows = lambda full: lambda at: F.when(at.isNotNull(), F.transform(full, lambda x, i: _row(cells(x), role(i, at))))
+    first = lambda full: F.array_min(_places(full, lambda x, i: (i > 0) & _separates(x) & (_count(x, "|") >= 2)))
+    inner = lambda piped: F.filter(F.slice(lines, F.array_min(piped) + 1, F.array_max(piped) - F.array_min(piped) + 1), lambda x: F.btrim(x) != "")
+    inside = lambda piped: F.when(F.size(piped) >= 2, _let(inner(piped), lambda full: _let(first(full), rows(full))))
+    return _let(_places(lines, lambda x, i: _count(x, "|") >= 2), inside)
 
 
 def _border_rows(lines: Column, least: int) -> Column:
@@ -77,15 +89,14 @@ def _border_rows(lines: Column, least: int) -> Column:
     between vertical lines. The rows above the first inner rule are the header."""
     bordered = F.exists(lines, lambda x: (_count(x, CORNERS) >= 2) | (_count(x, HORIZONTAL) >= 10))
     inside = lambda x: F.length(F.regexp_replace(F.regexp_replace(x, _ANY_BORDER, ""), r"\s", ""))
-    rule = lambda x: (inside(x) == 0) & (_count(x, HORIZONTAL) >= 2)
-    content = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: inside(s["x"]) >= least)
-    top = F.array_min(F.transform(content, lambda s: s["i"]))
-    rules = F.filter(F.transform(lines, lambda x, i: F.when(rule(x) & (i > top), i)), lambda i: i.isNotNull())
-    inner = F.filter(rules, lambda i: i < F.array_max(F.transform(content, lambda s: s["i"])))
     trimmed = lambda x: F.regexp_replace(F.btrim(x), f"^[{VERTICAL}]|[{VERTICAL}]$", "")
     cells = lambda x: F.transform(F.split(trimmed(x), f"[{VERTICAL}]", -1), lambda c: F.btrim(F.regexp_replace(F.regexp_replace(c, f"[{CORNERS}{JUNCTIONS}─═]", " "), r"\s+", " ")))
-    rows = F.transform(content, lambda s: _row(cells(s["x"]), F.when(s["i"] < F.array_min(inner), "header").otherwise("data")))
-    return F.when(bordered & (F.size(content) > 0), rows)
+
+    def rows(content: Column) -> Column:
+        inner = F.array_min(_places(lines, lambda x, i: (i > F.array_min(content)) & (i < F.array_max(content)) & (inside(x) == 0) & (_count(x, HORIZONTAL) >= 2)))
+        return _let(inner, lambda rule: F.transform(content, lambda i: _row(cells(F.get(lines, i)), F.when(i < rule, "header").otherwise("data"))))
+
+    return F.when(bordered, _let(_places(lines, lambda x, i: inside(x) >= least), lambda content: F.when(F.size(content) > 0, rows(content))))
 
 
 def _blank_runs(x: Column, width: Column) -> Column:
@@ -101,20 +112,25 @@ def _space_rows(lines: Column) -> Column:
     two or more. So a missing cell leaves its place empty. Where no edges come out (ragged lines), lines are split at two
     spaces, if their numbers of parts differ by one at most; else null. Wide letters take two columns.
     """
-    full = F.transform(F.filter(lines, lambda x: F.btrim(x) != ""), lambda x: F.regexp_replace(F.rtrim(F.regexp_replace(x, "\t", "    ")), f"([{WIDE}])", f"$1{_FILL}"))
-    width = F.array_max(F.transform(full, lambda x: F.length(x)))
-    zero = F.array_repeat(F.lit("1"), width)
-    common = F.aggregate(F.transform(full, lambda x: _blank_runs(x, width)), zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: F.least(a, b)))
-    cut = lambda x: F.regexp_replace(F.array_join(F.zip_with(F.split(F.rpad(x, width, F.lit(" ")), ""), common, lambda c, m: F.when(m == "1", _CUT).otherwise(c)), ""), f"^{_CUT}+|{_CUT}+$", "")
+    plain = lambda x: F.regexp_replace(F.rtrim(F.regexp_replace(x, "\t", "    ")), f"([{WIDE}])", f"$1{_FILL}")
     clean = lambda c: F.btrim(F.replace(c, F.lit(_FILL), F.lit("")))
-    edged = F.transform(full, lambda x: F.transform(F.split(cut(x), f"{_CUT}+", -1), clean))
-    split = F.transform(full, lambda x: F.transform(F.filter(_parts(x), lambda p: p != ""), clean))
-    sizes = F.transform(split, lambda r: F.size(r))
-    whole = ~F.exists(edged, lambda r: F.exists(r, lambda c: c.contains("  ")))  # no cell spans what a line itself keeps apart
-    aligned = (_columns(edged) >= F.array_max(sizes)) & (F.array_max(sizes) > 1) & whole
-    ragged = (F.array_max(sizes) - F.array_min(sizes) <= 1) & (F.array_max(sizes) > 1)
-    rows = F.when(aligned, edged).when(ragged, split)
-    return F.when(F.size(full) >= 2, F.transform(rows, lambda r, i: _row(r, F.when(i == 0, "header").otherwise("data"))))
+    both = lambda acc, x: F.zip_with(acc, x, lambda a, b: F.least(a, b))
+    common = lambda full, width: F.aggregate(F.transform(full, lambda x: _blank_runs(x, width)), F.array_repeat(F.lit("1"), width), both)
+    marked = lambda x, width, edges: F.array_join(F.zip_with(F.split(F.rpad(x, width, F.lit(" ")), ""), edges, lambda c, m: F.when(m == "1", _CUT).otherwise(c)), "")
+    cut = lambda x, width, edges: F.transform(F.split(F.regexp_replace(marked(x, width, edges), f"^{_CUT}+|{_CUT}+$", ""), f"{_CUT}+", -1), clean)
+    edged = lambda full: _let(F.array_max(F.transform(full, lambda x: F.length(x))), lambda width: _let(common(full, width), lambda edges: F.transform(full, lambda x: cut(x, width, edges))))
+    split = lambda full: F.transform(full, lambda x: F.transform(F.filter(_parts(x), lambda p: p != ""), clean))
+
+    def chosen(by_edge: Column, by_space: Column) -> Column:
+        sizes = F.transform(by_space, lambda r: F.size(r))
+        whole = ~F.exists(by_edge, lambda r: F.exists(r, lambda c: c.contains("  ")))  # no cell spans what a line itself keeps apart
+        aligned = (_columns(by_edge) >= F.array_max(sizes)) & whole
+        ragged = F.array_max(sizes) - F.array_min(sizes) <= 1
+        return F.when(F.array_max(sizes) > 1, F.when(aligned, by_edge).when(ragged, by_space))
+
+    rows = lambda full: _let(edged(full), lambda e: _let(split(full), lambda x: chosen(e, x)))
+    named = lambda found: F.transform(found, lambda r, i: _row(r, F.when(i == 0, "header").otherwise("data")))
+    return _let(F.transform(F.filter(lines, lambda x: F.btrim(x) != ""), plain), lambda full: F.when(F.size(full) >= 2, _let(rows(full), named)))
 
 
 def detect_tables(df: DataFrame, id: str, text: str, gap: int = 3, least_content: int = 4) -> DataFrame:
@@ -125,11 +141,10 @@ def detect_tables(df: DataFrame, id: str, text: str, gap: int = 3, least_content
     table's first row is its header). Null and empty texts have no tables.
     """
     regions = table_regions(df, id, text, gap)
-    for kind, rows in (("pipe", _pipe_rows(F.col("lines"))), ("border", _border_rows(F.col("lines"), least_content)), ("space", _space_rows(F.col("lines")))):
-        regions = regions.withColumn(f"_{kind}", rows)
-    kinds = ("pipe", "border", "space")
-    kind = F.coalesce(*[F.when(F.col(f"_{k}").isNotNull(), k) for k in kinds])
-    found = regions.select(id, "region", kind.alias("kind"), F.coalesce(*[F.col(f"_{k}") for k in kinds]).alias("_rows")).where("kind IS NOT NULL")
+    kinds = (("pipe", _pipe_rows(F.col("lines"))), ("border", _border_rows(F.col("lines"), least_content)), ("space", _space_rows(F.col("lines"))))
+    named = lambda kind: lambda r: F.when(r.isNotNull(), F.struct(F.lit(kind).alias("kind"), r.alias("rows")))
+    parsed = F.coalesce(*[_let(rows, named(kind)) for kind, rows in kinds])
+    found = regions.select(id, "region", parsed.alias("_p")).where("_p IS NOT NULL").select(id, "region", "_p.kind", F.col("_p.rows").alias("_rows"))
     found = found.withColumn("n_cols", _columns(F.transform("_rows", lambda r: r["cells"])))
     row = found.select(id, F.col("region").alias("table_no"), "kind", "n_cols", F.posexplode("_rows").alias("_i", "_row"))
     filled = F.concat(F.col("_row.cells"), F.array_repeat(F.lit(""), F.col("n_cols") - F.size("_row.cells")))
