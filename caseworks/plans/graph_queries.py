@@ -53,14 +53,14 @@ def g2(spark, d):
 
 @query(
     "g2_levels",
-    """WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 700 = 699 THEN -1 WHEN o_orderkey % 3000 = 2100 THEN o_orderkey + 5 WHEN o_orderkey % 700 > 0 THEN o_orderkey - 1 END AS parent FROM orders),
-    g AS (SELECT id, id // 700 AS g, id % 700 AS k, max(CASE WHEN id % 3000 = 2100 THEN id END) OVER (PARTITION BY id // 700) AS ring FROM o)
+    """WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 700 = 699 THEN -1 WHEN o_orderkey % 4200 = 2100 THEN o_orderkey + 5 WHEN o_orderkey % 700 > 0 THEN o_orderkey - 1 END AS parent FROM orders),
+    g AS (SELECT id, id // 700 AS g, id % 700 AS k, max(CASE WHEN id % 4200 = 2100 THEN id END) OVER (PARTITION BY id // 700) AS ring FROM o)
     SELECT id, CASE WHEN k < 699 AND ring IS NULL THEN k END AS level, CASE WHEN k < 699 AND ring IS NULL THEN g * 700 END AS root, CASE WHEN k = 699 THEN 'orphan' WHEN ring IS NULL THEN 'tree' ELSE 'cycle' END AS status FROM g""",
 )
 def g2_levels(spark, d):
-    """Chains of 699 orders, each 700th below a missing one; every 3000th order that begins a chain closes a ring of six."""
+    """Chains of 699 orders, each 700th below a missing one; the first order of every sixth chain closes a ring of six."""
     k = F.col("o_orderkey")
-    parent = F.when(k % 700 == 699, -1).when(k % 3000 == 2100, k + 5).when(k % 700 > 0, k - 1)
+    parent = F.when(k % 700 == 699, -1).when(k % 4200 == 2100, k + 5).when(k % 700 > 0, k - 1)
     return graph.levels(table(spark, d, "orders").select("o_orderkey", parent.alias("parent")), "o_orderkey", "parent")
 
 
