@@ -64,6 +64,8 @@ def levels(items: DataFrame, id: str, parent: str) -> DataFrame:
         ahead = open_.select(F.col("id").alias("o"), F.col("anc").alias("next"), F.col("dist").alias("far"))
         met = cut_lineage(open_.join(known, F.col("anc") == F.col("k"), "left").join(ahead, F.col("anc") == F.col("o"), "left"))
         ended = met.where("k IS NOT NULL OR o IS NULL")
+        if ended.isEmpty():  # in every round the open items nearest to a root end, so the others have none
+            break
         done.append(ended.select("id", (F.col("level") + F.col("dist")).alias("level"), "root", F.coalesce("status", F.lit("orphan")).alias("status")))
         open_ = met.where("k IS NULL AND o IS NOT NULL").select("id", F.col("next").alias("anc"), (F.col("dist") + F.col("far")).alias("dist"))
     ring = open_.select("id", F.lit(None).cast("long").alias("level"), F.lit(None).cast(dict(base.dtypes)["id"]).alias("root"), F.lit("cycle").alias("status"))
