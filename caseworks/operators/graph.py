@@ -199,20 +199,24 @@ def validate_graph(nodes: DataFrame, edges: DataFrame, type_rules: DataFrame, re
     """kind, id, detail of every violation.
 
     type_rules: type, field, rule (required, forbidden, enum), allowed (array). rel_rules: rel, from_types, to_types
-    (arrays, empty for any), max_out (null for any), acyclic. Also: relations to missing nodes, end before start.
+    (arrays, empty for any), max_out (null for any), acyclic. Also: relations to missing nodes, end before start. Edges may
+    say of which type their end is (src_type, dst_type): a node of another type under that id isn't the one meant.
     """
     n = nodes.select("id", "type", F.coalesce("properties", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("p"))
     j = n.join(type_rules, "type").withColumn("v", F.try_element_at("p", F.col("field")))
     bad = F.when((F.col("rule") == "required") & F.col("v").isNull(), "required").when((F.col("rule") == "forbidden") & F.col("v").isNotNull(), "forbidden").when((F.col("rule") == "enum") & F.col("v").isNotNull() & ~F.array_contains("allowed", F.col("v")), "enum")
     fields = j.select(bad.alias("kind"), F.col("id").cast("string").alias("id"), F.col("field").alias("detail")).where("kind IS NOT NULL")
     span = n.select("id", F.try_element_at("p", F.lit("start")).alias("s"), F.try_element_at("p", F.lit("end")).alias("e")).where("e < s").select(F.lit("end_before_start").alias("kind"), F.col("id").cast("string").alias("id"), F.col("e").alias("detail"))
-    types = nodes.select("id", "type")
-    e = edges.join(types.select(F.col("id").alias("src"), F.col("type").alias("ts")), "src", "left").join(types.select(F.col("id").alias("dst"), F.col("type").alias("td")), "dst", "left")
+    typed = {end for end in ("src", "dst") if f"{end}_type" in edges.columns}
+    types = lambda end, t: nodes.select(F.col("id").alias(end), F.col("type").alias(t), *([F.col("type").alias(f"{end}_type")] if end in typed else []))
+    on = lambda end: [end, f"{end}_type"] if end in typed else end
+    e = edges.join(types("src", "ts"), on("src"), "left").join(types("dst", "td"), on("dst"), "left")
     e = e.join(rel_rules, "rel", "left")
     name = F.concat_ws(">", F.col("src").cast("string"), "rel", F.col("dst").cast("string"))
     any_of = lambda allowed, t: (F.size(allowed) > 0) & ~F.array_contains(allowed, F.col(t))
     kind = F.when(F.col("ts").isNull() | F.col("td").isNull(), "dangling").when(any_of("from_types", "ts") | any_of("to_types", "td"), "endpoint")
     ends = e.select(kind.alias("kind"), F.col("src").cast("string").alias("id"), name.alias("detail")).where("kind IS NOT NULL")
     many = e.where("max_out IS NOT NULL").groupBy("src", "rel", "max_out").agg(F.count("*").alias("k")).where("k > max_out").select(F.lit("cardinality").alias("kind"), F.col("src").cast("string").alias("id"), F.col("rel").alias("detail"))
-    ring = cyclic_nodes(e.where("acyclic")).select(F.lit("cycle").alias("kind"), F.col("id").cast("string").alias("id"), F.lit("").alias("detail"))
+    real = e.where("ts IS NOT NULL AND td IS NOT NULL") if typed else e
+    ring = cyclic_nodes(real.where("acyclic")).select(F.lit("cycle").alias("kind"), F.col("id").cast("string").alias("id"), F.lit("").alias("detail"))
     return reduce(DataFrame.unionByName, [fields, span, ends, many, ring])
