@@ -318,8 +318,12 @@ def _orders_text(spark, d):
     return lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_set(text)), "\n").alias("text"))
 
 
+def _code(key):
+    return F.concat(F.lit("PC-"), F.lpad(F.col(key).cast("string"), 6, "0"))
+
+
 def _products(spark, d):
-    return table(spark, d, "part").select(F.concat(F.lit("PC-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("product_code"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("product_model"), F.repeat("p_type", 10).alias("service_description"), F.col("p_retailprice").alias("unit_price"))
+    return table(spark, d, "part").select("p_partkey", _code("p_partkey").alias("product_code"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("product_model"), F.repeat("p_type", 10).alias("service_description"), F.col("p_retailprice").alias("unit_price"))
 
 
 _DOC_SQL = """li AS (SELECT l_orderkey AS doc_id, 'Supply of ' || p_name || ' made by ' || p_brand || CASE WHEN l_partkey % 3 = 0 THEN ' ref PC-' || lpad(l_partkey::VARCHAR, 6, '0') ELSE '' END AS t FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -344,11 +348,11 @@ def r14(spark, d):
     SELECT 'PC-' || lpad(p_partkey::VARCHAR, 6, '0') AS product_code, n_price, scope_word, custom, risk_score, CASE WHEN risk_score >= 10 THEN 'high' WHEN risk_score >= 5 THEN 'medium' ELSE 'low' END AS risk_level FROM s""",
 )
 def r15(spark, d):
-    p = _products(spark, d)
-    n = F.substring("product_code", 4, 6).cast("int")
+    p = _products(spark, d).withColumn("product_code", F.col("p_partkey"))  # codes of over six digits are cut, and so not unique
+    n = F.col("product_code")
     text = F.concat(F.lit("Price "), F.format_number(F.col("unit_price") * F.when(n % 2 == 0, 0.5).otherwise(1.1), 2), F.lit(" EUR"), F.when(n % 5 == 0, " with warranty").otherwise(F.lit("")), F.when(n % 7 == 0, ", made to measure").otherwise(F.lit("")))
     terms = p.select("product_code", text.alias("content"))
-    return rules.deviations(terms, p, {"price": 5, "scope": 3, "custom": 6}, r"([0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?)\s*(?:EUR)", ["support", "warranty"], "made to measure|tailored").drop("content")
+    return rules.deviations(terms, p, {"price": 5, "scope": 3, "custom": 6}, r"([0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?)\s*(?:EUR)", ["support", "warranty"], "made to measure|tailored").drop("content").withColumn("product_code", _code("product_code"))
 
 
 @query(

@@ -45,3 +45,8 @@ def test_an_end_of_another_type_is_missing(spark):
     tr = spark.createDataFrame([("a", "x", "required", [])], "type string, field string, rule string, allowed array<string>")
     rr = spark.createDataFrame([("r", [], [], None, True)], "rel string, from_types array<string>, to_types array<string>, max_out int, acyclic boolean")
     assert rows(graph.validate_graph(nodes, edges, tr, rr)) == [("1>r>2", "1", "dangling")]
+
+
+def test_deviations_of_products_whose_codes_are_cut(spark, tmp_path):
+    at = tables_with(tmp_path, part="SELECT * FROM part UNION ALL SELECT * REPLACE (p_partkey + 1000000 AS p_partkey) FROM part")
+    assert same_as_sql(spark, "r15_deviations", at)
