@@ -253,26 +253,49 @@ def tag_pairs(df: DataFrame, id: str, tags: str, min_shared: int = 2) -> DataFra
     return j.groupBy("a", "b").agg(F.count("*").alias("n_shared"), F.sort_array(F.collect_list("t")).alias("shared")).where(F.col("n_shared") >= min_shared)
 
 
+#: Vectors of a block, as a rule, and rows of it that are multiplied at once.
+BLOCK_VECTORS, STRIP = 8192, 512
+
+
 def near_dup_vectors(df: DataFrame, owner: str, v: str, id: str, threshold: float = 0.95) -> DataFrame:
-    """owner, a < b, similarity of vectors of one owner with a cosine above the threshold.
+    """owner, a < b, similarity of vectors of one owner with a cosine above the threshold. Exact.
 
-    Pivot blocking, exact: each owner's vectors are dealt to the cells of the nearest of a few pivots; two unit vectors
-    of cosine c lie within sqrt(2 - 2c), so by the triangle inequality a vector also visits the cells whose pivot is no
-    farther than its nearest one by twice that. Pairs meet in the first one's own cell.
+    An owner's vectors are dealt to blocks, and every two blocks meet in a group of their own as a product of matrices, strip
+    by strip. The work is quadratic in an owner's vectors, as the result may be; a group's memory doesn't grow. Null vectors
+    and those of length 0 are like none, and so are vectors of different dimensions.
     """
-    unit = F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    rows = df.select(owner, F.col(id).alias("i"), unit.alias("u"))
-    pivots = rows.withColumn("_r", F.row_number().over(Window.partitionBy(owner).orderBy(F.xxhash64("i"), "i"))).where(F.col("_r") <= 16)
-    packed = pivots.groupBy(owner).agg(F.collect_list("u").alias("pivots"))
-    far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, z: s + z))
-    d = rows.join(small(packed), owner).select(owner, "i", "u", F.transform("pivots", lambda p: far(F.col("u"), p)).alias("d"))
-    d = d.withColumn("near", F.array_min("d"))
-    slack = 2 * float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    home = d.select(owner, F.col("i").alias("a"), F.col("u").alias("x"), (F.array_position("d", F.col("near")) - 1).cast("int").alias("cell"))
-    visits = d.select(owner, F.col("i").alias("b"), F.col("u").alias("y"), F.posexplode("d").alias("cell", "_d"), "near").where(F.col("_d") <= F.col("near") + slack).drop("_d", "near")
-    j = home.join(visits, [owner, "cell"]).where("a < b")
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    return j.select(owner, "a", "b", dot.alias("similarity")).where(F.col("similarity") > threshold)
+    rows = df.where(F.col(owner).isNotNull() & F.col(id).isNotNull() & F.col(v).isNotNull()).select(F.col(owner).alias("o"), F.size(v).alias("dims"), F.col(id).alias("i"), F.col(v).cast("array<double>").alias("v"))
+    blocks = rows.groupBy("o", "dims").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("blocks"))
+    own = rows.join(small(blocks), ["o", "dims"]).withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
+    dealt = own.select("o", "dims", "i", "v", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("o", "dims", "i", "v", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    kinds = dict(rows.dtypes)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        def side(of: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            of = of.sort_values("i")
+            m = np.array(of["v"].tolist(), np.float64).reshape(len(of), -1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return of["i"].to_numpy(), m / np.sqrt((m * m).sum(1))[:, None]
+
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        ids, x = side(pdf[pdf["own"] == p])
+        other, y = (ids, x) if p == q else side(pdf[pdf["own"] == q])
+        a, b, found = [], [], []
+        for at in range(0, len(ids), STRIP):
+            like = x[at : at + STRIP] @ y.T
+            r, c = np.nonzero(like > threshold)
+            first, second = ids[at + r], other[c]
+            keep = first < second if p == q else first != second
+            a.append(np.minimum(first, second)[keep])
+            b.append(np.maximum(first, second)[keep])
+            found.append(like[r, c][keep])
+        empty = [np.zeros(0)]
+        out = pd.DataFrame({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty), "similarity": np.concatenate(found or empty)})
+        return out.assign(o=pdf["o"].iloc[0])[["o", "a", "b", "similarity"]]
+
+    found = dealt.groupBy("o", "dims", "p", "q").applyInPandas(meet, f"o {kinds['o']}, a {kinds['i']}, b {kinds['i']}, similarity double")
+    return found.select(F.col("o").alias(owner), "a", "b", "similarity")
 
 
 def resolve_duplicates(pairs: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 
 import duckdb
-import pytest
+import numpy as np
 
-from caseworks.operators import graph
+from caseworks.operators import graph, search
 from caseworks.plans import registry
 from tests.compare import TABLES, rows, sql_rows
 
@@ -50,3 +50,16 @@ def test_an_end_of_another_type_is_missing(spark):
 def test_deviations_of_products_whose_codes_are_cut(spark, tmp_path):
     at = tables_with(tmp_path, part="SELECT * FROM part UNION ALL SELECT * REPLACE (p_partkey + 1000000 AS p_partkey) FROM part")
     assert same_as_sql(spark, "r15_deviations", at)
+
+
+def test_near_vectors_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_VECTORS", 7)
+    monkeypatch.setattr(search, "STRIP", 2)
+    v = np.random.default_rng(4).normal(size=(40, 3))
+    v[5] = 0  # has no direction
+    data = [(i % 2, i, [float(x) for x in v[i]]) for i in range(40)]
+    unit = {i: v[i] / np.linalg.norm(v[i]) for i in range(40) if i != 5}
+    want = {(o, a, b) for o, a, _ in data for p, b, _ in data if o == p and a < b and 5 not in (a, b) and unit[a] @ unit[b] > 0.4}
+    df = spark.createDataFrame(data + [(0, 90, None)], "o int, i long, v array<double>")
+    got = search.near_dup_vectors(df, "o", "v", "i", 0.4).collect()
+    assert len(got) == len(want) and {(r.o, r.a, r.b) for r in got} == want
