@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from caseworks.operators import graph, search
 from caseworks.plans import registry
@@ -63,3 +64,17 @@ def test_near_vectors_of_several_blocks(spark, monkeypatch):
     df = spark.createDataFrame(data + [(0, 90, None)], "o int, i long, v array<double>")
     got = search.near_dup_vectors(df, "o", "v", "i", 0.4).collect()
     assert len(got) == len(want) and {(r.o, r.a, r.b) for r in got} == want
+
+
+def test_similar_pairs_compare_only_what_bounds_allow(spark):
+    texts = [" ".join([f"own{i}x{k}" for k in range(12)] + [f"all{k}" for k in range(8)]) for i in range(60)]  # 8 of 20 words in common
+    texts += [" ".join(f"big{k + 100 * i}" for k in range(900)) for i in range(8)]  # neighbours share 800 of 900
+    texts += [texts[3] + " more", "own3x0 " + texts[3]]
+    data = [(i, t) for i, t in enumerate(texts)]
+    sets = [set(t.split()) for t in texts]
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a + 1, len(sets))}
+    want = {k: round(v, 6) for k, v in want.items() if v > 0.6}
+    df = spark.createDataFrame(data, "i int, t string")
+    got = {(r.a, r.b): round(r.similarity, 6) for r in search.similar_pairs(df, "i", "t").collect()}
+    assert got == want
+    assert search._close_sets(df.select(F.xxhash64("i").alias("c"), F.split("t", " ").alias("w")), 0.6).count() < 40  # of some 1,800 that share a word of their prefixes
