@@ -4,9 +4,9 @@ Every row of a bucket is tied to the bucket's leader. Besides the ties, the pair
 components are open, also one between a member that passed against the leader and one that failed (members of one
 component need no further link). Small buckets give out their open pairs themselves. Larger ones are split: all rows that
 agree on two bands form a finer bucket, for every two bands, and finer buckets are resolved in the same way. Two similar
-texts agree on several bands, so they meet in several finer buckets; dissimilar ones are mostly dealt apart. What is left
-is a pair that in each of its buckets, the finer ones included, stands among more than SMALL others and never with a
-leader; README gives the measured recall.
+texts agree on several bands, so they meet in several finer buckets; dissimilar ones are mostly dealt apart. For the members
+of large buckets that hold several components even then there is an exact rest: a prefix filter over what their texts are
+made of gives every pair that can reach the threshold. So of the pairs that share a bucket, none over it is lost.
 """
 
 from __future__ import annotations
@@ -75,10 +75,29 @@ def _ties_across(tied: DataFrame, parts: DataFrame) -> DataFrame:
     return both.where(F.coalesce("of_id", "id") != F.coalesce("of_leader", "leader")).select(F.col("id").alias("member"), "leader")
 
 
-def resolve(tied: DataFrame, check: Callable[[DataFrame], None], parts: Callable[[], DataFrame], unchecked: bool = False) -> None:
+def _prefix_pairs(parts: DataFrame, made_of: DataFrame, threshold: float) -> DataFrame:
+    """(member, leader): pairs of ids of two components (id, c) whose weighted Jaccard similarity may reach the threshold.
+    made_of: (id, token, weight).
+
+    Tokens of an id stand in one order for all, rarest first. What a pair has in common lies from the first common token on in
+    both, so this token is one from which on each holds threshold / (1 + threshold) of both weights.
+    """
+    made_of = materialize(made_of, "made-of")
+    rare = made_of.groupBy("token").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("id").orderBy(F.desc("f"), F.desc("token"))
+    upto = made_of.join(rare, "token").withColumns({"left": F.sum("weight").over(order), "all": F.sum("weight").over(Window.partitionBy("id"))})
+    slack = 1 - 1e-4  # weights may be rounded
+    first = upto.where((F.col("f") > 1) & (F.col("left") >= F.col("all") * threshold * slack)).select("id", "token", "left", "all").join(parts, "id")
+    a, b = (first.select("token", *[F.col(x).alias(f"{x}_{end}") for x in ("id", "c", "left", "all")]) for end in "ab")
+    near = F.least("left_a", "left_b") >= (F.col("all_a") + F.col("all_b")) * (threshold / (1 + threshold) * slack)
+    return a.join(b, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & near).select(F.col("id_b").alias("member"), F.col("id_a").alias("leader")).distinct()
+
+
+def resolve(tied: DataFrame, check: Callable[[DataFrame], None], parts: Callable[[], DataFrame], made_of: Callable[[DataFrame], DataFrame], threshold: float, unchecked: bool = False) -> None:
     """Check the open pairs of the buckets of tied (band, id, leader). check takes (member, leader) rows, skips those it
-    has seen and adds what passes to the links; parts gives the components of the links so far. unchecked: some ties of
-    tied haven't been checked; those between two components are."""
+    has seen and adds what passes to the links; parts gives the components of the links so far; made_of gives (id, token,
+    weight) of ids, whose weighted Jaccard similarity is what check measures. unchecked: some ties of tied haven't been
+    checked; those between two components are."""
     first = parts()
     rows = materialize(_across(labelled(tied.select("band", "id"), first)), "open")
     if rows.isEmpty():
@@ -92,3 +111,6 @@ def resolve(tied: DataFrame, check: Callable[[DataFrame], None], parts: Callable
     check((pairs.unionByName(_ties_across(tied, first)) if unchecked else pairs).distinct())
     if not finer.isEmpty():
         check(_small_pairs(_across(labelled(finer.select("band", "id"), parts()))))
+    rest = materialize(_across(labelled(rows.select("band", "id"), parts())).where(F.col("n") > SMALL).select("id", "c").distinct(), "rest")
+    if not rest.isEmpty():
+        check(_prefix_pairs(rest, made_of(rest.select("id")), threshold))

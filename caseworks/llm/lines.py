@@ -104,7 +104,8 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     verify = lambda pairs: append(_verified(materialize(pairs, "line-pairs"), texts), at)
     check = lambda pairs: verify(pairs.withColumnRenamed("member", "id").join(read().select("id", "leader"), ["id", "leader"], "left_anti"))
     verify(best_ties(tied).withColumnRenamed("member", "id"))
-    resolve(tied, check, parts, unchecked=True)
+    made_of = lambda ids: texts.join(ids, "id").select("id", F.explode(shingles(F.col("line"))).alias("token"), F.lit(1.0).alias("weight"))
+    resolve(tied, check, parts, made_of, threshold, unchecked=True)
     return read().where(F.col("similarity") >= threshold).select("id", "leader"), places.select(*PLACE, "id")
 
 

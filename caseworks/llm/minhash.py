@@ -171,6 +171,14 @@ def _sign(n_docs: int):
     return sign
 
 
+def _spell(n_docs: int):
+    def spell(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"id": i, "token": keys.view(np.int64), "weight": w.astype(np.float64)}) for i, keys, w in _vectors(docs, side, set(_kind(side, "rep")["a"].tolist()), n_docs)]
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "token": [], "weight": []})
+
+    return spell
+
+
 def _send_leaders(n_docs: int):
     def send(docs: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         asked = _kind(side, "ask").groupby("a")["b"].unique().to_dict()
@@ -237,10 +245,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block_docs: i
         append(checked, at)
         links = docs.sparkSession.read.schema("member long, leader long, similarity double").parquet(at)
 
+    def made_of(ids: DataFrame) -> DataFrame:
+        asked = side(with_block(ids, "id", blocks), "rep", "id", "id")
+        return named(ids.select(F.col("id").alias("doc_id"))).cogroup(asked.unionByName(df).groupBy("block")).applyInPandas(_spell(n_docs), "id long, token long, weight double")
+
     check(tied.select(F.col("id").alias("member"), "leader").distinct())
     if links is not None:
         parts = lambda: components(links.where(F.col("similarity") >= threshold), "member", "leader")
-        resolve(tied, check, parts)
+        resolve(tied, check, parts, made_of, threshold)
     if links is None:
         return member_of.select("doc_id", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     links = links.where(F.col("similarity") >= threshold)

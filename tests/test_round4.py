@@ -8,6 +8,9 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from caseworks.llm import leftover
+from caseworks.llm import lines as fuzzy
+from caseworks.llm.components import components
 from caseworks.operators import graph, search
 from caseworks.plans import registry
 from tests.compare import TABLES, rows, sql_rows
@@ -78,3 +81,44 @@ def test_similar_pairs_compare_only_what_bounds_allow(spark):
     got = {(r.a, r.b): round(r.similarity, 6) for r in search.similar_pairs(df, "i", "t").collect()}
     assert got == want
     assert search._close_sets(df.select(F.xxhash64("i").alias("c"), F.split("t", " ").alias("w")), 0.6).count() < 40  # of some 1,800 that share a word of their prefixes
+
+
+def lost(links, buckets: dict, like, ids) -> int:
+    """Pairs over the threshold that share a bucket and aren't in one component."""
+    of = {r.node: r.component for r in links.collect()}
+    pairs = {(a, b) for held in buckets.values() for a in held for b in held if a < b}
+    return sum(of.get(a, a) != of.get(b, b) and like(a, b) >= 0.8 for a, b in pairs)
+
+
+def test_no_line_of_a_crowded_bucket_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(leftover, "SMALL", 1)  # so nearly every bucket is a large one
+    rng = np.random.default_rng(1)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    template = letters(110)  # two near lines each of many that share it, but are less alike
+    text = [t for _ in range(250) for own in [letters(34)] for t in (template + own, template + own[:-14] + letters(14))]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    found = fuzzy.document_lines(docs)
+    links, _ = fuzzy.similar_lines(found)
+    line = {r.id: r.line for r in found.collect()}
+    buckets: dict = {}
+    for r in fuzzy.band_rows(found).collect():
+        buckets.setdefault(r.band, set()).add(r.id)
+    runs = {i: {t[k : k + 8] for k in range(len(t) - 7)} for i, t in line.items()}
+    assert max(map(len, buckets.values())) > 50
+    assert lost(components(links, "id", "leader"), buckets, lambda a, b: len(runs[a] & runs[b]) / len(runs[a] | runs[b]), line) == 0
+
+
+def test_prefix_pairs_of_weighted_sets(spark):
+    rng = np.random.default_rng(2)
+    sets = {i: {int(t): float(w) for t, w in zip(rng.integers(0, 60, 12), rng.uniform(0.5, 3, 12), strict=True)} for i in range(60)}
+    for i in range(0, 60, 3):  # near ones, by a token or by weights
+        sets[i + 100] = {t: w * float(rng.uniform(0.9, 1.1)) for t, w in list(sets[i].items())[1:]}
+
+    def like(a, b):
+        both = sum(min(w, sets[b].get(t, 0)) for t, w in sets[a].items())
+        return both / (sum(sets[a].values()) + sum(sets[b].values()) - both)
+
+    want = {(b, a) for a in sets for b in sets if a < b and like(a, b) >= 0.8}
+    made_of = spark.createDataFrame([(i, t, w) for i, own in sets.items() for t, w in own.items()], "id long, token long, weight double")
+    got = {(r.member, r.leader) for r in leftover._prefix_pairs(spark.createDataFrame([(i, i) for i in sets], "id long, c long"), made_of, 0.8).collect()}
+    assert want and want <= got
