@@ -182,54 +182,85 @@ def match_products(docs: DataFrame, products: DataFrame, code_pattern: str, thre
     """doc_id, product_code, score, rank of the k best products of a document.
 
     A code found in the text scores 1. Otherwise 0.5 x share of the name's words in the text + 0.3 x share of the
-    model's + min(description length / 500, 0.2), from the threshold on. Products of one name, model and length score
-    alike, so they are one profile with its k first codes; documents that hold the same words of the catalogue score alike,
-    so they are one word set. Sets meet profiles on a profile's rare words only (those that are not too weak, with all more
-    frequent ones, to reach the threshold). The threshold comes down in three steps from the best score that there can be;
-    sets that find k products on the way are done.
+    model's + min(description length / 500, 0.2), from the threshold on. Documents that hold the same words of the
+    catalogue score alike, so they are one word set; and sets that hold the same words of names (of models) share the names
+    (the models) that they meet, which are judged once for all of these, on their rare words only. The k best
+    products are worked out for each name and model, from these for each set of name words and model, and from these for
+    each set, so that the work on pairs doesn't grow with the documents. The
+    threshold comes down in three steps from the best score that there can be; sets that find k products on the way are done.
     """
     tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""))
     p = products.select(F.upper("product_code").alias("product_code"), F.sort_array(tokens(F.col("product_name"))).alias("name"), F.sort_array(tokens(F.col("product_model"))).alias("model"), F.least(F.length("service_description") / 500, F.lit(0.2)).alias("extra"))
-    kind = ["name", "model", "extra"]
-    first = p.withColumn("_r", F.row_number().over(Window.partitionBy(*kind).orderBy("product_code"))).where(F.col("_r") <= k)
-    profiles = first.groupBy(*kind).agg(F.sort_array(F.collect_list("product_code")).alias("codes"))
-    profiles = cut_lineage(profiles.withColumn("profile", F.xxhash64(*kind)))
-    words = profiles.select("profile", *kind, F.explode(F.array_distinct(F.concat("name", "model"))).alias("token"))
-    vocabulary = few(cut_lineage(words.select("token").distinct()))
-    held = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).join(vocabulary, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list("token")).alias("own"))
+    first = p.where("name IS NOT NULL AND model IS NOT NULL AND extra IS NOT NULL").withColumn("_r", F.row_number().over(Window.partitionBy("name", "model", "extra").orderBy("product_code"))).where(F.col("_r") <= k)
+    first = cut_lineage(first.select("product_code", "name", "model", "extra", F.xxhash64("name").alias("name_id"), F.xxhash64("model").alias("model_id")))
+    any_ = F.lit(None).cast("long")
+    of_pairs = []  # of a name and a model, a name and any model, any name and a model: products in order of extra and code
+    for name_id, model_id in ((F.col("name_id"), F.col("model_id")), (F.col("name_id"), any_), (any_, F.col("model_id"))):
+        each = first.select(F.coalesce(name_id, F.lit(0)).alias("name_id"), F.coalesce(model_id, F.lit(0)).alias("model_id"), "extra", "product_code")
+        w = Window.partitionBy("name_id", "model_id").orderBy(F.desc("extra"), "product_code")
+        best = F.array_sort(F.collect_list(F.struct("_r", "extra", "product_code")))
+        of_pairs.append(each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy("name_id", "model_id").agg(best.alias("best")))
+    known = cut_lineage(reduce(DataFrame.unionByName, of_pairs))
+    best_extra = first.agg(F.max("extra")).first()[0] or 0.0
+    kinds = {"name": 0.5, "model": 0.3}
+    parts = {kind: cut_lineage(first.select(f"{kind}_id", kind).distinct()) for kind in kinds}
+    words = {kind: parts[kind].select(f"{kind}_id", kind, F.explode(kind).alias("token")) for kind in kinds}
+    vocabulary = reduce(lambda a, b: a.join(b, "token", "full"), [words[kind].select("token", F.lit(True).alias(f"in_{kind}")).distinct() for kind in kinds])
+    vocabulary = few(cut_lineage(vocabulary))
+    held = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).join(vocabulary.select("token"), "token").groupBy("doc_id").agg(F.sort_array(F.collect_list("token")).alias("own"))
     held = cut_lineage(held.withColumn("set", F.xxhash64("own")))
-    sets = cut_lineage(held.groupBy("set").agg(F.first("own").alias("own"), F.count("*").alias("n")))
-    part = lambda of, share: F.when(F.array_contains(of, F.col("token")), F.lit(share) / F.size(of)).otherwise(0.0)
-    common = sets.select(F.explode("own").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("f"))
-    upto = F.sum("weight").over(Window.partitionBy("profile").orderBy(F.desc("f"), "token"))
-    weighed = words.withColumn("weight", part("name", 0.5) + part("model", 0.3)).join(common, "token")
-    index = cut_lineage(weighed.select("token", "profile", *kind, (upto + F.col("extra")).alias("most")))
-    share = lambda of: F.when(F.size(of) > 0, F.size(F.array_intersect(of, "own")) / F.size(of)).otherwise(0.0)
-
-    def near(some: DataFrame, least: float) -> DataFrame:
-        """(set, profile, score) from the threshold on: judged where they meet, so that only what passes is shuffled."""
-        met = some.select("set", "own", F.explode("own").alias("token")).join(few(index.where(F.col("most") >= least - 1e-9)), "token")
-        score = share("name") * 0.5 + share("model") * 0.3 + F.col("extra")
-        return met.select("set", "profile", score.alias("score")).where(F.col("score") >= least).distinct()
-
-    def products_of(found: DataFrame) -> DataFrame:
-        """(set, product_code, score): the k best of each set."""
-        w = Window.partitionBy("set").orderBy(F.desc("score"), "product_code")
-        each = found.join(few(profiles.select("profile", "codes")), "profile").select("set", F.explode("codes").alias("product_code"), "score")
-        return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-
-    whole = lambda of, x: F.when(F.size(of) > 0, x).otherwise(0.0)
-    top = profiles.agg(F.max(whole("name", 0.5) + whole("model", 0.3) + F.col("extra"))).first()[0] or threshold
+    each = held.groupBy("set").agg(F.first("own").alias("own")).select("set", F.explode(F.array_distinct("own")).alias("token")).join(vocabulary, "token").groupBy("set")
+    each = each.agg(*[F.sort_array(F.collect_list(F.when(F.col(f"in_{kind}"), F.col("token")))).alias(f"{kind}s") for kind in kinds])
+    sets = cut_lineage(each.select("*", *[F.xxhash64(f"{kind}s").alias(f"{kind}_set") for kind in kinds]))
+    own, index = {}, {}
+    for kind, weight in kinds.items():
+        own[kind] = cut_lineage(sets.groupBy(f"{kind}_set").agg(F.first(f"{kind}s").alias("own")))
+        common = own[kind].select(F.explode("own").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
+        upto = F.count("*").over(Window.partitionBy(f"{kind}_id").orderBy(F.desc("f"), "token")) / F.size(kind) * weight
+        index[kind] = cut_lineage(words[kind].join(common, "token").select("token", f"{kind}_id", kind, upto.alias("most")))
+
+    def hits(kind: str, least: float) -> DataFrame:
+        """({kind}_set, hits): the names (models) of each set of words that can reach the threshold with the best other
+        part, with the part of the score that they give; also 0, any name (model), which gives nothing."""
+        need = least - best_extra - sum(w for other, w in kinds.items() if other != kind) - 1e-9
+        met = own[kind].select(f"{kind}_set", "own", F.explode("own").alias("token")).join(few(index[kind].where(F.col("most") >= need)), "token")
+        found = met.select(f"{kind}_set", f"{kind}_id", (F.size(F.array_intersect(kind, "own")) / F.size(kind) * kinds[kind]).alias("part")).where(F.col("part") >= need).distinct()
+        nothing = own[kind].select(f"{kind}_set", F.lit(0).cast("long").alias(f"{kind}_id"), F.lit(0.0).alias("part"))
+        both = found.unionByName(nothing) if need <= 0 else found
+        return both.groupBy(f"{kind}_set").agg(F.collect_list(F.struct(f"{kind}_id", "part")).alias(f"{kind}_hits"))
+
+    def best_of(some: DataFrame, least: float) -> DataFrame:
+        """(set, product_code, score): the k best products of each set, from the threshold on. The k best of each set of name
+        words and each model come first; they are among those of the 2 k best pairs of name and model, as a product is in two
+        of these at most (with its name, and with any)."""
+        order = lambda score, code: [F.desc(F.round(score, 9)), code]
+        models = some.select("set", "name_set", "model_set").join(hits("model", least), "model_set").select("set", "name_set", F.explode("model_hits").alias("m"))
+        models = cut_lineage(models.select("set", "name_set", "m.model_id", F.col("m.part").alias("model_part")))
+        names = models.select("name_set", "model_id").distinct().join(hits("name", least), "name_set").select("name_set", "model_id", F.explode("name_hits").alias("n"))
+        names = names.select("name_set", "model_id", F.col("n.name_id").alias("name_id"), F.col("n.part").alias("part")).join(few(known), ["name_id", "model_id"])
+        of = Window.partitionBy("name_set", "model_id")
+        first = F.col("best")[0]
+        names = names.withColumn("_r", F.row_number().over(of.orderBy(*order(F.col("part") + first["extra"], first["product_code"])))).where(F.col("_r") <= 2 * k)
+        names = names.select("name_set", "model_id", "part", F.explode("best").alias("b")).select("name_set", "model_id", "b.product_code", (F.col("part") + F.col("b.extra")).alias("score"), "part", "b.extra")
+        names = names.where(F.col("score") + kinds["model"] >= least - 1e-9).groupBy("name_set", "model_id", "product_code").agg(F.max(F.struct("score", "part", "extra")).alias("b"))
+        names = names.withColumn("_r", F.row_number().over(of.orderBy(*order(F.col("b.score"), F.col("product_code"))))).where(F.col("_r") <= k)
+        score = F.col("b.part") + F.col("model_part") + F.col("b.extra")
+        each = models.join(names, ["name_set", "model_id"]).select("set", "product_code", score.alias("score")).where(F.col("score") >= least - 1e-12)
+        each = each.groupBy("set", "product_code").agg(F.max("score").alias("score"))  # a product of any model scores more by its own
+        return each.withColumn("_r", F.row_number().over(Window.partitionBy("set").orderBy(*order(F.col("score"), F.col("product_code"))))).where(F.col("_r") <= k).drop("_r")
+
+    whole = lambda kind: F.when(F.size(kind) > 0, kinds[kind]).otherwise(0.0)
+    top = first.agg(F.max(whole("name") + whole("model") + F.col("extra"))).first()[0] or threshold
     found, some = [], sets
     for least in sorted({max(threshold, x) for x in (top - 1e-9, (top + threshold) / 2, threshold)}, reverse=True):
-        best = cut_lineage(products_of(near(some, least)))
+        best = cut_lineage(best_of(some, least))
         done = best.groupBy("set").agg(F.count("*").alias("n")).where((F.col("n") >= k) | F.lit(least == threshold)).select("set")
         found.append(best.join(done, "set", "left_semi"))
         some = some.join(done, "set", "left_anti")
     by_words = held.select("doc_id", "set").join(reduce(DataFrame.unionByName, found), "set").select("doc_id", "product_code", "score")
     codes = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(code_pattern), F.lit(0)))).alias("product_code")).join(small(p.select("product_code").distinct()), "product_code")
     best = codes.select("doc_id", "product_code", F.lit(1.0).alias("score")).unionByName(by_words).groupBy("doc_id", "product_code").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "product_code")
+    w = Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "product_code")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
