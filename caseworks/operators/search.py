@@ -190,31 +190,42 @@ def _longest_common(masks: dict[str, int], n: int, other: str) -> int:
     return n - open_.bit_count()
 
 
+#: Cells that the characters of a text are counted in: what two texts have in common in cells is no less than in characters.
+LETTER_CELLS = 64
+
+
 def dedup_text(df: DataFrame, doc: str, text: str, id: str, threshold: float = 0.8) -> DataFrame:
     """Greedy dedup inside a document: in order of id a text similar to a kept one is merged into it, and the longer of
-    the two texts stays in its place (later texts are compared with the first one). Adds n_merged. Lengths,
-    shared characters and the longest common subsequence bound the ratio of longest matching blocks from above, in this
-    order, so only hopeless pairs are spared it."""
+    the two texts stays in its place (later texts are compared with the first one). Adds n_merged. Lengths, shared
+    characters (first by counts in LETTER_CELLS cells, of all kept texts at once) and the longest common subsequence bound
+    the ratio of longest matching blocks from above, in this order, so only hopeless pairs are spared it."""
     fields = ", ".join(f"`{c}` {t}" for c, t in df.select(doc, id, text).dtypes)
 
     def near(a: str, letters: Counter, masks: dict[str, int], b: str, matcher: SequenceMatcher, own: Counter) -> bool:
-        if a == b:
-            return True
         total = len(a) + len(b)
-        if 2.0 * min(len(a), len(b)) < threshold * total or 2.0 * sum(min(n, own[c]) for c, n in letters.items()) < threshold * total:
-            return False
-        if 2.0 * _longest_common(masks, len(a), b) < threshold * total:
+        if 2.0 * sum(min(n, own[c]) for c, n in letters.items()) < threshold * total or 2.0 * _longest_common(masks, len(a), b) < threshold * total:
             return False
         matcher.set_seq1(a)
         return matcher.ratio() >= threshold
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first: list[tuple[str, Counter, dict[str, int]]] = []
+        place: dict[str, int] = {}  # of the kept texts; none is near an earlier one, so an equal text isn't either
+        lengths, cells = np.zeros(16, np.int64), np.zeros((16, LETTER_CELLS), np.int32)
         rows: list[list] = []
         for i, t in sorted(zip(pdf[id].tolist(), pdf[text].fillna("").tolist(), strict=True)):
-            own, matcher = Counter(t), SequenceMatcher(None, "", t, autojunk=False)
-            at = next((j for j, f in enumerate(first) if near(*f, t, matcher, own)), None)
+            at, n = place.get(t), len(first)
+            if at is None:
+                mine = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") % LETTER_CELLS, minlength=LETTER_CELLS).astype(np.int32)
+                least = threshold * (lengths[:n] + len(t)) - 1e-9
+                hopeful = np.flatnonzero(2.0 * np.minimum(lengths[:n], len(t)) >= least)
+                hopeful = hopeful[2.0 * np.minimum(cells[hopeful], mine).sum(1) >= least[hopeful]]
+                own, matcher = Counter(t), SequenceMatcher(None, "", t, autojunk=False) if len(hopeful) else None
+                at = next((j for j in hopeful.tolist() if near(*first[j], t, matcher, own)), None)
             if at is None:
+                if n == len(lengths):
+                    lengths, cells = np.concatenate([lengths, np.zeros_like(lengths)]), np.concatenate([cells, np.zeros_like(cells)])
+                lengths[n], cells[n], place[t] = len(t), mine, n
                 first.append((t, own, _masks(t)))
                 rows.append([pdf[doc].iloc[0], i, t, 0])
             else:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import random
+from difflib import SequenceMatcher
 
-from caseworks.operators import rules
+import numpy as np
+from pyspark.sql import functions as F
+
+from caseworks.operators import graph, rules, search, textsplit
+from caseworks.sources import io
 
 
 def matched(spark, docs, products, k=5):
@@ -40,3 +46,19 @@ def test_products_against_one_by_one(spark):
     for k in (2, 5):
         got = matched(spark, docs, products, k)
         assert got == matched_one_by_one(docs, products, k) and len(got) > 100
+
+
+def test_dedup_text_with_cells_of_several_letters(spark, monkeypatch):
+    monkeypatch.setattr(search, "LETTER_CELLS", 3)
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("abcdé甲") for _ in range(rnd.randint(3, 12))) for _ in range(40)]
+    texts += [t[:-1] + rnd.choice("ab") + "c" * rnd.randint(0, 1) for t in texts[:25]] + texts[5:9]
+    kept: list[list] = []
+    for i, t in enumerate(texts):
+        like = next((k for k in kept if t == k[3] or SequenceMatcher(None, k[3], t, autojunk=False).ratio() >= 0.8), None)
+        if like is None:
+            kept.append([i, t, 0, t])
+        else:
+            like[1], like[2] = max(like[1], t, key=len), like[2] + 1
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc long, i long, t string")
+    assert sorted((r.i, r.t, r.n_merged) for r in search.dedup_text(df, "doc", "t", "i").collect()) == [tuple(k[:3]) for k in kept]
