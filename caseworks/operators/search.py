@@ -289,10 +289,17 @@ def similar_pairs(df: DataFrame, id: str, text: str, threshold: float = 0.6) ->
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
 
 
+#: Pairs that meet on a tag, of which a task counts about so many.
+TASK_PAIRS = 2_000_000
+
+
 def tag_pairs(df: DataFrame, id: str, tags: str, min_shared: int = 2) -> DataFrame:
-    """a < b with at least so many shared tags, these and their number."""
+    """a < b with at least so many shared tags, these and their number. Pairs are dealt before they are counted, to as many
+    tasks as their number asks for: a count ahead of the shuffle would hold most pairs in every task."""
     t = df.select(F.col(id).alias("i"), F.explode(F.array_distinct(tags)).alias("t"))
-    j = t.select(F.col("i").alias("a"), "t").join(t.select(F.col("i").alias("b"), "t"), "t").where("a < b")
+    met = t.groupBy("t").agg(F.count("*").alias("f")).agg(F.sum(F.expr("f * (f - 1) div 2"))).first()[0] or 0
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), met // TASK_PAIRS + 1)
+    j = t.select(F.col("i").alias("a"), "t").join(t.select(F.col("i").alias("b"), "t"), "t").where("a < b").repartition(tasks, "a", "b")
     return j.groupBy("a", "b").agg(F.count("*").alias("n_shared"), F.sort_array(F.collect_list("t")).alias("shared")).where(F.col("n_shared") >= min_shared)
 
 

@@ -62,3 +62,13 @@ def test_dedup_text_with_cells_of_several_letters(spark, monkeypatch):
             like[1], like[2] = max(like[1], t, key=len), like[2] + 1
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc long, i long, t string")
     assert sorted((r.i, r.t, r.n_merged) for r in search.dedup_text(df, "doc", "t", "i").collect()) == [tuple(k[:3]) for k in kept]
+
+
+def test_tag_pairs_are_dealt_before_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(search, "TASK_PAIRS", 10)
+    rnd = random.Random(3)
+    tags = {i: sorted(rnd.sample("abcdefgh", rnd.randint(1, 5))) for i in range(20)}
+    got = search.tag_pairs(spark.createDataFrame(list(tags.items()), "i long, tags array<string>"), "i", "tags")
+    want = {(a, b): sorted(set(tags[a]) & set(tags[b])) for a in tags for b in tags if a < b and len(set(tags[a]) & set(tags[b])) > 1}
+    assert {(r.a, r.b): r.shared for r in got.collect()} == want
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
