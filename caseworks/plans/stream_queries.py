@@ -136,7 +136,7 @@ def io3(spark, d):
 def io4(spark, d):
     path = _folder(spark)
     p = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("value"))
-    p.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    io.write_documents(p, path, "s_suppkey")
     return io.read_documents(spark, path).select("content_hash", "size")
 
 

@@ -52,6 +52,14 @@ def read_documents(spark: SparkSession, path: str, extensions: tuple[str, ...] =
     return raw.select(F.input_file_name().alias("uri"), F.col("value").alias("content"), F.md5("value").alias("content_hash"), F.octet_length("value").cast("long").alias("size"))
 
 
+def write_documents(df: DataFrame, path: str, key: str) -> None:
+    """Each row's value as a text file of its own, all in one folder. Rows are dealt by the key to a fixed number of tasks,
+    as a small table would else be one task's files, and each task moves its own files where they belong."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = df.repartition(tasks, key).select("value").write.option("maxRecordsPerFile", 1)
+    files.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 def write_export(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """CSV with a header, quotes doubled (to be read with multiLine and escape '"'), or JSON lines with null fields."""
     writer = df.write.mode("overwrite")

@@ -72,3 +72,11 @@ def test_tag_pairs_are_dealt_before_they_are_counted(spark, monkeypatch):
     want = {(a, b): sorted(set(tags[a]) & set(tags[b])) for a in tags for b in tags if a < b and len(set(tags[a]) & set(tags[b])) > 1}
     assert {(r.a, r.b): r.shared for r in got.collect()} == want
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
+
+
+def test_documents_are_files_of_one_folder_from_several_tasks(spark, tmp_path):
+    at = str(tmp_path / "docs")
+    io.write_documents(spark.range(40).select("id", F.concat(F.lit("text "), "id").alias("value")), f"file://{at}", "id")
+    files = [x for x in os.listdir(at) if x.endswith(".txt")]
+    assert len(files) == 40 and len({x.split("-")[1] for x in files}) == 4
+    assert {r.content.strip() for r in io.read_documents(spark, f"file://{at}").collect()} == {f"text {i}" for i in range(40)}
