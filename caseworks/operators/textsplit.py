@@ -95,11 +95,24 @@ def sentence_chunks(text: str, size: int = 512, overlap: int = 50) -> list[str]:
     return out
 
 
+#: Characters of texts whose chunks go out together.
+CHUNKED_CHARS = 1 << 20
+
+
 def _chunked(df: DataFrame, id: str, text: str, cut, columns: str) -> DataFrame:
+    names = [id, "chunk_index", *[x.split()[0] for x in columns.split(", ")]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, k, *c) for i, t in zip(pdf[id].tolist(), pdf[text].tolist(), strict=True) for k, c in enumerate(cut(t or ""))]
-            yield pd.DataFrame(rows, columns=[id, "chunk_index", *[x.split()[0] for x in columns.split(", ")]])
+            rows, held = [], 0
+            for i, t in zip(pdf[id], pdf[text], strict=True):
+                rows += [(i, k, *c) for k, c in enumerate(cut(t or ""))]
+                held += len(t or "")
+                if held >= CHUNKED_CHARS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return df.select(id, text).mapInPandas(run, f"`{id}` {df.schema[id].dataType.simpleString()}, chunk_index int, {columns}")
 

@@ -80,3 +80,10 @@ def test_documents_are_files_of_one_folder_from_several_tasks(spark, tmp_path):
     files = [x for x in os.listdir(at) if x.endswith(".txt")]
     assert len(files) == 40 and len({x.split("-")[1] for x in files}) == 4
     assert {r.content.strip() for r in io.read_documents(spark, f"file://{at}").collect()} == {f"text {i}" for i in range(40)}
+
+
+def test_chunks_go_out_by_characters(spark, monkeypatch):
+    monkeypatch.setattr(textsplit, "CHUNKED_CHARS", 700)
+    texts = {i: " ".join(f"Sentence {i} {j} of a text." for j in range(i * 7 % 60)) or None for i in range(30)}
+    got = textsplit.chunk_sentences(spark.createDataFrame(list(texts.items()), "i long, t string"), "i", "t").collect()
+    assert {(r.i, r.chunk_index): r.chunk for r in got} == {(i, k): c for i, t in texts.items() for k, c in enumerate(textsplit.sentence_chunks(t or ""))}
