@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseworks.plans.shared import cut_lineage
+from caseworks.plans.sizes import few
 
 
 def replay(oplog: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,15 +96,15 @@ def shortest_path(edges: DataFrame, start: int | str, end: int | str, max_depth:
     Layers of nodes grow from both ends, the smaller one first, until they meet; then the least way through the layers is
     read off, a row a hop. So layers hold nodes only, and each end sees half the depth.
     """
-    e = (edges.where(F.col("rel").isin(rels)) if rels else edges).select("src", "dst").distinct()
-    e, kind = cut_lineage(e), dict(edges.dtypes)["src"]
+    e = (edges.where(F.col("rel").isin(rels)) if rels else edges).select("src", "dst")
+    e, kind = cut_lineage(e), dict(edges.dtypes)["src"]  # repeated edges do no harm: layers are distinct
     one = lambda x: edges.sparkSession.range(1).select(F.lit(x).cast(kind).alias("at"))
     empty = one(start).select(F.lit(0).alias("hops"), F.array("at").alias("path")).limit(0)
     out_of = {"src": ("src", "dst"), "dst": ("dst", "src")}
 
     def grown(layers: list[DataFrame], side: str) -> DataFrame:
         a, b = out_of[side]
-        step = layers[-1].join(e, F.col("at") == F.col(a)).select(F.col(b).alias("at")).distinct()
+        step = e.join(few(layers[-1]), F.col("at") == F.col(a)).select(F.col(b).alias("at")).distinct()
         seen = reduce(DataFrame.unionByName, layers[1:] if start == end else layers, step.limit(0))  # a ring comes back to its start
         return cut_lineage(step.join(seen, "at", "left_anti"))
 
@@ -122,7 +123,7 @@ def shortest_path(edges: DataFrame, start: int | str, end: int | str, max_depth:
         return empty
     ways = [meet]  # nodes of each layer ahead that lead to where the layers meet
     for layer in ahead[-2:0:-1]:
-        ways.insert(0, cut_lineage(e.join(ways[0], e["dst"] == ways[0]["at"], "left_semi").select(F.col("src").alias("at")).distinct().join(layer, "at", "left_semi")))
+        ways.insert(0, cut_lineage(e.join(few(ways[0]), e["dst"] == ways[0]["at"], "left_semi").select(F.col("src").alias("at")).distinct().join(layer, "at", "left_semi")))
     path = [start]
     for layer in [*(ways if len(ahead) > 1 else []), *back[-2::-1]]:
         here = e.where(F.col("src") == F.lit(path[-1]).cast(kind)).select(F.col("dst").alias("at"))

@@ -87,3 +87,11 @@ def test_chunks_go_out_by_characters(spark, monkeypatch):
     texts = {i: " ".join(f"Sentence {i} {j} of a text." for j in range(i * 7 % 60)) or None for i in range(30)}
     got = textsplit.chunk_sentences(spark.createDataFrame(list(texts.items()), "i long, t string"), "i", "t").collect()
     assert {(r.i, r.chunk_index): r.chunk for r in got} == {(i, k): c for i, t in texts.items() for k, c in enumerate(textsplit.sentence_chunks(t or ""))}
+
+
+def test_small_layers_of_repeated_edges_are_broadcast(spark, monkeypatch):
+    sizes, few = [], graph.few
+    monkeypatch.setattr(graph, "few", lambda df: sizes.append(df.count()) or few(df))
+    edges = spark.createDataFrame([(a, "r", b) for a, b in ((0, 3), (0, 2), (2, 9), (3, 9), (9, 5)) for _ in range(3)], "src long, rel string, dst long")
+    assert [(r.hops, r.path) for r in graph.shortest_path(edges, 0, 5, 4).collect()] == [(3, [0, 2, 9, 5])]
+    assert sizes and max(sizes) <= 2
