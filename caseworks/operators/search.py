@@ -18,6 +18,8 @@ from caseworks.plans.sizes import small
 
 #: Query vectors that one block product takes; more queries are done in several.
 QUERY_BLOCK = 4096
+#: Scores of queries and a batch of vectors that a task holds at once.
+SCORES = 1 << 21
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -31,20 +33,23 @@ def _block_topk(vectors: DataFrame, ids: list[int], queries: np.ndarray, k: int,
     if metric == "cosine":
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
+    asked = np.array(ids)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
             if metric == "cosine":
-                scores = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-            else:
-                far = np.maximum(0, (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T)
-                scores = 1 / (1 + far)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
             own, groups = pdf["id"].to_numpy(), pdf[group].to_numpy()
-            for g in pd.unique(groups):
-                at = np.flatnonzero(groups == g)
-                order = np.lexsort((np.broadcast_to(own[at], (len(q), len(at))), -np.round(scores[:, at], 12)), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": own[at][order.reshape(-1)], group: g, "score": np.take_along_axis(scores[:, at], order, 1).reshape(-1)})
+            strip = max(1, SCORES // len(v))
+            for a in range(0, len(q), strip):
+                part = q[a : a + strip]
+                scores = part @ v.T if metric == "cosine" else 1 / (1 + np.maximum(0, (part * part).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * part @ v.T))
+                for g in pd.unique(groups):
+                    at = np.flatnonzero(groups == g)
+                    order = np.lexsort((np.broadcast_to(own[at], (len(part), len(at))), -np.round(scores[:, at], 12)), axis=1)[:, :k]
+                    n = order.shape[1]
+                    yield pd.DataFrame({"query_id": np.repeat(asked[a : a + strip], n), "id": own[at][order.reshape(-1)], group: g, "score": np.take_along_axis(scores[:, at], order, 1).reshape(-1)})
 
     kind = dict(vectors.dtypes)[group]
     return vectors.select("id", "v", group).mapInPandas(run, f"query_id long, id long, `{group}` {kind}, score double")

@@ -95,3 +95,15 @@ def test_small_layers_of_repeated_edges_are_broadcast(spark, monkeypatch):
     edges = spark.createDataFrame([(a, "r", b) for a, b in ((0, 3), (0, 2), (2, 9), (3, 9), (9, 5)) for _ in range(3)], "src long, rel string, dst long")
     assert [(r.hops, r.path) for r in graph.shortest_path(edges, 0, 5, 4).collect()] == [(3, [0, 2, 9, 5])]
     assert sizes and max(sizes) <= 2
+
+
+def test_best_vectors_in_strips_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "SCORES", 50)
+    v = np.random.default_rng(4).normal(size=(60, 5)).round(3)
+    rows = spark.createDataFrame([(i, x.tolist(), f"g{i % 3}") for i, x in enumerate(v)], "id long, v array<double>, collection string")
+    queries = rows.where("id % 4 = 0").select(F.col("id").alias("query_id"), "v")
+    for metric in ("l2", "cosine"):
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        score = (lambda a, b: 1 / (1 + ((v[a] - v[b]) ** 2).sum())) if metric == "l2" else (lambda a, b: unit[a] @ unit[b])
+        got = {(r.query_id, r["rank"]): r.id for r in search.vector_topk(queries, rows, 3, metric).collect()}
+        assert got == {(a, k + 1): b for a in range(0, 60, 4) for k, b in enumerate(sorted(range(60), key=lambda b: (-round(score(a, b), 9), b))[:3])}
