@@ -185,53 +185,74 @@ def _masks(text: str) -> dict[str, int]:
     return out
 
 
-def _longest_common(masks: dict[str, int], n: int, other: str) -> int:
-    """Length of the longest common subsequence, a bit for each place of the first text (n places)."""
+def _longest_common(masks: dict[str, int], n: int, other: str, least: float = 0.0) -> int:
+    """Length of the longest common subsequence, a bit for each place of the first text (n places); a bound from above as
+    soon as it shows that the length is under `least`."""
     every = (1 << n) - 1
     open_ = every
-    for c in other:
-        hit = open_ & masks.get(c, 0)
-        open_ = ((open_ + hit) | (open_ - hit)) & every
+    for a in range(0, len(other), 32):
+        for c in other[a : a + 32]:
+            hit = open_ & masks.get(c, 0)
+            open_ = ((open_ + hit) | (open_ - hit)) & every
+        bound = n - open_.bit_count() + max(0, len(other) - a - 32)
+        if bound < least:
+            return bound
     return n - open_.bit_count()
 
 
 #: Cells that the characters of a text are counted in: what two texts have in common in cells is no less than in characters.
-LETTER_CELLS = 64
+LETTER_CELLS, PAIR_CELLS = 64, 509
+#: Texts from which on a document's are counted in cells.
+MANY = 24
 
 
 def dedup_text(df: DataFrame, doc: str, text: str, id: str, threshold: float = 0.8) -> DataFrame:
     """Greedy dedup inside a document: in order of id a text similar to a kept one is merged into it, and the longer of
     the two texts stays in its place (later texts are compared with the first one). Adds n_merged. Lengths, shared
-    characters (first by counts in LETTER_CELLS cells, of all kept texts at once) and the longest common subsequence bound
-    the ratio of longest matching blocks from above, in this order, so only hopeless pairs are spared it."""
+    characters and pairs of neighbours (first by counts in LETTER_CELLS and PAIR_CELLS cells, of all kept texts at once; the
+    bound on pairs is worked out in closetext) and the longest common subsequence bound the ratio of longest matching blocks
+    from above, in this order, so only hopeless pairs are spared it."""
     fields = ", ".join(f"`{c}` {t}" for c, t in df.select(doc, id, text).dtypes)
 
-    def near(a: str, letters: Counter, masks: dict[str, int], b: str, matcher: SequenceMatcher, own: Counter) -> bool:
+    def near(kept: list, b: str, matcher: SequenceMatcher, own: Counter) -> bool:
+        if len(kept) == 1:  # worked out for texts that are compared
+            kept += [Counter(kept[0]), _masks(kept[0])]
+        a, letters, masks = kept
         total = len(a) + len(b)
-        if 2.0 * sum(min(n, own[c]) for c, n in letters.items()) < threshold * total or 2.0 * _longest_common(masks, len(a), b) < threshold * total:
+        if 2.0 * sum(min(n, own[c]) for c, n in letters.items()) < threshold * total or 2.0 * _longest_common(masks, len(a), b, threshold * total / 2 - 1e-9) < threshold * total:
             return False
         matcher.set_seq1(a)
         return matcher.ratio() >= threshold
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first: list[tuple[str, Counter, dict[str, int]]] = []
+        many = len(pdf) >= MANY
+        first: list[list] = []  # a text, its letters and their places
         place: dict[str, int] = {}  # of the kept texts; none is near an earlier one, so an equal text isn't either
-        lengths, cells = np.zeros(16, np.int64), np.zeros((16, LETTER_CELLS), np.int32)
+        lengths, cells, pairs = np.zeros(16, np.int64), np.zeros((16, LETTER_CELLS), np.int32), np.zeros((16, PAIR_CELLS), np.int32)
         rows: list[list] = []
         for i, t in sorted(zip(pdf[id].tolist(), pdf[text].fillna("").tolist(), strict=True)):
             at, n = place.get(t), len(first)
             if at is None:
-                mine = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") % LETTER_CELLS, minlength=LETTER_CELLS).astype(np.int32)
-                least = threshold * (lengths[:n] + len(t)) - 1e-9
-                hopeful = np.flatnonzero(2.0 * np.minimum(lengths[:n], len(t)) >= least)
-                hopeful = hopeful[2.0 * np.minimum(cells[hopeful], mine).sum(1) >= least[hopeful]]
-                own, matcher = Counter(t), SequenceMatcher(None, "", t, autojunk=False) if len(hopeful) else None
-                at = next((j for j in hopeful.tolist() if near(*first[j], t, matcher, own)), None)
+                if many:
+                    points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+                    mine = np.bincount(points % LETTER_CELLS, minlength=LETTER_CELLS).astype(np.int32)
+                    two = np.bincount((points[:-1] * 263 + points[1:]) % PAIR_CELLS, minlength=PAIR_CELLS).astype(np.int32)
+                    least = threshold * (lengths[:n] + len(t)) - 1e-9
+                    hopeful = np.flatnonzero(2.0 * np.minimum(lengths[:n], len(t)) >= least)
+                    hopeful = hopeful[2.0 * np.minimum(cells[hopeful], mine).sum(1) >= least[hopeful]]
+                    hopeful = hopeful[np.minimum(pairs[hopeful], two).sum(1) >= 1.5 * least[hopeful] - (lengths[hopeful] + len(t)) - 1 - 1e-6].tolist()
+                else:
+                    hopeful = [j for j in range(n) if 2.0 * min(len(first[j][0]), len(t)) >= threshold * (len(first[j][0]) + len(t))]
+                if hopeful:
+                    own, matcher = Counter(t), SequenceMatcher(None, "", t, autojunk=False)
+                    at = next((j for j in hopeful if near(first[j], t, matcher, own)), None)
             if at is None:
-                if n == len(lengths):
-                    lengths, cells = np.concatenate([lengths, np.zeros_like(lengths)]), np.concatenate([cells, np.zeros_like(cells)])
-                lengths[n], cells[n], place[t] = len(t), mine, n
-                first.append((t, own, _masks(t)))
+                if many and n == len(lengths):
+                    lengths, cells, pairs = (np.concatenate([x, np.zeros_like(x)]) for x in (lengths, cells, pairs))
+                place[t] = n
+                if many:
+                    lengths[n], cells[n], pairs[n] = len(t), mine, two
+                first.append([t])
                 rows.append([pdf[doc].iloc[0], i, t, 0])
             else:
                 rows[at][3] += 1
