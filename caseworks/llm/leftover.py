@@ -12,12 +12,16 @@ made of gives every pair that can reach the threshold. So of the pairs that shar
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseworks.llm.common import materialize
 
+#: Numbers of 64 parities each that an id of the exact rest has.
+PARITIES = 16
 #: Members (besides the leader) of a bucket that gives out its open pairs itself.
 SMALL = 12
 
@@ -80,19 +84,34 @@ def _prefix_pairs(parts: DataFrame, made_of: DataFrame, threshold: float) -> Dat
     made_of: (id, token, weight).
 
     Tokens of an id stand in one order for all, rarest first. What a pair has in common lies from the first common token on in
-    both, so this token is one from which on each holds threshold / (1 + threshold) of both weights.
+    both, so this token is one from which on each holds threshold / (1 + threshold) of both weights. What only one of a pair
+    has weighs (1 - threshold) / (1 + threshold) of both at most, and there are as many such tokens as the parities of the
+    two ids differ in, or more: so members of a crowd that are alike but not over the threshold end inside the join.
     """
     made_of = materialize(made_of, "made-of")
     rare = made_of.groupBy("token").agg(F.count("*").alias("f"))
     order = Window.partitionBy("id").orderBy(F.desc("f"), F.desc("token"))
     upto = made_of.join(rare, "token").withColumns({"left": F.sum("weight").over(order), "all": F.sum("weight").over(Window.partitionBy("id"))})
     slack = 1 - 1e-4  # weights may be rounded
-    first = upto.where((F.col("f") > 1) & (F.col("left") >= F.col("all") * threshold * slack)).select("id", "token", "left", "all").join(parts, "id")
-    a, b = (first.select("token", *[F.col(x).alias(f"{x}_{end}") for x in ("id", "c", "left", "all")]) for end in "ab")
-    near = F.least("left_a", "left_b") >= (F.col("all_a") + F.col("all_b")) * (threshold / (1 + threshold) * slack)
+    first = upto.where((F.col("f") > 1) & (F.col("left") >= F.col("all") * threshold * slack)).select("id", "token", "left", "all")
+    first = first.join(parts, "id").join(_parities(made_of), "id")
+    a, b = (first.select("token", *[F.col(x).alias(f"{x}_{end}") for x in first.columns if x != "token"]) for end in "ab")
+    both = F.col("all_a") + F.col("all_b")
+    near = F.least("left_a", "left_b") >= both * (threshold / (1 + threshold) * slack)
+    apart = reduce(add, [F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(PARITIES)])
+    near &= apart * F.least("least_a", "least_b") <= both * (1 - 2 * threshold / (1 + threshold) * slack)
     return a.join(b, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & near).select(F.col("id_b").alias("member"), F.col("id_a").alias("leader")).distinct()
 
 
+def _parities(made_of: DataFrame) -> DataFrame:
+    """(id, least, p0, p1, ...): the least weight of an id's tokens, and for each of 64 * PARITIES hashes whether an odd number
+    of its tokens has it."""
+    h = F.xxhash64("token", F.lit(11))
+    bit = F.expr("shiftleft(1L, h & 63)")
+    rows = made_of.select("id", "weight", h.alias("h")).select("id", "weight", bit.alias("bit"), F.pmod(F.shiftright("h", 6), F.lit(PARITIES)).alias("k"))
+    return rows.groupBy("id").agg(F.min("weight").alias("least"), *[F.bit_xor(F.when(F.col("k") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITIES)])
+
+
 def resolve(tied: DataFrame, check: Callable[[DataFrame], None], parts: Callable[[], DataFrame], made_of: Callable[[DataFrame], DataFrame], threshold: float, unchecked: bool = False) -> None:
     """Check the open pairs of the buckets of tied (band, id, leader). check takes (member, leader) rows, skips those it
     has seen and adds what passes to the links; parts gives the components of the links so far; made_of gives (id, token,
