@@ -17,6 +17,18 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def mix_into(x: np.ndarray, out: np.ndarray) -> None:
+    """mix(x) in out; x is overwritten."""
+    np.right_shift(x, np.uint64(32), out=out)
+    x ^= out
+    x *= _MIX
+    np.right_shift(x, np.uint64(29), out=out)
+    x ^= out
+    x *= _SHINGLE
+    np.right_shift(x, np.uint64(32), out=out)
+    out ^= x
+
+
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if n > len(_POWERS):
@@ -24,6 +36,17 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+_INVERSE = np.zeros(0, np.uint64)
+
+
+def _inverse_powers(n: int) -> np.ndarray:
+    """The inverse (modulo 2^64) of each power of _WORD, from the zeroth on."""
+    global _INVERSE
+    if n > len(_INVERSE):
+        _INVERSE = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, pow(int(_WORD), -1, 1 << 64), np.uint64)]))
+    return _INVERSE
+
+
 #: Bytes of text hashed at once.
 AT_ONCE = 1 << 18
 _SPACES = np.zeros(256, bool)
@@ -69,14 +92,28 @@ def word_hashes(words: list[str]) -> np.ndarray:
     """64-bit hash of each word (of its UTF-8 bytes). Words hold no space."""
     if not words:
         return np.zeros(0, np.uint64)
-    data = np.frombuffer((" ".join(words) + " ").encode("utf-8", "surrogatepass"), np.uint8)
-    end = np.flatnonzero(data == 32)
-    start = np.concatenate([[0], end[:-1] + 1])
-    size = end - start
-    inside = np.arange(len(data)) - np.repeat(start, size + 1)
+    data = (" ".join(words) + " ").encode("utf-8", "surrogatepass")
+    if len(data) > AT_ONCE and len(words) > 1:
+        half = len(words) // 2
+        return np.concatenate([word_hashes(words[:half]), word_hashes(words[half:])])
+    return spaced_hashes(data)
+
+
+def spaced_hashes(text: bytes) -> np.ndarray:
+    """The word_hashes of a text's words. Spaces stand between them and after the last, and nothing else is a gap.
+
+    A word's hash is the sum of its bytes (and the space) times powers of a number by their place in it: the sum over the text
+    from the word's start on, times the inverse power of its start.
+    """
+    data = np.frombuffer(text, np.uint8)
+    gap = np.flatnonzero(data == 32)
+    start = np.concatenate([[0], gap[:-1] + 1])
+    start, end = start[gap > start], gap[gap > start]
+    powers, inverse = _powers(len(data)), _inverse_powers(len(data))
     with np.errstate(over="ignore"):
-        parts = data.astype(np.uint64) * _powers(int(size.max()) + 1)[inside]
-        return mix(np.add.reduceat(parts, start) ^ size.astype(np.uint64))
+        upto = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data * powers[: len(data)], out=upto[1:])
+        return mix((upto[end + 1] - upto[start]) * inverse[start] ^ (end - start).astype(np.uint64))
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

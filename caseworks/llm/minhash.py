@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from caseworks.llm.common import BLOCK_DOCS, append, fits, materialize, n_blocks, numbered, real_id, table, with_block
 from caseworks.llm.components import components
 from caseworks.llm.exchange import ANSWER, PARCEL, answers, look_up, pack48, parcels, sum_by_key, unpack48
-from caseworks.llm.hashing import mix, shingle_hashes, word_hashes
+from caseworks.llm.hashing import AT_ONCE, mix, mix_into, shingle_hashes, spaced_hashes, word_hashes
 from caseworks.llm.leftover import resolve, ties
 from caseworks.plans.shared import shared_dir
 
@@ -39,6 +39,8 @@ BANDS, ROWS = 14, 4
 #: Shingles sampled at once; bounds the arrays of a task.
 CHUNK = 1 << 16
 _WORDS = re.compile(r"\w+")
+#: Each byte of ASCII text, and a space for those of no word.
+_ASCII_WORDS = bytes(i if _WORDS.match(chr(i)) else 32 for i in range(256))
 
 _rng = np.random.default_rng(20)
 #: Random variates of the sampling, drawn from tables by bits of a shingle's hash: Gamma(2, 1), its logarithm, uniform.
@@ -47,9 +49,16 @@ LOG_GAMMA = np.log(-np.log1p(-_rng.random((2, 1 << 16))).sum(0)).astype(np.float
 UNIFORM = _rng.random(1 << 16).astype(np.float32)
 
 
+def text_hashes(text: str) -> np.ndarray:
+    """Hashes of the runs of word characters; of ASCII text straight from its bytes."""
+    if text.isascii() and len(text) < AT_ONCE:
+        return spaced_hashes(text.encode().translate(_ASCII_WORDS) + b" ")
+    return word_hashes(_WORDS.findall(text))
+
+
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of a text, in order, and their counts."""
-    return np.unique(shingle_hashes(word_hashes(_WORDS.findall((text or "").lower())), SHINGLE), return_counts=True)
+    return np.unique(shingle_hashes(text_hashes((text or "").lower()), SHINGLE), return_counts=True)
 
 
 def weights(counts: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
@@ -60,18 +69,22 @@ def weights(counts: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
 def signatures(keys: np.ndarray, weight: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Samples (documents x BANDS * ROWS) of concatenated documents, each of at least one shingle."""
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    doc = np.repeat(np.arange(len(sizes)), sizes)
     log_w = np.log(weight).astype(np.float32)
     out = np.empty((len(sizes), BANDS * ROWS), np.uint64)
+    bits, at = np.empty(len(keys), np.uint64), np.empty(len(keys), np.intp)
+    r, log_c, beta, level, log_a = (np.empty(len(keys), np.float32) for _ in range(5))  # filled anew by each function
     for f in range(BANDS * ROWS):
-        bits = mix(keys ^ mix(np.array([f + 1], np.uint64)))
-        r = GAMMA[(bits & np.uint64(0xFFFF)).astype(np.intp)]
-        log_c = LOG_GAMMA[((bits >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.intp)]
-        beta = UNIFORM[((bits >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.intp)]
-        level = np.floor(log_w / r + beta)
-        log_a = log_c - r * (level - beta) - r
-        hit = np.flatnonzero(log_a == np.minimum.reduceat(log_a, start)[doc])
-        hit = hit[np.concatenate([[True], doc[hit][1:] != doc[hit][:-1]])]
+        mix_into(keys ^ mix(np.array([f + 1], np.uint64)), bits)
+        for shift, variates, drawn in ((0, GAMMA, r), (16, LOG_GAMMA, log_c), (32, UNIFORM, beta)):
+            np.copyto(at, (bits >> np.uint64(shift)).astype(np.uint16))
+            variates.take(at, out=drawn, mode="clip")  # no place is outside; clip needs no copy of out
+        np.floor(np.add(np.divide(log_w, r, out=level), beta, out=level), out=level)
+        np.multiply(np.subtract(level, beta, out=log_a), r, out=log_a)
+        np.subtract(np.subtract(log_c, log_a, out=log_a), r, out=log_a)
+        hit = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, start), sizes))
+        if len(hit) > len(sizes):  # of equal ones the first counts
+            doc = np.searchsorted(start, hit, "right")
+            hit = hit[np.concatenate([[True], doc[1:] != doc[:-1]])]
         out[:, f] = mix(keys[hit] ^ mix(level[hit].astype(np.int64).view(np.uint64) + np.uint64(f)))
     return out
 

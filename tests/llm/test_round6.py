@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 
-from caseworks.llm import leftover
+import numpy as np
+
+from caseworks.llm import hashing, leftover, minhash
 
 # the exact rest ---------------------------------------------------------------------------------------------------
 
@@ -28,3 +31,34 @@ def test_members_that_are_only_alike_end_inside_the_join(spark):
     over = {(i, j) for i in made for j in made if i < j and like(made[i], made[j]) >= 0.8}
     assert len(over) >= 60 and over <= found
     assert len(found) <= 10 * len(over)  # 7,140 pairs share most of the template
+
+
+# hashes -----------------------------------------------------------------------------------------------------------
+
+
+def _hash(word: str) -> int:
+    data, power, total = word.encode(), 1, 0
+    for byte in data + b" ":
+        power = power * 0x100000001B3 % 2**64
+        total += byte * power
+    return int(hashing.mix(np.array([total % 2**64 ^ len(data)], np.uint64))[0])
+
+
+def test_word_hashes(monkeypatch):
+    words = ["a", "", "b_c", "éa", "x" * 50, "a"]
+    want = [_hash(w) for w in words if w]
+    assert hashing.spaced_hashes((" ".join(words) + " ").encode()).tolist() == want
+    monkeypatch.setattr(hashing, "AT_ONCE", 8)
+    assert hashing.word_hashes([w for w in words if w]).tolist() == want
+
+
+def test_texts_are_hashed_by_their_words():
+    for text in ["", "...", "one, two_3 (four)\x1ffive\x0b", " é two ", "x"]:
+        assert minhash.text_hashes(text).tolist() == [_hash(w) for w in re.findall(r"\w+", text)]
+
+
+def test_mix_into():
+    x = np.arange(9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out = np.empty_like(x)
+    hashing.mix_into(x.copy(), out)
+    assert (out == hashing.mix(x)).all()
