@@ -14,6 +14,8 @@ from caseworks.operators.intervals import interval_join
 from caseworks.operators.search import term_postings
 
 BLOCK_IDS = 512
+#: Ids in a stretch: what a task holds of a frequent term at least, if documents are numbered without gaps.
+DEALT_IDS = 1 << 16
 INDEX = "term string, first long, last long, n int, width int, gaps binary"
 
 
@@ -33,15 +35,15 @@ def index_blocks(docs: DataFrame, id: str, text: str, block: int = BLOCK_IDS) ->
     """term, first, last, n, width, gaps of each block of whole-number ids, at most `block` a row. Terms are those of
     term_postings; null ids and texts have none, repeated ids count once.
 
-    Postings are dealt by ranges of (term, id) and sorted, so a term of all documents spans many tasks, none of which
-    holds more than a block; a block ends where its task's range does.
+    Postings are dealt by term and stretch of DEALT_IDS ids and sorted, once and without looking at them before, so a term of all
+    documents spans many tasks, none of which holds more than a block; a block ends where its task's ids of the term do. Repeated
+    ids meet in one task.
     """
-    rows = term_postings(docs.where(F.col(id).isNotNull()), id, text).select("term", F.col(id).cast("long").alias("id")).distinct()
-    spark = docs.sparkSession
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", "id").sortWithinPartitions("term", "id")
+    rows = term_postings(docs.where(F.col(id).isNotNull()), id, text).select("term", F.col(id).cast("long").alias("id"))
+    dealt = rows.repartition("term", F.floor(F.col("id") / DEALT_IDS)).sortWithinPartitions("term", "id")
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_term, held = None, np.zeros(0, np.int64)
+        held_term, held, last = None, np.zeros(0, np.int64), None
         for pdf in batches:
             terms, ids, out = pdf["term"].to_numpy(object), pdf["id"].to_numpy(np.int64), []
             cuts = np.concatenate([[0], np.flatnonzero(terms[1:] != terms[:-1]) + 1, [len(terms)]])
@@ -50,8 +52,10 @@ def index_blocks(docs: DataFrame, id: str, text: str, block: int = BLOCK_IDS) ->
                     continue
                 if terms[a] != held_term:
                     out += [(held_term, *_coded(held))] if len(held) else []
-                    held_term, held = terms[a], ids[:0]
-                held = np.concatenate([held, ids[a:b]])
+                    held_term, held, last = terms[a], ids[:0], None
+                own = ids[a:b]
+                own = own[np.concatenate([[last is None or own[0] != last], own[1:] != own[:-1]])]
+                held, last = np.concatenate([held, own]), ids[b - 1]
                 while len(held) >= block:
                     out.append((held_term, *_coded(held[:block])))
                     held = held[block:]
