@@ -16,13 +16,13 @@ HORIZONTAL = "─═-"
 BOX = "─│┌┐└┘├┤┬┴┼"
 WIDE = "\u1100-\u115f\u2e80-\ua4cf\uac00-\ud7a3\uf900-\ufaff\ufe30-\ufe6f\uff00-\uff60\uffe0-\uffe6"
 
-_ANY_BORDER = f"[{CORNERS}{JUNCTIONS}{VERTICAL}{HORIZONTAL.replace('-', '')}-]"
+_BORDERS = f"{CORNERS}{JUNCTIONS}{VERTICAL}{HORIZONTAL.replace('-', '')}-"
 _FILL, _BLANK, _CUT = "\uffff", "\x02", "\x03"
 
 
 def _count(x: Column, chars: str) -> Column:
     """How often any of the characters (a regex class without brackets) occurs."""
-    return F.length(x) - F.length(F.regexp_replace(x, f"[{chars}]", ""))
+    return F.length(x) - F.length(F.regexp_replace(x, f"[{chars}]+", ""))
 
 
 def _parts(x: Column) -> Column:
@@ -88,12 +88,13 @@ def _border_rows(lines: Column, least: int) -> Column:
     """Rows of the lines with `least` characters between borders, if any line has two corners or ten rules; cells lie
     between vertical lines. The rows above the first inner rule are the header."""
     bordered = F.exists(lines, lambda x: (_count(x, CORNERS) >= 2) | (_count(x, HORIZONTAL) >= 10))
-    inside = lambda x: F.length(F.regexp_replace(F.regexp_replace(x, _ANY_BORDER, ""), r"\s", ""))
+    inside = lambda x: F.length(F.regexp_replace(x, rf"[\s{_BORDERS}]+", ""))
     trimmed = lambda x: F.regexp_replace(F.btrim(x), f"^[{VERTICAL}]|[{VERTICAL}]$", "")
-    cells = lambda x: F.transform(F.split(trimmed(x), f"[{VERTICAL}]", -1), lambda c: F.btrim(F.regexp_replace(F.regexp_replace(c, f"[{CORNERS}{JUNCTIONS}─═]", " "), r"\s+", " ")))
+    cells = lambda x: F.transform(F.split(trimmed(x), f"[{VERTICAL}]", -1), lambda c: F.btrim(F.regexp_replace(c, rf"[\s{CORNERS}{JUNCTIONS}─═]+", " ")))
 
     def rows(content: Column) -> Column:
-        inner = F.array_min(_places(lines, lambda x, i: (i > F.array_min(content)) & (i < F.array_max(content)) & (inside(x) == 0) & (_count(x, HORIZONTAL) >= 2)))
+        rules = lambda ends: F.array_min(_places(lines, lambda x, i: (i > ends["a"]) & (i < ends["b"]) & (inside(x) == 0) & (_count(x, HORIZONTAL) >= 2)))
+        inner = _let(F.struct(F.array_min(content).alias("a"), F.array_max(content).alias("b")), rules)
         return _let(inner, lambda rule: F.transform(content, lambda i: _row(cells(F.get(lines, i)), F.when(i < rule, "header").otherwise("data"))))
 
     return F.when(bordered, _let(_places(lines, lambda x, i: inside(x) >= least), lambda content: F.when(F.size(content) > 0, rows(content))))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from caseworks.operators import postings
+from pyspark.sql import functions as F
+
+from caseworks.operators import postings, tables
 
 
 def test_blocks_are_dealt_once(spark, monkeypatch):
@@ -17,3 +19,11 @@ def test_blocks_are_dealt_once(spark, monkeypatch):
     held = sorted((r.term, int(i)) for r in blocks for i in postings._decoded(r["first"], r.width, r.gaps))
     assert held == sorted({(w, i) for i, t in docs for w in t.split()})
     assert sorted(r.id for r in postings.lookup_all(index, ["all", "odd"]).collect()) == [i for i, t in docs if "odd" in t]
+
+
+def test_border_patterns_take_runs_at_once(spark):
+    text = "┌────┬────┐\n│ ab ┼ │ c  d │\n├────┼────┤\n│ efgh │ │\n└────┴────┘"
+    rows = tables.detect_tables(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text").orderBy("row_no", "cell_no").collect()
+    assert [(r.kind, r.row_no, r.role, r.cell) for r in rows] == [("border", 1, "header", "ab"), ("border", 1, "header", "c d"), ("border", 2, "data", "efgh"), ("border", 2, "data", "")]
+    counted = spark.range(1).select(tables._count(F.lit("──a─|--"), tables.HORIZONTAL).alias("n")).first().n
+    assert counted == 5
