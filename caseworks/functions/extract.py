@@ -23,11 +23,23 @@ def entities(text: Column | str, n: int = 5) -> Column:
 def text_metadata(df: DataFrame, id: str, text: str, n: int = 5, common: list[str] = ()) -> DataFrame:
     """id, entities, keywords (most frequent words of four letters or more, ties by alphabet), tags."""
     words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"{EDGE_LEFT}([a-z]{{4,}}){EDGE_RIGHT}"), F.lit(1)), lambda w: ~w.isin(list(common) or [""]))
+    tags = F.filter(F.array(*[F.when(F.col(text).rlike(p), t) for t, p in TAGS.items()]), lambda x: x.isNotNull())
+    base = df.select(id, entities(text, n).alias("entities"), tags.alias("tags"), words.alias("_w"))
+    again = df.where(F.col(id).isNotNull()).groupBy(id).agg(F.count("*").alias("_c")).where("_c > 1").select(id)
+    none = F.array().cast("array<string>")
+    if again.isEmpty():  # a row is all of its id, so nothing is shuffled
+        return base.select(id, "entities", F.when(F.col(id).isNotNull(), F.coalesce(_most_frequent(F.col("_w"), n), none)).otherwise(none).alias("keywords"), "tags")
     counted = df.select(id, F.explode(words).alias("w")).groupBy(id, "w").agg(F.count("*").alias("c"))
     top = counted.groupBy(id).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "w"))), 1, n).alias("k")).select(id, F.col("k.w").alias("keywords"))
-    tags = F.filter(F.array(*[F.when(F.col(text).rlike(p), t) for t, p in TAGS.items()]), lambda x: x.isNotNull())
-    base = df.select(id, entities(text, n).alias("entities"), tags.alias("tags"))
-    return base.join(top, id, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    return base.drop("_w").join(top, id, "left").select(id, "entities", F.coalesce("keywords", none).alias("keywords"), "tags")
+
+
+def _most_frequent(words: Column, n: int) -> Column:
+    """The n most frequent of an array of words, ties by alphabet: runs of equal words in their order, by length."""
+    bound = lambda x, body: F.get(F.transform(F.array(x), body), 0)  # noqa: E731  x is worked out once
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s: bound(starts(s), lambda at: F.transform(at, lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), F.size(s))).alias("c"), F.get(s, i).alias("w"))))
+    return F.when(F.size(words) > 0, F.transform(F.slice(F.sort_array(bound(F.sort_array(words), runs)), 1, n), lambda x: x["w"]))
 
 
 def is_common(content: Column | str, common: list[str] = ()) -> Column:

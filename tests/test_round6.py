@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from caseworks.functions import extract
 from caseworks.operators import postings, tables
 
+WORDS = r"(?<![A-Za-z0-9_])([a-z]{4,})(?![A-Za-z0-9_])"
+
+
+def _keywords(texts):
+    counts = Counter(w for t in texts for w in re.findall(WORDS, t.lower()))
+    return sorted(counts, key=lambda w: (-counts[w], w))[:5]
+
 
 def test_blocks_are_dealt_once(spark, monkeypatch):
     monkeypatch.setattr(postings, "DEALT_IDS", 50)
@@ -27,3 +38,14 @@ def test_border_patterns_take_runs_at_once(spark):
     assert [(r.kind, r.row_no, r.role, r.cell) for r in rows] == [("border", 1, "header", "ab"), ("border", 1, "header", "c d"), ("border", 2, "data", "efgh"), ("border", 2, "data", "")]
     counted = spark.range(1).select(tables._count(F.lit("──a─|--"), tables.HORIZONTAL).alias("n")).first().n
     assert counted == 5
+
+
+def test_keywords_of_single_and_repeated_ids(spark):
+    rows = [(1, "Beta alpha beta gamma delta eps1 omega theta gamma zeta"), (2, ""), (3, None), (None, "alpha beta"), (4, "one two")]
+    single = spark.createDataFrame(rows, "id long, text string")
+    found = extract.text_metadata(single, "id", "text")
+    assert {r.id: r.keywords for r in found.collect()} == {1: _keywords([rows[0][1]]), 2: [], 3: [], None: [], 4: []}
+    assert "Exchange" not in found.select("id", "keywords")._jdf.queryExecution().executedPlan().toString()
+    twice = single.unionByName(spark.createDataFrame([(1, "theta theta theta")], "id long, text string"))
+    found = extract.text_metadata(twice, "id", "text").where("id = 1").collect()
+    assert [r.keywords for r in found] == [_keywords([rows[0][1], "theta theta theta"])] * 2
