@@ -152,6 +152,8 @@ def merge_broken_lines(col: Column | str, end: str = SENTENCE_END, start: str =
 # Characters that count as garbage and as table borders.
 GARBAGE = "[─│┌┐└┘├┤┬┴┼╔╗╚╝═║■□▪▫●○◆◇★☆@®©™]"
 BORDER = "[─│┌┐└┘├┤┬┴┼╔╗╚╝═║]"
+#: The same behind a range that most characters are outside of, so that they aren't compared with each one.
+_GARBAGE, _BORDER = rf"[@©®[\u2122-\u2606&&{GARBAGE}]]", rf"[\u2500-\u257f&&{BORDER}]"
 
 
 def text_quality(df: DataFrame, text: str, noise_words: list[str] = ()) -> DataFrame:
@@ -160,15 +162,14 @@ def text_quality(df: DataFrame, text: str, noise_words: list[str] = ()) -> DataF
     Characters outside letters, digits, punctuation and white space count as invalid; lines' lengths make the coherence.
     """
     c = F.coalesce(F.col(text), F.lit(""))
-    solid = F.regexp_replace(c, r"\s", "")
-    n = F.length(solid)
-    garbage = F.regexp_count(solid, F.lit(GARBAGE))
-    invalid = F.regexp_count(solid, F.lit(r"[^\p{L}\p{N}\p{P}\p{S}\p{M}]"))
+    n = F.length(F.regexp_replace(c, r"\s+", ""))
+    garbage = F.regexp_count(c, F.lit(_GARBAGE))
+    invalid = F.regexp_count(c, F.lit(r"[^\x21-\x7e\s\p{L}\p{N}\p{P}\p{S}\p{M}]"))
     valid = n - garbage - invalid
     ratio = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), valid / n * (1 - garbage / n * 0.5))))
     lines = F.split(c, "\n")
     words = sum((F.regexp_count(c, F.lit(w)) for w in noise_words), F.lit(0))
-    borders = F.regexp_count(c, F.lit(BORDER))
+    borders = F.regexp_count(c, F.lit(_BORDER))
     short = F.size(F.filter(lines, lambda x: F.length(F.trim(x)) < 3)) / F.size(lines)
     blank = F.size(F.filter(lines, lambda x: F.length(F.trim(x)) == 0)) / F.size(lines)
     score = F.least(words, F.lit(3)) + F.when(borders > 20, F.least(F.floor(borders / 20), F.lit(2))).otherwise(0) + F.when(short > 0.4, 1).otherwise(0) + F.when(blank > 0.5, 1).otherwise(0)

@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from caseworks.functions import extract
+from caseworks.functions import clean, extract
 from caseworks.operators import postings, tables
 
 WORDS = r"(?<![A-Za-z0-9_])([a-z]{4,})(?![A-Za-z0-9_])"
@@ -49,3 +49,16 @@ def test_keywords_of_single_and_repeated_ids(spark):
     twice = single.unionByName(spark.createDataFrame([(1, "theta theta theta")], "id long, text string"))
     found = extract.text_metadata(twice, "id", "text").where("id = 1").collect()
     assert [r.keywords for r in found] == [_keywords([rows[0][1], "theta theta theta"])] * 2
+
+
+def test_odd_characters_are_counted_as_by_the_plain_classes(spark):
+    text = "".join(map(chr, [*range(0x20, 0x2400), *range(0x2400, 0x2700), 0xFFFE, 0x1F600])) + "\t\n@@©®™─☆ "
+    assert len(re.findall(clean.GARBAGE, text)) > 30
+    one = spark.createDataFrame([(text,)], "text string")
+    solid = F.regexp_replace("text", r"\s", "")
+    n, g = F.length(solid), F.regexp_count(solid, F.lit(clean.GARBAGE))
+    bad = F.regexp_count(solid, F.lit(r"[^\p{L}\p{N}\p{P}\p{S}\p{M}]"))
+    want = one.select(((n - g - bad) / n * (1 - g / n * 0.5)).alias("x"), F.regexp_count("text", F.lit(clean.BORDER)).alias("b"), g.alias("g")).first()
+    assert clean.text_quality(one, "text").first().char_ratio == want.x
+    got = one.select(F.regexp_count("text", F.lit(clean._BORDER)).alias("b"), F.regexp_count("text", F.lit(clean._GARBAGE)).alias("g")).first()
+    assert (got.b, got.g) == (want.b, want.g)
