@@ -10,7 +10,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseworks.plans.shared import cut_lineage
+from caseworks.plans.shared import cut_lineage, written
 from caseworks.plans.sizes import few
 
 
@@ -55,15 +55,16 @@ def levels(items: DataFrame, id: str, parent: str) -> DataFrame:
     """
     base = items.select(F.col(id).alias("id"), F.col(parent).alias("parent")).where("id IS NOT NULL").groupBy("id").agg(F.min("parent").alias("parent"), F.count_if(F.col("parent").isNull()).alias("_roots"))
     base = base.select("id", F.when(F.col("_roots") == 0, F.col("parent")).alias("parent"))
+    base = written(base, "items")
     roots = base.where("parent IS NULL").select("id", F.lit(0).cast("long").alias("level"), F.col("id").alias("root"), F.lit("tree").alias("status"))
-    open_ = cut_lineage(base.where("parent IS NOT NULL").select("id", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("dist")))
+    open_ = base.where("parent IS NOT NULL").select("id", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("dist"))
     done = [roots]
     for _ in range(open_.count().bit_length() + 1):
         if open_.isEmpty():
             break
         known = reduce(DataFrame.unionByName, done).select(F.col("id").alias("k"), "level", "root", "status")
         ahead = open_.select(F.col("id").alias("o"), F.col("anc").alias("next"), F.col("dist").alias("far"))
-        met = cut_lineage(open_.join(known, F.col("anc") == F.col("k"), "left").join(ahead, F.col("anc") == F.col("o"), "left"))
+        met = written(open_.join(known, F.col("anc") == F.col("k"), "left").join(ahead, F.col("anc") == F.col("o"), "left"), "met")
         ended = met.where("k IS NOT NULL OR o IS NULL")
         if ended.isEmpty():  # in every round the open items nearest to a root end, so the others have none
             break

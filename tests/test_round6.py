@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from caseworks.functions import clean, extract
-from caseworks.operators import postings, tables
+from caseworks.operators import graph, postings, tables
 
 WORDS = r"(?<![A-Za-z0-9_])([a-z]{4,})(?![A-Za-z0-9_])"
 
@@ -62,3 +62,11 @@ def test_odd_characters_are_counted_as_by_the_plain_classes(spark):
     assert clean.text_quality(one, "text").first().char_ratio == want.x
     got = one.select(F.regexp_count("text", F.lit(clean._BORDER)).alias("b"), F.regexp_count("text", F.lit(clean._GARBAGE)).alias("g")).first()
     assert (got.b, got.g) == (want.b, want.g)
+
+
+def test_levels_write_their_rounds_as_files(spark, monkeypatch):
+    monkeypatch.setattr(graph, "cut_lineage", None)
+    rows = [(i, i - 1 if i else None) for i in range(40)] + [(50, 99), (60, 61), (61, 60), (62, 61)]
+    found = graph.levels(spark.createDataFrame(rows, "id long, parent long"), "id", "parent").collect()
+    want = {(i, i, 0, "tree") for i in range(40)} | {(50, None, None, "orphan")} | {(i, None, None, "cycle") for i in (60, 61, 62)}
+    assert {(r.id, r.level, r.root, r.status) for r in found} == want
