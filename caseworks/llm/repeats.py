@@ -5,8 +5,8 @@
    windows with one key form a segment, so a text is about as many segments as a fourteenth of its bytes.
 2. Blocks of documents send the distinct keys to key buckets; keys of one document only can't repeat and end there.
 3. For the other keys, blocks send their distinct segments with the least doc_id of each. A bucket sorts all suffixes
-   of the segments of a key by linear grouping (suffix_order); neighbours in that order that share 50 bytes form the
-   classes of equal windows, each with its least document.
+   of the segments of a key, as far as they may share windows, by linear grouping (suffix_order); neighbours in that order
+   that share 50 bytes form the classes of equal windows, each with its least document.
 4. The answers return to the blocks, which mark windows, remove the covered bytes and digest the rest.
 
 A block sends a key or segment once, however many of its documents hold it, so copies don't pile up in a bucket.
@@ -35,12 +35,14 @@ from caseworks.llm.suffix_order import suffix_order
 
 LENGTH = 50
 GRAM = 30
-#: Of an equal window, so many bytes at least lie left or right of its least k-gram.
-SIDE = (LENGTH - GRAM + 1) // 2
+#: Steps in which places of the least k-gram in a window are told apart; divides LENGTH - GRAM.
+STEP = 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: A symbol between segments, below every byte.
 _BREAK = -1
+#: A byte that UTF-8 doesn't have.
+_SAME = b"\xff"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -154,63 +156,82 @@ def _send_segments(buckets: int):
     return send
 
 
-def may_share(texts: dict[bytes, int], at: dict[bytes, int]) -> dict[bytes, int]:
-    """The segments that may share a window with another: equal windows lie alike around the least k-gram, so they agree
-    on SIDE bytes left or right of it. Where a segment holds it twice, all of them may."""
-    if min(at[t] for t in texts) < 0:
-        return texts
-    left = {t: t[at[t] - SIDE : at[t]] if at[t] >= SIDE else None for t in texts}
-    right = {t: t[at[t] + GRAM : at[t] + GRAM + SIDE] if len(t) >= at[t] + GRAM + SIDE else None for t in texts}
-    n_left, n_right = Counter(left.values()), Counter(right.values())
-    return {t: d for t, d in texts.items() if (left[t] is not None and n_left[left[t]] > 1) or (right[t] is not None and n_right[right[t]] > 1)}
+def may_share(texts: dict[bytes, int], at: dict[bytes, int]) -> tuple[dict[bytes, tuple[int, bytes]], int]:
+    """The segments that may share a window with another, each with the part (first byte, bytes) of it that these windows lie
+    in, and the bytes of a window there. The least k-gram is the same for all; in a part it is one byte, which no text has.
 
+    Equal windows lie alike around the least k-gram. With o bytes of a window left of it, and o from x to x + STEP, they agree on
+    x bytes left of it and on LENGTH - GRAM - STEP - x right of it. Where a segment holds it twice, all of all may be shared.
+    """
+    if min(at[t] for t in texts) < 0:
+        return {t: (0, t) for t in texts}, LENGTH
+    size = LENGTH - STEP
+    cores = {t: [(x, t[at[t] - x : at[t] - x + size]) for x in range(0, LENGTH - GRAM, STEP) if 0 <= at[t] - x <= len(t) - size] for t in texts}
+    n = Counter(core for own in cores.values() for core in own)
+    out = {}
+    for t, own in cores.items():
+        shared = [x for x, core in own if n[x, core] > 1]
+        if shared:
+            a, b = max(0, at[t] - shared[-1] - STEP), at[t] - shared[0] + LENGTH
+            out[t] = (a, t[a : at[t]] + _SAME + t[at[t] + GRAM : b])
+    width = LENGTH - GRAM + 1
+    return {t: part for t, part in out.items() if len(part[1]) >= width}, width
+
+
+def earlier_windows(texts: dict[bytes, int], parts: dict[bytes, tuple[int, bytes]], width: int = LENGTH) -> dict[bytes, list[tuple[int, int]]]:
+    """Of distinct segments with their least documents: the runs of windows (width bytes in a part) that a smaller document
+    than that holds in its part.
+
+    The suffixes of all distinct parts are sorted together; equal windows are neighbours there.
+    """
+    least: dict[bytes, int] = {}  # document of a part
+    for text, (_, part) in parts.items():
+        least[part] = min(texts[text], least.get(part, texts[text]))
+    held = {part: [doc] * (len(part) - width + 1) for part, doc in least.items()}  # least document of each window
+    if len(least) > 1:
+        _spread(held, width)
+    runs = {}
+    for text, (a, part) in parts.items():
+        early = [i for i, doc in enumerate(held[part], a) if doc < texts[text]]
+        if early:
+            cut = [i for i in range(1, len(early)) if early[i] > early[i - 1] + 1]
+            runs[text] = [(early[i], early[j - 1] + 1) for i, j in zip([0, *cut], [*cut, len(early)], strict=True)]
+    return runs
 
-def earlier_windows(texts: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
-    """Of distinct segments with their least documents: the runs of windows that a smaller document than that holds.
 
-    The suffixes of all segments are sorted together; equal windows are neighbours there.
-    """
+def _spread(held: dict[bytes, list[int]], width: int) -> None:
+    """Give each window of distinct texts, in place, the least of the numbers that equal windows of all texts have."""
     symbols: list[int] = []
     owner: list[int] = []
     starts: list[int] = []
     opens = bytearray()  # whether a window starts at a symbol
-    names = list(texts)
+    names = list(held)
     for k, text in enumerate(names):
         starts.append(len(symbols))
         symbols += text
         symbols.append(_BREAK)
         owner += [k] * (len(text) + 1)
-        opens += bytes([1]) * (len(text) - LENGTH + 1) + bytes(LENGTH)
-    found: dict[bytes, list[int]] = defaultdict(list)
+        opens += bytes([1]) * (len(text) - width + 1) + bytes(width)
 
-    def close(same: list[int]) -> None:
-        docs = [texts[names[owner[at]]] for at in same]
-        least = min(docs)
-        for at, doc in zip(same, docs, strict=True):
-            if doc > least:
-                found[names[owner[at]]].append(at - starts[owner[at]])
+    def close(same: list[tuple[list[int], int]]) -> None:
+        least = min(docs[i] for docs, i in same)
+        for docs, i in same:
+            docs[i] = least
 
-    same: list[int] = []
+    same: list[tuple[list[int], int]] = []
     window = None
     for at in suffix_order(symbols):
         if not opens[at]:
             continue
-        i = at - starts[owner[at]]
-        own = names[owner[at]][i : i + LENGTH]
+        text, i = names[owner[at]], at - starts[owner[at]]
+        own = text[i : i + width]
         if own != window:
             if len(same) > 1:
                 close(same)
             same, window = [], own
-        same.append(at)
+        same.append((held[text], i))
     if len(same) > 1:
         close(same)
-    runs = {}
-    for text, at in found.items():
-        at = np.sort(np.array(at))
-        start = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
-        stop = np.append(start[1:], len(at)) - 1
-        runs[text] = list(zip(at[start].tolist(), (at[stop] + 1).tolist(), strict=True))
-    return runs
 
 
 def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -228,7 +249,7 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
             of[text] = min(doc, of.get(text, doc))
             place[key][text] = anchor
     near = {k: may_share(t, place[k]) for k, t in by_key.items() if len(t) > 1}
-    runs = {k: earlier_windows(t) for k, t in near.items() if len(t) > 1}
+    runs = {k: earlier_windows(by_key[k], *parts) for k, parts in near.items()}
     out = []
     for block, keys, texts in got:
         hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)

@@ -24,9 +24,9 @@ def suffix_order(symbols: list[int]) -> list[int]:
         members[symbol] = []
     for i, symbol in enumerate(text):
         members[symbol].append(i)
-    groups: dict[int, list[int]] = {}  # by the group's first place in the order
-    last: dict[int, int] = {}
-    first: dict[int, int] = {}  # of a group by its last place
+    groups: list[list[int]] = [[]] * n  # by the group's first place in the order
+    last = [0] * n
+    first = [0] * n  # of a group by its last place
     group = [0] * n
     at = 0
     for suffixes in members.values():
@@ -42,6 +42,23 @@ def suffix_order(symbols: list[int]) -> list[int]:
         g = first[end]
         own = [i for i in groups[g] if group[i] == g] if len(groups[g]) != end - g + 1 else groups[g]
         size = length[own[0]]
+        if len(own) == 1:  # as a rule; the general case below, for one child of one parent
+            i = own[0]
+            j = i - 1
+            while j >= 0 and group[j] >= g:
+                j = smaller[j]
+            smaller[i] = j
+            if j >= 0:
+                length[j] += size
+                h = group[j]
+                top = last[h]
+                if top > h:
+                    groups[top], last[top], first[top] = [j], top, top
+                    last[h] = top - 1
+                    first[top - 1] = h
+                    group[j] = top
+            end = g - 1
+            continue
         # children per previous smaller suffix; both lists ascend
         parents: list[int] = []
         counts: list[int] = []
