@@ -44,15 +44,26 @@ def collection_stats(collections: DataFrame, docs: DataFrame, chunks: DataFrame)
 
 
 def related(nodes: DataFrame, edges: DataFrame, ids: DataFrame, rel: str | None = None, direction: str = "both") -> DataFrame:
-    """Neighbours of ids (id): id, direction, rel, other and the other node's columns."""
-    e = edges.where(F.col("rel") == rel) if rel else edges
+    """Neighbours of ids (id): id, direction, rel, other and the other node's columns.
+
+    The nodes are held, not the edges: an edge passes both joins unsorted, so a task's memory is its share of the nodes.
+    """
+    e = edges.where(F.col("rel") == rel).select("src", "dst") if rel else edges.select("src", "dst", "rel")
+    ids, others = _held(ids.select("id")), _held(nodes.withColumnRenamed("id", "other"))
     parts = []
-    if direction in ("out", "both"):
-        parts.append(e.select(F.col("src").alias("id"), F.lit("out").alias("direction"), "rel", F.col("dst").alias("other")))
-    if direction in ("in", "both"):
-        parts.append(e.select(F.col("dst").alias("id"), F.lit("in").alias("direction"), "rel", F.col("src").alias("other")))
-    found = reduce(DataFrame.unionByName, parts).join(ids.select("id").distinct(), "id")
-    return found.join(nodes.withColumnRenamed("id", "other"), "other")
+    for name, own, other in (("out", "src", "dst"), ("in", "dst", "src")):
+        if direction in (name, "both"):
+            found = e.withColumnsRenamed({own: "id", other: "other"}).join(ids, "id", "left_semi").join(others, "other")
+            found = found.withColumn("direction", F.lit(name))
+            parts.append(found.withColumn("rel", F.lit(rel)) if rel else found)
+    columns = [c for c in nodes.columns if c != "id"]
+    return reduce(DataFrame.unionByName, parts).select("other", "id", "direction", "rel", *columns)
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """df marked as the side of a join that is held in a hash table: whole if it is small, else by shares."""
+    whole = small(df)
+    return whole if whole is not df else df.hint("shuffle_hash")
 
 
 def chunk_context(chunks: DataFrame, docs: DataFrame, collections: DataFrame) -> DataFrame:

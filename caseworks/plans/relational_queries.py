@@ -24,6 +24,10 @@ u AS (SELECT event_id AS request_id, event_type AS scenario, 'm' || (user_id % 4
 c AS (SELECT u.*, pt * coalesce(pi, 2) AS ic, ct * coalesce(po, 4) AS oc FROM u LEFT JOIN pr USING (model))"""
 
 
+#: Edges that one task holds to tell them apart, some 100 MB; by its bytes a task would get many more, as keys pack well.
+TASK_EDGES = 1_000_000
+
+
 @query(
     "j1_enrich",
     """SELECT s_suppkey, CASE WHEN n_regionkey <> 2 THEN n_name ELSE 'none' END AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
@@ -58,7 +62,8 @@ def j3(spark, d):
     UNION ALL SELECT src, 'out', dst, p_name FROM e JOIN part ON dst = p_partkey""",
 )
 def j4(spark, d):
-    edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("supplied_by").alias("rel")).distinct()
+    edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    edges = edges.repartition(edges.count() // TASK_EDGES + 1, "src", "dst").distinct().withColumn("rel", F.lit("supplied_by"))  # the count reads footers
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     ids = nodes.select("id")
     return enrich.related(nodes, edges, ids, "supplied_by").select("id", "direction", "other", "name")
