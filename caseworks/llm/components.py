@@ -40,3 +40,17 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFr
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     leaf = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaf.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def grown(parts: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """The components of more edges, from the parts (node, component) of some of them: only edges between two parts make
+    new rounds, over the parts as nodes. Where there is none, parts stays as it is."""
+    of = lambda end, name: parts.select(F.col("node").alias(end), F.col("component").alias(name))
+    across = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+    across = materialize(across.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")).where("u <> v").distinct(), "across")
+    if across.isEmpty():
+        return parts
+    moved = components(across, "u", "v").select("node", F.col("component").alias("to"))
+    kept = parts.join(moved.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = moved.join(parts.select("node"), "node", "left_anti").select("node", F.col("to").alias("component"))
+    return materialize(kept.unionByName(new), "parts")

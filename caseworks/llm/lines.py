@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseworks.llm.common import append, fits, materialize, table
-from caseworks.llm.components import components
+from caseworks.llm.components import components, grown
 from caseworks.llm.leftover import best_ties, resolve, ties
 from caseworks.plans.shared import shared_dir
 
@@ -89,7 +89,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Verified ties (id, leader) between lines, and the places (PLACE, id) of all lines.
+    """Verified ties (id, leader) between lines, and the places (PLACE, id) of all lines."""
+    links, _, places = _line_classes(lines, threshold)
+    return links, places
+
+
+def _line_classes(lines: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified ties (id, leader) between lines, their components (node, component), and the places (PLACE, id) of all lines.
 
     All rounds add their links to one Parquet folder, so plans stay as small as in the first round.
     """
@@ -100,20 +106,26 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     texts = materialize(places.where("line IS NOT NULL").groupBy("id").agg(F.first("line").alias("line")), "tied-lines")
     at = f"{shared_dir(spark)}/line-links-{uuid.uuid4().hex}"
     read = lambda: spark.read.schema("id long, leader long, similarity double").parquet(at)
-    parts = lambda: components(read().where(F.col("similarity") >= threshold), "id", "leader")
+    linked = lambda: read().where(F.col("similarity") >= threshold).select("id", "leader")
+    found = None
+
+    def parts() -> DataFrame:
+        nonlocal found
+        found = materialize(components(linked(), "id", "leader"), "parts") if found is None else grown(found, linked(), "id", "leader")
+        return found
+
     verify = lambda pairs: append(_verified(materialize(pairs, "line-pairs"), texts), at)
     check = lambda pairs: verify(pairs.withColumnRenamed("member", "id").join(read().select("id", "leader"), ["id", "leader"], "left_anti"))
     verify(best_ties(tied).withColumnRenamed("member", "id"))
     made_of = lambda ids: texts.join(ids, "id").select("id", F.explode(shingles(F.col("line"))).alias("token"), F.lit(1.0).alias("weight"))
     resolve(tied, check, parts, made_of, threshold, unchecked=True)
-    return read().where(F.col("similarity") >= threshold).select("id", "leader"), places.select(*PLACE, "id")
+    return linked(), parts(), places.select(*PLACE, "id")
 
 
 def repeated_places(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """PLACE of every line that repeats, exactly or nearly, a line of an earlier place."""
-    links, places = similar_lines(document_lines(docs), threshold)
-    found = materialize(components(links, "id", "leader").select(F.col("node").alias("id"), "component"), "line-classes")
-    places = places.join(fits(found), "id", "left").select(*PLACE, F.coalesce("component", "id").alias("class"))
+    _, parts, places = _line_classes(document_lines(docs), threshold)
+    places = places.join(fits(parts.withColumnRenamed("node", "id")), "id", "left").select(*PLACE, F.coalesce("component", "id").alias("class"))
     firsts = places.groupBy("class").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
     return places.join(fits(materialize(firsts, "first-places")), "class").where(~F.col("first").eqNullSafe(F.struct(*PLACE))).select(*PLACE)
 

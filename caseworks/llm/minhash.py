@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseworks.llm.common import BLOCK_DOCS, append, fits, materialize, n_blocks, numbered, real_id, table, with_block
-from caseworks.llm.components import components
+from caseworks.llm.components import components, grown
 from caseworks.llm.exchange import ANSWER, PARCEL, answers, look_up, pack48, parcels, sum_by_key, unpack48
 from caseworks.llm.hashing import AT_ONCE, mix, mix_into, shingle_hashes, spaced_hashes, word_hashes
 from caseworks.llm.leftover import resolve, ties
@@ -258,18 +258,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block_docs: i
         append(checked, at)
         links = docs.sparkSession.read.schema("member long, leader long, similarity double").parquet(at)
 
+    parts_of = None
+
+    def parts() -> DataFrame:
+        nonlocal parts_of
+        good = links.where(F.col("similarity") >= threshold)
+        parts_of = materialize(components(good, "member", "leader"), "parts") if parts_of is None else grown(parts_of, good, "member", "leader")
+        return parts_of
+
     def made_of(ids: DataFrame) -> DataFrame:
         asked = side(with_block(ids, "id", blocks), "rep", "id", "id")
         return named(ids.select(F.col("id").alias("doc_id"))).cogroup(asked.unionByName(df).groupBy("block")).applyInPandas(_spell(n_docs), "id long, token long, weight double")
 
     check(tied.select(F.col("id").alias("member"), "leader").distinct())
     if links is not None:
-        parts = lambda: components(links.where(F.col("similarity") >= threshold), "member", "leader")
         resolve(tied, check, parts, made_of, threshold)
     if links is None:
         return member_of.select("doc_id", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     links = links.where(F.col("similarity") >= threshold)
-    found = components(links, "member", "leader").select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
+    found = parts().select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
     ends = links.select(F.col("member").alias("rep")).unionByName(links.select(F.col("leader").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     out = member_of.join(found.join(ends, "rep"), "rep", "left")
     return out.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -1,9 +1,10 @@
-"""Parts of segments that are sorted, against a plain form."""
+"""Parts of segments that are sorted, and components that grow, against plain forms."""
 
 from __future__ import annotations
 
 import random
 
+from caseworks.llm import components as stars
 from caseworks.llm import repeats
 
 
@@ -51,3 +52,16 @@ def test_only_shared_parts_are_sorted(monkeypatch):
         assert repeats.earlier_windows(texts, *repeats.may_share(texts, at)) == _plain(texts)
         sorted_symbols = before_it + (sorted_symbols if n % 5 else [])
     assert sum(sorted_symbols) < left / 2
+
+
+def test_components_grow_between_parts_only(spark, monkeypatch):
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    as_map = lambda df: {r.node: r.component for r in df.collect()}
+    rng = random.Random(8)
+    old = [(rng.randrange(120), rng.randrange(120)) for _ in range(60)]
+    inside = [(a, b) for a, b in old[:9]]
+    parts = stars.components(frame(old), "a", "b")
+    new = [(rng.randrange(160), rng.randrange(160)) for _ in range(25)]
+    assert as_map(stars.grown(parts, frame(old + new), "a", "b")) == as_map(stars.components(frame(old + new), "a", "b"))
+    monkeypatch.setattr(stars, "components", lambda *a: 1 / 0)  # no more rounds without an edge between parts
+    assert stars.grown(parts, frame(inside), "a", "b") is parts
