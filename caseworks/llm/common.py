@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseworks.plans.shared import shared_dir
+from caseworks.plans.shared import FREE_SHUFFLES, shared_dir, shuffles_freed  # noqa: F401
 
 #: Documents that one block (one Python call) holds; bounds the memory of a task.
 BLOCK_DOCS = 1000
@@ -23,25 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Spark's setting that drops the shuffle files of an execution when it ends, not when the driver collects garbage.
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is executed inside go as soon as it has ended. For writes: what was written is read from the
-    shared folder from then on, so nothing needs these files again; while a write runs, lost ones are made again as ever."""
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(FREE_SHUFFLES)
-        else:
-            spark.conf.set(FREE_SHUFFLES, before)
-
-
 def append(df: DataFrame, path: str) -> None:
     """Add df to the Parquet folder of a path."""
     with shuffles_freed(df.sparkSession):

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from caseworks.operators import wordsets
+from caseworks.plans.shared import written
 from caseworks.plans.sizes import small
 
 #: Query vectors that one block product takes; more queries are done in several.
@@ -263,53 +265,24 @@ def dedup_text(df: DataFrame, doc: str, text: str, id: str, threshold: float = 0
     return df.select(doc, id, text).groupBy(doc).applyInPandas(run, f"{fields}, n_merged int")
 
 
-#: Longs of a set's bitmap: each word flips one bit, so two bitmaps differ in no more bits than the sets do in words. Sets of
-#: so many words have a wider one, which candidates are put to before their words.
-BITMAP, WIDE, LARGE = 8, 64, 256
-
-
-def _bitmap(longs: int) -> list[Column]:
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(t) div 64, 64) AS int))")
-    return [F.coalesce(F.bit_xor(F.when(F.pmod(F.xxhash64("t"), F.lit(longs)) == k, bit)), F.lit(0).cast("long")) for k in range(longs)]
-
-
 def _close_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """c, d: candidates among sets (c, w) of words, each pair once; all pairs with a Jaccard similarity over the threshold
-    are among them.
-
-    Two sets that reach it share a word among the rarest size - ceil(t * size) + 1 of each. The first word that they share
-    leaves as many as follow it, and bitmaps bound what can be common; pairs that these bounds exclude end where they meet.
-    """
-    each = sets.select("c", F.size("w").alias("n"), F.explode("w").alias("t"))
-    freq = each.groupBy("t").agg(F.count("*").alias("f"))
-    masks = [f"m{k}" for k in range(BITMAP)]
-    ranked = each.join(freq, "t").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"), *[b.alias(m) for b, m in zip(_bitmap(BITMAP), masks, strict=True)])
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1
-    prefix = ranked.select("c", "n", *masks, F.posexplode(F.slice("o", 1, F.greatest(keep, F.lit(1)))).alias("at", "p")).where("p.f > 1")
-    prefix = prefix.select("c", "n", *masks, (F.col("n") - F.col("at")).alias("left"), F.col("p.t").alias("t"))
-    other = prefix.select(F.col("c").alias("d"), F.col("n").alias("n2"), F.col("left").alias("left2"), "t", *[F.col(m).alias(f"o{m}") for m in masks])
-    both = F.col("n") + F.col("n2")
-    least = both * (threshold / (1 + threshold)) - 1e-6  # words in common of a pair over the threshold
-    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(m).bitwiseXOR(F.col(f"o{m}"))) for m in masks])
-    near = (F.least("left", "left2") >= least) & (F.least("n", "n2") >= F.greatest("n", "n2") * threshold - 1e-6) & ((both - differ) / 2 >= least)
-    met = prefix.join(other, "t").where((F.col("c") < F.col("d")) & near).select("c", "d").distinct()
-    large = each.where(F.col("n") >= LARGE).groupBy("c", "n").agg(F.array(*_bitmap(WIDE)).alias("x"))
-    met = met.join(large, "c", "left").join(large.select(F.col("c").alias("d"), F.col("n").alias("n2"), F.col("x").alias("y")), "d", "left")
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, z: s + z)
-    return met.where(F.col("x").isNull() | F.col("y").isNull() | ((both - differ) / 2 >= least)).select("c", "d")
+    are among them."""
+    return wordsets.unpacked(wordsets.candidates(sets, threshold, 1))
 
 
 def similar_pairs(df: DataFrame, id: str, text: str, threshold: float = 0.6) -> DataFrame:
     """a < b and the word Jaccard similarity above the threshold, each pair once. Exact. Texts of the same words are one
-    set, compared once, and pairs of its members come out at the end."""
-    words = df.where(F.col(id).isNotNull()).select(F.col(id).alias("i"), F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("w")).where(F.size("w") > 0).withColumn("c", F.xxhash64("w"))
-    sets = words.groupBy("c").agg(F.first("w").alias("w"))
-    of = lambda c, w: sets.select(F.col("c").alias(c), F.col("w").alias(w))
-    j = _close_sets(sets, threshold).join(of("c", "x"), "c").join(of("d", "y"), "d")
-    both = F.size(F.array_intersect("x", "y"))
-    near = j.select("c", "d", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") > threshold)
-    members = words.select("i", "c")
-    own = members.select("c").distinct().select("c", F.col("c").alias("d"), F.lit(1.0).alias("similarity")) if threshold < 1 else near.limit(0)
+    set, compared once, and pairs of its members come out at the end. Sets and candidates (wordsets) are written to the shared
+    folder, once each."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+    each = df.where(F.col(id).isNotNull()).select(F.col(id).alias("i"), F.array_join(words, " ").alias("w")).where("w <> ''").withColumn("c", F.xxhash64("w"))
+    sets = written(each.groupBy("c").agg(F.first("w").alias("w"), F.collect_list("i").alias("ids")), "sets", free=True)
+    groups = min(wordsets.GROUPS, max(4, sets.count() // wordsets.GROUP_SETS + 1))
+    packed = written(wordsets.candidates(sets.select("c", F.split("w", " ").alias("w")), threshold, groups), "candidates", free=True)
+    near = wordsets.compared(packed, sets.select("c", "w"), threshold)
+    members = sets.select("c", F.explode("ids").alias("i"))
+    own = sets.where(F.size("ids") > 1).select("c", F.col("c").alias("d"), F.lit(1.0).alias("similarity")) if threshold < 1 else near.limit(0)
     first, second = members.select(F.col("i").alias("p"), "c"), members.select(F.col("i").alias("q"), F.col("c").alias("d"))
     pairs = near.unionByName(own).join(first, "c").join(second, "d").where("c <> d AND p <> q OR p < q")
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
