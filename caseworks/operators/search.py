@@ -273,14 +273,11 @@ def _close_sets(sets: DataFrame, threshold: float) -> DataFrame:
 
 def similar_pairs(df: DataFrame, id: str, text: str, threshold: float = 0.6) -> DataFrame:
     """a < b and the word Jaccard similarity above the threshold, each pair once. Exact. Texts of the same words are one
-    set, compared once, and pairs of its members come out at the end. Sets and candidates (wordsets) are written to the shared
-    folder, once each."""
+    set, compared once, and pairs of its members come out at the end. The sets are written to the shared folder."""
     words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
     each = df.where(F.col(id).isNotNull()).select(F.col(id).alias("i"), F.array_join(words, " ").alias("w")).where("w <> ''").withColumn("c", F.xxhash64("w"))
     sets = written(each.groupBy("c").agg(F.first("w").alias("w"), F.collect_list("i").alias("ids")), "sets", free=True)
-    groups = min(wordsets.GROUPS, max(4, sets.count() // wordsets.GROUP_SETS + 1))
-    packed = written(wordsets.candidates(sets.select("c", F.split("w", " ").alias("w")), threshold, groups), "candidates", free=True)
-    near = wordsets.compared(packed, sets.select("c", "w"), threshold)
+    near = wordsets.close_pairs(sets.select("c", "w"), threshold)
     members = sets.select("c", F.explode("ids").alias("i"))
     own = sets.where(F.size("ids") > 1).select("c", F.col("c").alias("d"), F.lit(1.0).alias("similarity")) if threshold < 1 else near.limit(0)
     first, second = members.select(F.col("i").alias("p"), "c"), members.select(F.col("i").alias("q"), F.col("c").alias("d"))

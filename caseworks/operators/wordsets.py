@@ -22,12 +22,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseworks.plans.shared import written
+from caseworks.plans.sizes import few
+
 #: Counts that order the words; SLICES parts of them are summed apart.
 CELLS, SLICES = 1 << 20, 64
-#: Words that a block holds, that a bucket gets on average, and pairs that are tried or kept at once.
-BLOCK_WORDS, BUCKET_WORDS, PAIRS = 1 << 21, 1_500_000, 1 << 21
+#: Words that a block holds, that a bucket gets on average and takes at once; pairs that are tried at once, and kept at most.
+BLOCK_WORDS, BUCKET_WORDS, STRIP_WORDS, PAIRS, KEPT = 1 << 21, 2_500_000, 500_000, 1 << 20, 1 << 23
 #: Sets of a group, of which a tile has two, and the most groups.
-GROUP_SETS, GROUPS = 10_000, 128
+GROUP_SETS, GROUPS = 20_000, 128
+#: Candidates of a tile, repeats counted, beyond which all are dealt to more groups.
+TILE_PAIRS = 8_000_000
+#: Rows (set, tile) that are broadcast at most; more are joined by shuffle.
+ASKED = 500_000
 PACKED = "tile int, ids array<long>, x binary, y binary"
 
 
@@ -43,6 +50,15 @@ def _longs(n: np.ndarray) -> np.ndarray:
     return 1 << np.ceil(np.log2(np.maximum(2, 1.5 * n / 64))).astype(np.int64)
 
 
+def _thin(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, first all their lowest bytes and so on: the upper ones are mostly 0 and take no room when compressed."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Numbers and sizes of the sets of a block, and all their keys in a row."""
     for pdf in batches:
@@ -83,15 +99,27 @@ def _parcels(c: np.ndarray, n: np.ndarray, keys: np.ndarray, counts: np.ndarray,
     found = counts[keys & np.uint32(CELLS - 1)]
     order = np.lexsort((keys, found, who))
     place = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+    before = np.concatenate([keys[:1], keys[order[:-1]]])  # the word before it in its set, if the place isn't 0
     keep = np.maximum(n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1, 1)
-    order, place = (x[(place < keep[who]) & (found[order] > 1)] for x in (order, place))  # the only word of its cell pairs nothing
+    used = (place < keep[who]) & (found[order] > 1)  # the only word of its cell pairs nothing
+    order, place, before = order[used], place[used], before[used]
     bucket = (mixed[order] >> np.uint64(40)).astype(np.int64) % buckets
     by = np.argsort(bucket, kind="stable")
     for at in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
         if len(at):
-            own, mine = np.unique(who[order[at]], return_inverse=True)
-            held = np.concatenate([np.arange(s, s + m) for s, m in zip(start[own], longs[own], strict=True)])
-            yield int(bucket[at[0]]), pickle.dumps((c[own], n[own].astype(np.int32), bits[held], keys[order[at]], mine.astype(np.int32), place[at].astype(np.int32)), 5)
+            own, many = np.unique(who[order[at]], return_counts=True)  # in the order of the words
+            m = longs[own]
+            held = np.arange(m.sum()) + np.repeat(start[own] - (np.cumsum(m) - m), m)
+            word = (mixed[order[at]] >> np.uint64(8)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            yield int(bucket[at[0]]), pickle.dumps((c[own], bits[held], word.tobytes(), _thin(n[own]), _thin(many), _thin(place[at]), before[at]), 5)
+
+
+def _opened(data: bytes) -> tuple[np.ndarray, ...]:
+    """Ids, sizes and bitmaps of a parcel's sets; words, whose, at which place and after which word."""
+    c, bits, packed, n, many, place, before = pickle.loads(data)
+    word = np.zeros((len(packed) // 3, 4), np.uint8)
+    word[:, :3] = np.frombuffer(packed, np.uint8).reshape(-1, 3)
+    return c, _wide(n).astype(np.int64), bits, word.view("<u4").reshape(-1), np.repeat(np.arange(len(c), dtype=np.int32), _wide(many)), _wide(place).astype(np.int32), before
 
 
 class _Bitmaps:
@@ -119,49 +147,62 @@ class _Bitmaps:
         size = self.longs[small]
         for s in np.unique(size).tolist():
             at, held, row = np.flatnonzero(size == s), self.held[s], self.row[s]
-            step = max(1, (1 << 22) // s)
+            step = max(1, (1 << 21) // s)
             for k in range(0, len(at), step):
                 part = at[k : k + step]
                 out[part] = np.bitwise_count(held[row[small[part]]] ^ held[row[large[part]]]).sum(1, dtype=np.int64)
         return out
 
 
-def _meet(parcels: list[tuple], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a bucket's sets, and the numbers of the sets of each candidate, the pair once."""
-    sizes = [len(p[0]) for p in parcels]
-    c, n, bits, keys, at = (np.concatenate([p[k] for p in parcels]) for k in (0, 1, 2, 3, 5))
-    who = np.concatenate([p[4] + s for p, s in zip(parcels, np.cumsum(sizes) - sizes, strict=True)])
-    n = n.astype(np.int64)
+def _meet(parcels: list[tuple], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of a bucket's sets, and the numbers of the sets of each candidate: once, unless they are too many to be held."""
+    sizes = np.array([len(p[0]) for p in parcels])
+    c, n, bits, keys, place, before = (np.concatenate([p[k] for p in parcels]) for k in (0, 1, 2, 3, 5, 6))
+    who = np.concatenate([p[4] + np.int32(s) for p, s in zip(parcels, np.cumsum(sizes) - sizes, strict=True)])
+    parcels.clear()
     bitmaps = _Bitmaps(n, bits, threshold)
+    strips, codes, more, count = len(keys) // STRIP_WORDS + 1, np.zeros(0, np.int64), [], 0
+    for strip in range(strips):
+        at = np.flatnonzero(keys % np.uint32(strips) == strip)
+        for found in _tried(n, bitmaps, keys[at], who[at], place[at], before[at], threshold):
+            more.append(found)
+            count += len(found)
+            if count > 2 * PAIRS:
+                codes, more, count = np.unique(np.concatenate([codes, *more])), [], 0
+            if len(codes) > KEPT:
+                yield c, codes // len(n), codes % len(n)
+                codes = codes[:0]
+    codes = np.unique(np.concatenate([codes, *more]))
+    yield c, codes // len(n), codes % len(n)
+
+
+def _tried(n: np.ndarray, bitmaps: _Bitmaps, keys: np.ndarray, who: np.ndarray, place: np.ndarray, before: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """Candidates that meet on the words, some at a time, as the number of the one set times len(n) and that of the other. Two
+    sets that have the word before in common too have met on that, so near copies meet on few of the words that they share."""
     order = np.lexsort((n[who], keys))
-    keys, who, at = keys[order], who[order], at[order]
+    keys, who, place, before = keys[order], who[order], place[order], before[order]
     size = n[who]
-    left = size - at
+    left = size - place
     share = threshold / (1 + threshold)
-    word = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]])) * (int(n.max()) + 1)
+    word = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]])) * (int(n.max(initial=0)) + 1)
     low = np.flatnonzero(left >= 2 * share * size - 1e-6)  # only these may be a pair's smaller set (of the size of the other at most)
-    key, small, room = (word + size)[low], who[low], (left - share * size)[low]
+    key, small, room, last, lowest = (word + size)[low], who[low], (left - share * size)[low], before[low], place[low] == 0
     first = np.searchsorted(key, word + np.ceil(threshold * size - 1e-6).astype(np.int64), "left")
     most = np.minimum(size, np.floor((left + 1e-6) / share - size)).astype(np.int64)
     many = np.maximum(np.searchsorted(key, word + most, "right") - first, 0)
-    found, kept = [], 0
     ends = np.cumsum(many)
     for a, b in _runs(ends, PAIRS):
         m = many[a:b]
         i = np.arange(m.sum()) + np.repeat(first[a:b] - (ends[a:b] - m - (ends[a] - m[0])), m)
         close = np.flatnonzero(room[i] >= np.repeat(share * size[a:b] - 1e-6, m))
-        x, y = small[i[close]], np.repeat(who[a:b], m)[close]
+        i, j = i[close], np.repeat(np.arange(a, b), m)[close]
+        new = (last[i] != before[j]) | lowest[i] | (place[j] == 0)
+        x, y = small[i[new]], who[j[new]]
         once = (n[x] < n[y]) | (x < y)  # sets of one size meet in both roles
         x, y = x[once], y[once]
         both = n[x] + n[y]
         near = both - bitmaps.differ(x, y) >= 2 * (share * both - 1e-6)
-        found.append(x[near] * np.int64(len(n)) + y[near])
-        kept += len(found[-1])
-        if kept > 4 * PAIRS:
-            found = [np.unique(np.concatenate(found))]
-            kept = 0
-    codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return c, codes // len(n), codes % len(n)
+        yield np.unique(x[near] * np.int64(len(n)) + y[near])
 
 
 def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -181,8 +222,7 @@ def _packed(c: np.ndarray, x: np.ndarray, y: np.ndarray, groups: int) -> Iterato
     for at in np.split(by, np.flatnonzero(np.diff(tile[by])) + 1):
         if len(at):
             own, place = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
-            place = place.astype("<u4")
-            yield pd.DataFrame({"tile": np.array([tile[at[0]]], np.int32), "ids": [c[own]], "x": [place[: len(at)].tobytes()], "y": [place[len(at) :].tobytes()]})
+            yield pd.DataFrame({"tile": np.array([tile[at[0]]], np.int32), "ids": [c[own]], "x": [_thin(place[: len(at)])], "y": [_thin(place[len(at) :])]})
 
 
 def candidates(sets: DataFrame, threshold: float, groups: int) -> DataFrame:
@@ -203,33 +243,50 @@ def candidates(sets: DataFrame, threshold: float, groups: int) -> DataFrame:
         held: dict[int, list] = {}
         for pdf in batches:
             for bucket, data in zip(pdf["bucket"], pdf["data"], strict=True):
-                held.setdefault(bucket, []).append(pickle.loads(data))
+                held.setdefault(bucket, []).append(_opened(data))
         while held:
-            yield from _packed(*_meet(held.popitem()[1], threshold), groups)
+            for found in _meet(held.popitem()[1], threshold):
+                yield from _packed(*found, groups)
 
     return sets.mapInPandas(send, "bucket int, data binary").repartitionById(buckets, "bucket").mapInPandas(meet, PACKED)
 
 
-def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    ends = [[np.asarray(ids)[np.frombuffer(p, "<u4")] for ids, p in zip(pdf["ids"], pdf[k], strict=True)] for k in ("x", "y")]
-    return tuple(np.concatenate([np.zeros(0, np.int64), *e]) for e in ends)
-
-
 def unpacked(packed: DataFrame) -> DataFrame:
     """c, d: the candidates one by one, each once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            c, d = _unpacked(pdf)
-            yield pd.DataFrame({"c": np.minimum(c, d), "d": np.maximum(c, d)})
+            for ids, x, y in zip(pdf["ids"], pdf["x"], pdf["y"], strict=True):
+                c, d = np.asarray(ids)[_wide(x)], np.asarray(ids)[_wide(y)]
+                yield pd.DataFrame({"c": np.minimum(c, d), "d": np.maximum(c, d)})
 
     return packed.mapInPandas(run, "c long, d long").distinct()
 
 
-def compared(packed: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """c, d, similarity of the candidates over the threshold, each once. words: (c, w), w the set's words with blanks between.
-    The table packed is read twice."""
-    asked = packed.select(F.col("tile").alias("at"), F.explode("ids").alias("c")).distinct().join(words, "c")
+def _dealt(packed: DataFrame, groups: int) -> DataFrame:
+    """The candidates, by tiles of so many groups."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ids, x, y in zip(pdf["ids"], pdf["x"], pdf["y"], strict=True):
+                yield from _packed(np.asarray(ids), _wide(x), _wide(y), groups)
+
+    return packed.mapInPandas(run, PACKED)
+
+
+def close_pairs(words: DataFrame, threshold: float) -> DataFrame:
+    """c, d, similarity of pairs of sets over the threshold, each once. words: (c, w), a table that is cheap to read, c told
+    apart, w the set's words with blanks between. Candidates are written to the shared folder."""
+    groups = min(GROUPS, max(4, words.count() // GROUP_SETS + 1))
+    packed = written(candidates(words.select("c", F.split("w", " ").alias("w")), threshold, groups), "candidates", free=True)
+    most = packed.groupBy("tile").agg(F.sum(F.octet_length("x") / 4).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > TILE_PAIRS:
+        packed = written(_dealt(packed, min(1 << 15, groups * (int((most / TILE_PAIRS) ** 0.5) + 1))), "candidates", free=True)
+    return _compared(packed, words, threshold)
+
+
+def _compared(packed: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    asked = words.join(few(packed.select(F.col("tile").alias("at"), F.explode("ids").alias("c")).distinct(), ASKED), "c")
 
     def compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         c, number, ends = sets["c"].to_numpy(), {}, [0]
@@ -239,8 +296,15 @@ def compared(packed: DataFrame, words: DataFrame, threshold: float) -> DataFrame
             held[ends[-1] : ends[-1] + len(own)] = own
             ends.append(ends[-1] + len(own))
         order = np.argsort(c)
-        x, y = (order[np.searchsorted(c, e, sorter=order)] for e in _unpacked(pairs))
-        codes = np.unique(np.minimum(x, y) * len(c) + np.maximum(x, y)) if len(c) else x
+        codes, more, count = np.zeros(0, np.int64), [], 0
+        for ids, x, y in zip(pairs["ids"], pairs["x"], pairs["y"], strict=True):
+            at = order[np.searchsorted(c, np.asarray(ids), sorter=order)]
+            x, y = at[_wide(x)], at[_wide(y)]
+            more.append(np.unique(np.minimum(x, y) * len(c) + np.maximum(x, y)))
+            count += len(x)
+            if count > 2 * PAIRS:
+                codes, more, count = np.unique(np.concatenate([codes, *more])), [], 0
+        codes = np.unique(np.concatenate([codes, *more]))
         x, y = codes // max(len(c), 1), codes % max(len(c), 1)
         mark, both, last = np.zeros(len(number), bool), np.zeros(len(x)), -1
         for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):

@@ -29,7 +29,7 @@ def test_near_copies_travel_as_texts_and_not_as_pairs(spark, monkeypatch):
     texts = [" ".join(common[:k] + [word()] + common[k + 1 :]) for k in range(200)]  # 19,900 pairs
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     before = shuffled(spark)
-    monkeypatch.setattr(wordsets, "few", lambda df: df, raising=False)  # as for large tables
+    monkeypatch.setattr(wordsets, "few", lambda df, _: df)  # as for large tables
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         got = search.similar_pairs(df, "i", "t").collect()
@@ -41,8 +41,11 @@ def test_near_copies_travel_as_texts_and_not_as_pairs(spark, monkeypatch):
 
 @pytest.mark.parametrize("threshold", [0.0, 0.3, 0.6, 0.95])
 def test_similar_pairs_equal_brute_force(spark, monkeypatch, threshold):
-    monkeypatch.setattr(wordsets, "PAIRS", 50)  # pairs in many runs
-    monkeypatch.setattr(wordsets, "BLOCK_WORDS", 500)  # and sets in many blocks
+    monkeypatch.setattr(wordsets, "PAIRS", 50)  # pairs in many runs,
+    monkeypatch.setattr(wordsets, "BLOCK_WORDS", 500)  # sets in many blocks,
+    monkeypatch.setattr(wordsets, "KEPT", 100)  # some of them twice,
+    monkeypatch.setattr(wordsets, "STRIP_WORDS", 40)  # words in many strips,
+    monkeypatch.setattr(wordsets, "TILE_PAIRS", 60)  # and tiles dealt anew
     rng = np.random.default_rng(3)
     vocabulary = [f"w{k}" for k in range(600)]
     texts = [" ".join(vocabulary[int(k)] for k in rng.zipf(1.3, n) % 600) for n in rng.integers(1, 60, 60).tolist() + rng.integers(150, 900, 20).tolist()]
